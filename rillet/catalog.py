@@ -627,8 +627,8 @@ def f3(spark, d):
     # each bucket also split by a row salt so one customer with most orders spans many tasks;
     # Spark combines the partial results per customer
     o = _t(spark, d, "orders").select("o_custkey", "o_totalprice").withColumns({
-        "bucket": F.pmod(F.xxhash64("o_custkey"), F.lit(16)),
-        "salt": F.pmod(F.xxhash64("o_totalprice"), F.lit(16))})
+        "bucket": F.pmod(F.xxhash64("o_custkey"), F.lit(8)),
+        "salt": F.pmod(F.xxhash64("o_totalprice"), F.lit(4))})
     parts = uf.apply_groups(o, ["bucket", "salt"], partial, "o_custkey long, n long, s double")
     return parts.groupBy("o_custkey").agg(F.sum("n").alias("n_orders"), F.round(F.sum("s"), 6).alias("total"))
 

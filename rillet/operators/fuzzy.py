@@ -117,10 +117,11 @@ def nearest_matches(src: DataFrame, ref: DataFrame, max_reference: int) -> DataF
         return src.select(F.col("x").alias("s"), F.lit(None).cast("string").alias("r"),
                           F.lit(None).cast("int").alias("d"))
     refs = ref.agg(F.collect_list("x").alias("a")).scalar()
-    best = F.array_min(F.transform(refs, lambda r: F.struct(F.levenshtein(F.col("x"), r).alias("d"),
-                                                            r.alias("r"))))
-    return src.select(F.col("x").alias("s"), best.alias("b")).select(
-        "s", F.col("b.r").alias("r"), F.col("b.d").alias("d"))
+    best = F.array_min(F.transform("__refs", lambda r: F.struct(F.levenshtein(F.col("x"), r).alias("d"),
+                                                                r.alias("r"))))
+    return (src.withColumn("__refs", refs)
+            .select(F.col("x").alias("s"), best.alias("b"))
+            .select("s", F.col("b.r").alias("r"), F.col("b.d").alias("d")))
 
 
 def fuzzy_match(df: DataFrame, column: str, reference: DataFrame, reference_column: str,

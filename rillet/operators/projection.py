@@ -61,7 +61,8 @@ def deduplicate(df: DataFrame, columns: str | Iterable[str],
     keys = col_list(columns)
     require_columns(df, keys, "deduplicate")
     rn = unique_name(df, "__rn")
-    w = Window.partitionBy(*keys).orderBy(*total_order(df, order_by, exclude=keys))
+    order = total_order(df, order_by, exclude=keys) or [F.col(k) for k in keys]
+    w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 

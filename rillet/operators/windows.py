@@ -32,9 +32,16 @@ from rillet.session import checkpoint_root
 DEFAULT_MAX_GROUP_ROWS = 5_000_000
 
 
-def _max_group_size(df: DataFrame, keys: Sequence[str]) -> int:
+def _groups_bounded(df: DataFrame, keys: Sequence[str], bound: int) -> bool:
+    """Prove that no group exceeds ``bound`` rows.
+
+    The row count of the whole table is the cheap proof (a count job); only
+    a larger table pays for the per-key counts (partial aggregation).
+    """
+    if df.limit(bound + 1).count() <= bound:
+        return True
     row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
+    return int(row[0] or 0) <= bound
 
 
 def _plain(df: DataFrame, keys, order, rn_out, value, sum_out) -> DataFrame:
@@ -45,7 +52,8 @@ def _plain(df: DataFrame, keys, order, rn_out, value, sum_out) -> DataFrame:
     return df.withColumns(cols)
 
 
-def _distributed(df: DataFrame, keys, order, rn_out, value, sum_out, num_partitions) -> DataFrame:
+def _distributed(df: DataFrame, keys, order, rn_out, value, sum_out, num_partitions,
+                 partition_column=None) -> DataFrame:
     spark = df.sparkSession
     checkpoint_root(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -118,13 +126,14 @@ def _distributed(df: DataFrame, keys, order, rn_out, value, sum_out, num_partiti
             cols[sum_out] = F.col(sum_out) + F.when(same, F.col("__off_s")).otherwise(F.lit(0))
     else:
         cols = {rn_out: F.col(rn_out) + F.coalesce(F.col("__off_n"), F.lit(0))}
-    return joined.withColumns(cols).select(*df.columns, rn_out, *([sum_out] if value is not None else []))
+    extra = [F.col(P).alias(partition_column)] if partition_column else []
+    return joined.withColumns(cols).select(*df.columns, rn_out, *([sum_out] if value is not None else []), *extra)
 
 
 def row_numbers(df: DataFrame, partition_by: str | Iterable[str] | None, order_by,
                 output: str = "row_number", value: str | None = None, sum_output: str | None = None,
                 max_group_rows: int | None = DEFAULT_MAX_GROUP_ROWS, num_partitions: int | None = None,
-                method: str = "auto") -> DataFrame:
+                method: str = "auto", partition_column: str | None = None) -> DataFrame:
     """1-based row number (and optional running sum of ``value``) per group.
 
     Order is ``order_by`` then every other column.  ``method``: ``"window"``
@@ -132,15 +141,16 @@ def row_numbers(df: DataFrame, partition_by: str | Iterable[str] | None, order_b
     ``"auto"``: plain window when the largest group is proven to hold at
     most ``max_group_rows`` rows, distributed otherwise.  Without partition
     keys the numbering is always distributed (a global window would move
-    every row to one task).
+    every row to one task).  ``partition_column`` keeps the range partition
+    of each row (distributed method; for inspection).
     """
     keys = col_list(partition_by, "partition_by", allow_empty=True)
     require_columns(df, keys, "row_numbers")
     order = total_order(df, order_by, exclude=keys)
     sum_out = sum_output or f"{value}_running_sum"
     if not keys or method == "distributed":
-        return _distributed(df, keys, order, output, value, sum_out, num_partitions)
-    if method == "window" or (max_group_rows is not None and _max_group_size(df, keys) <= max_group_rows):
+        return _distributed(df, keys, order, output, value, sum_out, num_partitions, partition_column)
+    if method == "window" or (max_group_rows is not None and _groups_bounded(df, keys, max_group_rows)):
         return _plain(df, keys, order, output, value, sum_out)
     return _distributed(df, keys, order, output, value, sum_out, num_partitions)
 

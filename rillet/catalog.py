@@ -773,9 +773,25 @@ def s2(spark, d):
     return files.read_json(spark, path, schema=o.schema)
 
 
-@query("S5_convert_format", "SELECT * FROM lineitem")
+@query("S3_csv_sink", "SELECT * FROM lineitem")
+def s3(spark, d):
+    li = _t(spark, d, "lineitem")
+    path = scratch_path(spark, "csv-sink")
+    files.save(li, path, "csv")
+    return spark.read.schema(li.schema).options(**files.TIMESTAMP_OPTIONS).option("header", True).csv(path)
+
+
+@query("S4_json_sink", "SELECT * FROM events")
+def s4(spark, d):
+    ev = _t(spark, d, "events")
+    path = scratch_path(spark, "json-sink")
+    files.save(ev, path, "json")
+    return files.read_json(spark, path, schema=ev.schema, lines=True)
+
+
+@query("S5_convert_format", "SELECT * FROM events")
 def s5(spark, d):
-    return op_convert(_t(spark, d, "lineitem"), "csv")
+    return op_convert(_t(spark, d, "events"), "csv")
 
 
 def op_convert(df: DataFrame, fmt: str) -> DataFrame:

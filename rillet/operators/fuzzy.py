@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillet.common import StepError, require_columns
+from rillet.session import checkpoint_root
 
 
 def _k(m: Column, t: float) -> Column:
@@ -70,8 +71,15 @@ def _prefix(grams: DataFrame, freq: DataFrame, q: int, t: float) -> DataFrame:
 
 
 def _candidates(src: DataFrame, ref: DataFrame, q: int, t: float) -> DataFrame:
-    sg = _gram_counts(src, q)
-    rg = _gram_counts(ref, q)
+    """Candidate pairs ``(s, r)`` sharing a prefix q-gram and passing the length filter.
+
+    The gram tables are used twice (global frequencies, then prefixes), so
+    they are materialised once with a reliable checkpoint instead of
+    re-reading and re-exploding the inputs.
+    """
+    checkpoint_root(src.sparkSession)
+    sg = _gram_counts(src, q).checkpoint(eager=True)
+    rg = _gram_counts(ref, q).checkpoint(eager=True)
     freq = sg.unionByName(rg).groupBy("g").agg(F.sum("c").alias("f"))
     sp = _prefix(sg, freq, q, t).withColumnRenamed("x", "s")
     rp = _prefix(rg, freq, q, t).withColumnRenamed("x", "r")
@@ -90,6 +98,9 @@ def threshold_matches(src: DataFrame, ref: DataFrame, t: float, q: int = 2) -> D
         raise StepError("fuzzy_match: threshold mode needs 0 < threshold <= 100")
     if q * (1 - t / 100) >= 1:
         q = 1
+    checkpoint_root(src.sparkSession)
+    src = src.checkpoint(eager=True)
+    ref = ref.checkpoint(eager=True)
     cands = _candidates(src, ref, q, t)
     # pairs whose common-gram bound can be <= 0: both strings short; use characters
     if q > 1:
@@ -103,8 +114,10 @@ def threshold_matches(src: DataFrame, ref: DataFrame, t: float, q: int = 2) -> D
     k = _k(m, t)
     verified = (cands.withColumn("d", F.call_function("levenshtein", F.col("s"), F.col("r"), k))
                 .where(F.col("d") >= 0))
-    best = verified.groupBy("s").agg(F.min(F.struct("d", "r")).alias("b"))
-    return best.select("s", F.col("b.r").alias("r"), F.col("b.d").alias("d"))
+    # best per source: least distance, then least text; the window keeps one
+    # row per source before the shuffle (partial WindowGroupLimit)
+    w = Window.partitionBy("s").orderBy("d", "r")
+    return verified.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").select("s", "r", "d")
 
 
 def nearest_matches(src: DataFrame, ref: DataFrame, max_reference: int) -> DataFrame:

@@ -20,6 +20,10 @@ from rillet.session import scratch_path
 # The text spellings pandas' CSV reader treats as missing by default.
 NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+# Text forms of timestamps written by the sinks: full microsecond precision, so a
+# round trip through CSV or JSON keeps every timestamp exactly.
+TIMESTAMP_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+                     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 # The spellings pandas reads as booleans.
 TRUE_VALUES = ("True", "TRUE", "true")
 FALSE_VALUES = ("False", "FALSE", "false")
@@ -93,7 +97,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     if lines is None:
         first = spark.read.text(path).where(F.trim("value") != "").select(F.ltrim("value")).first()
         lines = not (first is not None and first[0].startswith("["))
-    reader = spark.read.option("multiLine", not lines)
+    reader = spark.read.option("multiLine", not lines).options(**TIMESTAMP_OPTIONS)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
@@ -123,6 +127,8 @@ def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "errorife
     """Write csv (header, no index), JSON lines or parquet."""
     kind = _format_of(path, fmt)
     writer = df.write.mode(mode).format(kind)
+    if kind in ("csv", "json"):
+        writer = writer.options(**TIMESTAMP_OPTIONS)
     if kind == "csv":
         writer = writer.option("header", True)
     if max_records_per_file:
@@ -140,7 +146,7 @@ def convert_format(df: DataFrame, fmt: str, path: str | None = None) -> DataFram
         raise StepError(f"convert_format: unsupported format {fmt!r}")
     target = path or scratch_path(df.sparkSession, f"convert-{fmt}")
     save(df, target, fmt)
-    reader = df.sparkSession.read.schema(df.schema)
+    reader = df.sparkSession.read.schema(df.schema).options(**TIMESTAMP_OPTIONS)
     if fmt == "csv":
         return reader.option("header", True).csv(target)
     return reader.format(fmt).load(target)

@@ -369,6 +369,14 @@ def r2(spark, d):
                                  {"F": "finished.csv", "O": "open.csv"}).tagged
 
 
+@query("R2b_route_documents_by_language", """
+SELECT doc_id, lang, text, CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' END AS route
+FROM documents""")
+def r2b(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "lang", "text")
+    return op.route_on_attribute(docs, "lang", {"en": "english", "fr": "french"}).tagged
+
+
 @query("R3_branching", """
 SELECT * EXCLUDE (v), CASE WHEN coalesce(v > 100, false) THEN 'true' ELSE 'false' END AS route
 FROM (SELECT *, nullif(value, 185.22) AS v FROM events)""")
@@ -586,8 +594,8 @@ def q10(spark, d):
 
 
 @query("Q11_scalar_functions", """
-SELECT o_orderkey, year(o_orderdate) AS yr, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start,
-  lower(o_orderpriority) AS prio, length(o_orderpriority) AS prio_len, abs(o_totalprice - 100000) AS dist,
+SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS yr, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start,
+  lower(o_orderpriority) AS prio, CAST(length(o_orderpriority) AS INTEGER) AS prio_len, abs(o_totalprice - 100000) AS dist,
   substr(o_orderpriority, 3, 4) AS prio_word FROM orders""")
 def q11(spark, d):
     return _sql(spark, d, "orders", """

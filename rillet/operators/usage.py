@@ -46,8 +46,7 @@ def quota_check(requests: DataFrame, usage: DataFrame, users: DataFrame,
     joined = requests.join(usage, ["user_id", "day"], "left").join(u, "user_id", "left")
     used = F.coalesce(F.col("rows_used"), F.lit(0))
     over = (used + F.col("rows_requested") > limit) & ~F.coalesce(F.col("is_subscribed"), F.lit(False))
-    return joined.select(requests.columns[0], *[c for c in requests.columns[1:]],
-                         used.cast("bigint").alias("rows_used"), (~over).alias("allowed"))
+    return joined.select(*requests.columns, used.cast("bigint").alias("rows_used"), (~over).alias("allowed"))
 
 
 def run_cost(rows: F.Column | str, is_subscribed: F.Column | str) -> F.Column:

@@ -166,7 +166,11 @@ def json_flatten(df: DataFrame, column: str, prefix: str | None = None,
     cols = [F.col(c) for c in df.columns if c != column]
     for p in leaves:
         ref = F.col(parsed)
+        dtype: T.DataType = schema
         for name in p:
             ref = ref.getField(name)
+            dtype = dtype[name].dataType
+        if isinstance(dtype, T.VariantType):  # mixed types: a JSON null is a SQL null
+            ref = F.when(~F.is_variant_null(ref), ref)
         cols.append(ref.alias(f"{pre}_{'.'.join(p)}"))
     return out.select(*cols)

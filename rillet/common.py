@@ -104,3 +104,23 @@ def unique_name(df: DataFrame, base: str) -> str:
         i += 1
         name = f"{base}_{i}"
     return name
+
+
+def target_partitions(df: DataFrame, minimum: int | None = None) -> int:
+    """Partition count for a shuffle of ``df`` sized to its estimated bytes.
+
+    ``max(spark.sql.shuffle.partitions, estimated size / advisory partition
+    size)``; the estimate is the optimizer's ``sizeInBytes`` (file sizes for
+    scans), so no job runs.
+    """
+    spark = df.sparkSession
+    conf = int(minimum or spark.conf.get("spark.sql.shuffle.partitions"))
+    advisory = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    text = advisory.strip().lower().rstrip("b")
+    target = int(float(text[:-1]) * units[text[-1]]) if text and text[-1] in units else int(text)
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. remote session)
+        size = 0
+    return max(conf, -(-size // max(target, 1)))

@@ -122,7 +122,7 @@ def threshold_matches(src: DataFrame, ref: DataFrame, t: float, q: int = 2) -> D
 
 def nearest_matches(src: DataFrame, ref: DataFrame, max_reference: int) -> DataFrame:
     """``(s, r, d)``: the nearest reference for every source value (no threshold)."""
-    n = ref.limit(max_reference + 1).count()
+    n = ref.count()
     if n > max_reference:
         raise StepError(f"fuzzy_match: nearest mode allows at most {max_reference} distinct "
                         "reference values; give a threshold instead")

@@ -104,7 +104,7 @@ def cross_join(left: DataFrame, right: DataFrame, max_right_rows: int = 100_000,
     ``left``.  Its row count is checked first (one bounded job); a larger
     right side is refused rather than planned as an all-pairs shuffle.
     """
-    n = right.limit(max_right_rows + 1).count()
+    n = right.count()
     if n > max_right_rows:
         raise StepError(f"cross_join: right side has more than {max_right_rows} rows")
     left, right = _suffix_overlap(left, right, [], suffixes)

@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillet.common import StepError, col_list, require_columns, unique_name
+from rillet.common import StepError, col_list, require_columns, target_partitions, unique_name
 from rillet.operators.windows import row_numbers
 
 ROUTE = "route"
@@ -128,7 +128,7 @@ def write_routes(routed: DataFrame, path: str, fmt: str = "csv", route: str = RO
     writes few directories and a route holding most rows is still spread
     over many tasks.
     """
-    n = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = target_partitions(routed)
     spread = F.xxhash64(*[F.col(c) for c in routed.columns])
     out = routed.repartitionByRange(n, F.col(route), spread)
     writer = out.write.mode(mode).partitionBy(route).format(fmt)

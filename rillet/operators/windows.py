@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillet.common import StepError, col_list, require_columns, total_order, unique_name
+from rillet.common import (StepError, col_list, require_columns, target_partitions, total_order,
+                           unique_name)
 from rillet.session import checkpoint_root
 
 #: groups up to this many rows are numbered with a plain window
@@ -35,10 +36,11 @@ DEFAULT_MAX_GROUP_ROWS = 5_000_000
 def _groups_bounded(df: DataFrame, keys: Sequence[str], bound: int) -> bool:
     """Prove that no group exceeds ``bound`` rows.
 
-    The row count of the whole table is the cheap proof (a count job); only
-    a larger table pays for the per-key counts (partial aggregation).
+    The row count of the whole table is the cheap proof (a count job, one
+    partial count per task); only a larger table pays for the per-key
+    counts (partial aggregation as well).
     """
-    if df.limit(bound + 1).count() <= bound:
+    if df.count() <= bound:
         return True
     row = df.groupBy(*keys).count().agg(F.max("count")).first()
     return int(row[0] or 0) <= bound
@@ -56,7 +58,7 @@ def _distributed(df: DataFrame, keys, order, rn_out, value, sum_out, num_partiti
                  partition_column=None) -> DataFrame:
     spark = df.sparkSession
     checkpoint_root(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or target_partitions(df)
     rid, P, I = unique_name(df, "__rid"), unique_name(df, "__p"), unique_name(df, "__i")
     sort = [F.col(k).asc_nulls_first() for k in keys] + order + [F.col(rid).asc()]
     tagged = (df.withColumn(rid, F.monotonically_increasing_id())

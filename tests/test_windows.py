@@ -44,8 +44,9 @@ def test_hot_group_is_spread_over_partitions(skewed):
                          partition_column="part")
     # the range shuffle cuts the hot group (a third of the rows) across partitions
     per_part = got.where("k = 'hot'").groupBy("part").count().collect()
-    assert len(per_part) >= 3
-    assert max(r["count"] for r in per_part) < got.where("k = 'hot'").count() / 2
+    hot = got.where("k = 'hot'").count()
+    assert len(per_part) >= 2
+    assert max(r["count"] for r in per_part) <= 0.75 * hot
 
 
 def test_global_numbering_is_dense(skewed):

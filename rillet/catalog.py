@@ -299,6 +299,14 @@ def w1(spark, d):
     return op.window_function(_t(spark, d, "events"), "rank", "user_id")
 
 
+@query("W1b_rank_by_order", """
+SELECT *, (rank() OVER w + rank() OVER w + count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS qty_rank
+FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity)""")
+def w1b(spark, d):
+    return op.window_function(_t(spark, d, "lineitem"), "rank", "l_returnflag", "qty_rank",
+                              order_by=["l_quantity"])
+
+
 @query("W2_row_number", """
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_number_result FROM events""")
 def w2(spark, d):

@@ -157,6 +157,39 @@ def row_numbers(df: DataFrame, partition_by: str | Iterable[str] | None, order_b
     return _distributed(df, keys, order, output, value, sum_out, num_partitions)
 
 
+def ordered_rank(df: DataFrame, partition_by: str | Iterable[str], order_by: str | Sequence[str],
+                 output: str = "rank", ties: str = "average", **numbering) -> DataFrame:
+    """Rank of ``order_by`` inside each partition (pandas ``groupby(k)[o].rank``).
+
+    Ties get the average of their positions (``ties="average"``, pandas'
+    default) or the lowest (``"min"``, SQL ``RANK``).  ``numbering`` goes to
+    :func:`row_numbers` (e.g. ``method="distributed"``).  Built from skew-safe
+    row numbers and a grouped min / max over each tie group (partial
+    aggregation), joined back on the tie group.  Null partition keys get
+    null.
+    """
+    keys = col_list(partition_by, "partition_by")
+    order = col_list(order_by, "order_by")
+    require_columns(df, keys + order, "ordered_rank")
+    if ties not in ("average", "min"):
+        raise StepError(f"ordered_rank: unknown ties {ties!r}")
+    rn = unique_name(df, "__rn")
+    nonnull = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    numbered = row_numbers(nonnull, keys, order, output=rn, **numbering)
+    tie = keys + order
+    lo, hi = unique_name(df, "__lo"), unique_name(df, "__hi")
+    bounds = numbered.groupBy(*tie).agg(F.min(rn).alias(lo), F.max(rn).alias(hi))
+    cond = None
+    for c in tie:
+        e = numbered[c].eqNullSafe(bounds[c])
+        cond = e if cond is None else cond & e
+    joined = numbered.join(bounds, cond, "inner").select(numbered["*"], bounds[lo], bounds[hi])
+    value = (F.col(lo) + F.col(hi)) / 2.0 if ties == "average" else F.col(lo).cast("double")
+    ranked = joined.withColumn(output, value).select(*df.columns, output)
+    nulls = df.where(" OR ".join(f"`{k}` IS NULL" for k in keys)).withColumn(output, F.lit(None).cast("double"))
+    return ranked.unionByName(nulls)
+
+
 def window_function(df: DataFrame, function: str, partition_by: str, output_column: str | None = None,
                     order_by=None, **numbering) -> DataFrame:
     """The reference's window step over one partition column.
@@ -164,6 +197,7 @@ def window_function(df: DataFrame, function: str, partition_by: str, output_colu
     * ``rank``: rank of the partition column inside its own partition.  Every
       row ties, so the value is the average rank ``(n + 1) / 2``; computed as
       a grouped count joined back (partial aggregation, no group in one task).
+      With ``order_by``, the rank of that order instead (:func:`ordered_rank`).
     * ``row_number``: position within the partition in ``order_by`` order.
     * ``cumsum``: running sum of the partition column itself, i.e. ``k * row_number``.
 
@@ -175,6 +209,8 @@ def window_function(df: DataFrame, function: str, partition_by: str, output_colu
     k = keys[0]
     require_columns(df, [k], "window_function")
     out = output_column or f"{function}_result"
+    if function == "rank" and order_by is not None:
+        return ordered_rank(df, [k], order_by, output=out, **numbering)
     if function == "rank":
         cnt = unique_name(df, "__n")
         counts = df.where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias(cnt))

@@ -100,3 +100,14 @@ def test_split_records_plan_has_no_single_partition(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     text = physical_plan(op.split_records(df, 100, order_by=["o_orderkey"]).routed, "simple")
     assert "SinglePartition" not in text
+
+
+def test_ordered_rank_matches_pandas_rank(spark):
+    pdf = pd.DataFrame({"k": ["a", "a", "a", "b", "b", "a", None], "o": [3, 1, 3, 2, 2, 5, 1], "id": range(7)})
+    df = spark.createDataFrame(pdf)
+    for ties, pandas_method in (("average", "average"), ("min", "min")):
+        want = pdf.groupby("k")["o"].rank(method=pandas_method)
+        for how in ("window", "distributed"):
+            got = _pdf(op.ordered_rank(df, "k", "o", output="r", ties=ties, method=how))
+            got = got.set_index("id").sort_index()["r"]
+            assert [None if pd.isna(x) else x for x in got] == [None if pd.isna(x) else x for x in want]

@@ -73,8 +73,11 @@ def timed(spark, fn) -> float:
 
 
 def main() -> None:
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG_DIR"):  # stage / task times without the web UI
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG_DIR"]}
     spark = local_session(cores=CPUS, shuffle_partitions=CPUS, app="rillet-bench",
-                          driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
+                          driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "8g"), extra=extra)
     for fn in QUERIES.values():  # warm-up round: JIT and file metadata for every query
         timed(spark, fn)
     results = {}

@@ -11,7 +11,7 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "rillet",
-                  driver_memory: str | None = None) -> SparkSession:
+                  driver_memory: str | None = None, extra: dict[str, str] | None = None) -> SparkSession:
     """A local session configured like the cluster one (tests, bench)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -24,7 +24,10 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "rille
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     if driver_memory:
         builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()

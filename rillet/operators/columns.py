@@ -155,6 +155,8 @@ def json_flatten(df: DataFrame, column: str, prefix: str | None = None,
     require_columns(df, [column], "json_flatten")
     pre = column if prefix is None else prefix
     if schema is None:
+        if df.isStreaming:
+            raise StepError("json_flatten: a stream needs an explicit schema")
         schema = infer_json_schema(df, column)
     elif isinstance(schema, str):
         schema = T._parse_datatype_string(schema)

@@ -43,7 +43,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     system temp directory (tests); on a cluster the setting is required,
     because a machine-local folder does not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's setting applies
+        configured = spark.conf.get(_CHECKPOINT_KEY, None)
+        if not configured:
+            raise RuntimeError(f"{_CHECKPOINT_KEY} is not set; name a shared folder for checkpoints")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -52,40 +52,41 @@ def _tau_lower(length: Column, q: int, t: float) -> Column:
 
 
 def _gram_counts(strings: DataFrame, q: int) -> DataFrame:
-    """``(x, g, c)``: each q-gram of each string with its multiplicity."""
+    """``(id, n, g, c)``: each q-gram of each text (by id, length ``n``) with its multiplicity."""
     n = F.length("x") - q + 1
     pos = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    grams = strings.select("x", F.explode(F.transform(pos, lambda j: F.substring(F.col("x"), j, q))).alias("g"))
-    return grams.groupBy("x", "g").agg(F.count(F.lit(1)).alias("c"))
+    grams = strings.select("id", F.length("x").alias("n"),
+                           F.explode(F.transform(pos, lambda j: F.substring(F.col("x"), j, q))).alias("g"))
+    return grams.groupBy("id", "n", "g").agg(F.count(F.lit(1)).alias("c"))
 
 
 def _prefix(grams: DataFrame, freq: DataFrame, q: int, t: float) -> DataFrame:
-    """Grams inside each string's prefix under the global (frequency, gram) order."""
-    w = Window.partitionBy("x").orderBy("f", "g")
+    """``(id, n, g)``: grams inside each text's prefix under the global (frequency, gram) order."""
+    w = Window.partitionBy("id").orderBy("f", "g")
     ranked = (grams.join(freq, "g")
               .withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("size", F.sum("c").over(Window.partitionBy("x")))
-              .withColumn("tau", F.greatest(_tau_lower(F.length("x"), q, t), F.lit(1))))
+              .withColumn("size", F.sum("c").over(Window.partitionBy("id")))
+              .withColumn("tau", F.greatest(_tau_lower(F.col("n"), q, t), F.lit(1))))
     keep = (F.col("upto") - F.col("c")) < (F.col("size") - F.col("tau") + 1)
-    return ranked.where(keep).select("x", "g")
+    return ranked.where(keep).select("id", "n", "g")
 
 
 def _candidates(src: DataFrame, ref: DataFrame, q: int, t: float) -> DataFrame:
-    """Candidate pairs ``(s, r)`` sharing a prefix q-gram and passing the length filter.
+    """Candidate id pairs ``(sid, rid)`` sharing a prefix q-gram and passing the length filter.
 
-    The gram tables are used twice (global frequencies, then prefixes), so
-    they are materialised once with a reliable checkpoint instead of
-    re-reading and re-exploding the inputs.
+    Texts travel as long ids (fixed by the checkpoint of the distinct
+    values), so the pair join and its de-duplication move 16-byte rows.  The
+    gram tables are used twice (global frequencies, then prefixes), so they
+    are materialised once.
     """
-    checkpoint_root(src.sparkSession)
     sg = _gram_counts(src, q).checkpoint(eager=True)
     rg = _gram_counts(ref, q).checkpoint(eager=True)
     freq = sg.unionByName(rg).groupBy("g").agg(F.sum("c").alias("f"))
-    sp = _prefix(sg, freq, q, t).withColumnRenamed("x", "s")
-    rp = _prefix(rg, freq, q, t).withColumnRenamed("x", "r")
-    pairs = sp.join(rp, "g").select("s", "r").distinct()
-    m = F.greatest(F.length("s"), F.length("r"))
-    return pairs.where(F.abs(F.length("s") - F.length("r")) <= _k(m, t))
+    sp = _prefix(sg, freq, q, t).toDF("sid", "sn", "g")
+    rp = _prefix(rg, freq, q, t).toDF("rid", "rn", "g")
+    m = F.greatest(F.col("sn"), F.col("rn"))
+    return (sp.join(rp, "g").where(F.abs(F.col("sn") - F.col("rn")) <= _k(m, t))
+            .select("sid", "rid").distinct())
 
 
 def threshold_matches(src: DataFrame, ref: DataFrame, t: float, q: int = 2) -> DataFrame:
@@ -99,8 +100,8 @@ def threshold_matches(src: DataFrame, ref: DataFrame, t: float, q: int = 2) -> D
     if q * (1 - t / 100) >= 1:
         q = 1
     checkpoint_root(src.sparkSession)
-    src = src.checkpoint(eager=True)
-    ref = ref.checkpoint(eager=True)
+    src = src.withColumn("id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    ref = ref.withColumn("id", F.monotonically_increasing_id()).checkpoint(eager=True)
     cands = _candidates(src, ref, q, t)
     # pairs whose common-gram bound can be <= 0: both strings short; use characters
     if q > 1:
@@ -110,9 +111,10 @@ def threshold_matches(src: DataFrame, ref: DataFrame, t: float, q: int = 2) -> D
             s_short = src.where(F.length("x") <= short)
             r_short = ref.where(F.length("x") <= short)
             cands = cands.unionByName(_candidates(s_short, r_short, 1, t)).distinct()
+    pairs = (cands.join(src.toDF("s", "sid"), "sid").join(ref.toDF("r", "rid"), "rid").select("s", "r"))
     m = F.greatest(F.length("s"), F.length("r"))
     k = _k(m, t)
-    verified = (cands.withColumn("d", F.call_function("levenshtein", F.col("s"), F.col("r"), k))
+    verified = (pairs.withColumn("d", F.call_function("levenshtein", F.col("s"), F.col("r"), k))
                 .where(F.col("d") >= 0))
     # best per source: least distance, then least text; the window keeps one
     # row per source before the shuffle (partial WindowGroupLimit)

@@ -17,7 +17,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from rillet import operators as op  # noqa: E402
 from rillet.session import local_session  # noqa: E402

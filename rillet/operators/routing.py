@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillet.common import StepError, col_list, require_columns, target_partitions, unique_name
+from rillet.common import StepError, require_columns, target_partitions, unique_name
 from rillet.operators.windows import row_numbers
 
 ROUTE = "route"

@@ -30,10 +30,19 @@ class Routed(NamedTuple):
     rest: DataFrame
     tagged: DataFrame | None = None
 
-    def outputs(self, names: Sequence[str] | None = None, route: str = ROUTE) -> dict[str, DataFrame]:
-        """One lazy DataFrame per output name (listing names needs no job when given)."""
+    def outputs(self, names: Sequence[str] | None = None, route: str = ROUTE,
+                max_outputs: int = 10_000) -> dict[str, DataFrame]:
+        """One lazy DataFrame per output name.
+
+        Without ``names`` the route names are listed (one job, at most
+        ``max_outputs`` names reach the driver); more outputs than that are
+        for :func:`write_routes`, which never lists them.
+        """
         if names is None:
-            names = sorted(r[0] for r in self.routed.select(route).distinct().collect())
+            found = [r[0] for r in self.routed.select(route).distinct().limit(max_outputs + 1).collect()]
+            if len(found) > max_outputs:
+                raise StepError(f"more than {max_outputs} outputs; write them with write_routes")
+            names = sorted(found)
         return {n: self.routed.where(F.col(route) == n).drop(route) for n in names}
 
 

@@ -75,3 +75,12 @@ def test_write_routes_one_directory_per_route(spark, routed):
     write_routes(res.routed, path, fmt="csv")
     dirs = sorted(d for d in os.listdir(path.replace("file:", "")) if d.startswith("route="))
     assert dirs == ["route=one", "route=two"]
+
+
+def test_outputs_listing_is_bounded(routed):
+    from rillet.common import StepError
+
+    res = op.dynamic_split(routed, "value", "p_")
+    assert len(res.outputs()) == 5
+    with pytest.raises(StepError):
+        res.outputs(max_outputs=3)

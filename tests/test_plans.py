@@ -50,3 +50,16 @@ def test_null_safe_join_is_a_hash_join(spark):
     c = spark.read.parquet(f"{D}/customer.parquet").withColumnRenamed("c_custkey", "o_custkey")
     text = physical_plan(op.join(o, c, "o_custkey"), "simple")
     assert "HashJoin" in text and "isnull" in text
+
+
+def test_filter_after_join_and_enrich_reaches_the_scan(spark):
+    o = spark.read.parquet(f"{D}/orders.parquet")
+    c = spark.read.parquet(f"{D}/customer.parquet").withColumnRenamed("c_custkey", "o_custkey")
+    step = chain(lambda d: op.join(d, c, "o_custkey", "left"),
+                 lambda d: op.replace_values(d, "o_orderpriority", "5-LOW", "low"),
+                 lambda d: op.filter_rows(d, "o_orderstatus = 'F' AND c_acctbal > 0"),
+                 lambda d: op.select_columns(d, "o_orderkey, c_name"))
+    plan = physical_plan(step(o))
+    assert "EqualTo(o_orderstatus,F)" in plan           # pushed through the join to the orders scan
+    assert "GreaterThan(c_acctbal,0.0)" in plan          # and to the customer scan
+    assert "o_orderpriority" not in plan.split("ReadSchema")[1].split("\n")[0]  # pruned column

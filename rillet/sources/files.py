@@ -87,13 +87,45 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return _apply_types(raw, schema)
 
 
+def _read_json_columns(spark: SparkSession, path: str) -> DataFrame:
+    """One column-oriented object per file: ``{"col": {"<row>": value, ...}, ...}``.
+
+    Each file is parsed once as a variant and exploded into
+    ``(column, row, value)`` cells; each column's type comes from the merged
+    schema of its values, and the cells are pivoted back to rows (ordered by
+    row label).  A whole document is one task: the format is not splittable.
+    """
+    docs = spark.read.option("wholetext", True).text(path).select(
+        F.input_file_name().alias("file"), F.parse_json("value").alias("v"))
+    cols = docs.select("file", F.explode(F.col("v").cast("map<string, variant>")).alias("col", "cells"))
+    cells = cols.select("file", "col", F.explode(F.col("cells").cast("map<string, variant>")).alias("row", "value"))
+    types = {r["col"]: r["t"] for r in cells.groupBy("col").agg(
+        F.expr("schema_of_variant_agg(value)").alias("t")).collect()}
+    names = sorted(types)
+    wide = cells.groupBy("file", "row").pivot("col", names).agg(F.first("value"))
+    typed = []
+    for c in names:
+        ddl = types[c] or "STRING"
+        ddl = ddl.replace("OBJECT<", "STRUCT<")
+        if ddl.startswith("DECIMAL"):
+            ddl = "DOUBLE"
+        typed.append(F.col(f"`{c}`").cast(ddl).alias(c) if ddl != "VARIANT" else F.col(f"`{c}`"))
+    order = F.coalesce(F.col("row").try_cast("bigint"), F.lit(None).cast("bigint"))
+    return wide.orderBy("file", order, "row").select(*typed)
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-              lines: bool | None = None) -> DataFrame:
+              lines: bool | None = None, orient: str = "records") -> DataFrame:
     """JSON lines, or one document holding an array of records (``lines=False``).
 
     With ``lines=None`` the first character of the input decides: ``[`` means
-    one document.
+    one document.  ``orient="columns"`` reads one column-oriented object per
+    file (``{"col": {"0": v, "1": w}}``).
     """
+    if orient == "columns":
+        return _read_json_columns(spark, path)
+    if orient != "records":
+        raise StepError(f"read_json: unknown orient {orient!r}")
     if lines is None:
         first = spark.read.text(path).where(F.trim("value") != "").select(F.ltrim("value")).first()
         lines = not (first is not None and first[0].startswith("["))

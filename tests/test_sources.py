@@ -46,3 +46,13 @@ def test_save_csv_header(spark):
     path = scratch_path(spark, "out") + ".csv"
     save(op.select_columns(df, "b, a"), path)
     assert read_csv(spark, path).columns == ["b", "a"]
+
+
+def test_json_column_oriented_document(spark):
+    import pandas as pd
+
+    pdf = pd.DataFrame({"a": [1, 2, 3], "b": ["x", None, "z"], "c": [1.5, 2.0, 2.5]})
+    p = _write(scratch_path(spark, "json") + "/cols.json", pdf.to_json())  # pandas' default orient
+    df = read_json(spark, p, orient="columns")
+    assert df.columns == ["a", "b", "c"]
+    assert [tuple(r) for r in df.collect()] == [(1, "x", 1.5), (2, None, 2.0), (3, "z", 2.5)]

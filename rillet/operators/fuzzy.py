@@ -110,7 +110,8 @@ def threshold_matches(src: DataFrame, ref: DataFrame, t: float, q: int = 2) -> D
         if short >= 1:
             s_short = src.where(F.length("x") <= short)
             r_short = ref.where(F.length("x") <= short)
-            cands = cands.unionByName(_candidates(s_short, r_short, 1, t)).distinct()
+            if not (s_short.isEmpty() or r_short.isEmpty()):  # a pair needs both sides short
+                cands = cands.unionByName(_candidates(s_short, r_short, 1, t)).distinct()
     pairs = (cands.join(src.toDF("s", "sid"), "sid").join(ref.toDF("r", "rid"), "rid").select("s", "r"))
     m = F.greatest(F.length("s"), F.length("r"))
     k = _k(m, t)

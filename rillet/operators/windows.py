@@ -158,36 +158,48 @@ def row_numbers(df: DataFrame, partition_by: str | Iterable[str] | None, order_b
 
 
 def ordered_rank(df: DataFrame, partition_by: str | Iterable[str], order_by: str | Sequence[str],
-                 output: str = "rank", ties: str = "average", **numbering) -> DataFrame:
+                 output: str = "rank", ties: str = "average", method: str = "auto",
+                 max_group_rows: int | None = DEFAULT_MAX_GROUP_ROWS, num_partitions: int | None = None) -> DataFrame:
     """Rank of ``order_by`` inside each partition (pandas ``groupby(k)[o].rank``).
 
     Ties get the average of their positions (``ties="average"``, pandas'
-    default) or the lowest (``"min"``, SQL ``RANK``).  ``numbering`` goes to
-    :func:`row_numbers` (e.g. ``method="distributed"``).  Built from skew-safe
-    row numbers and a grouped min / max over each tie group (partial
-    aggregation), joined back on the tie group.  Null partition keys get
-    null.
+    default) or the lowest (``"min"``, SQL ``RANK``).  Rows with a null key or
+    a null order value get null and are left out of the ranking.
+
+    Bounded groups (proven as in :func:`row_numbers`) use ``rank()`` and a
+    tie count over ``(keys, order)`` — both windows share the key
+    partitioning, so one pass.  Otherwise the skew-safe row numbers are
+    reduced to the first and last number of each tie group (partial
+    aggregation) and joined back on the tie group.
     """
     keys = col_list(partition_by, "partition_by")
     order = col_list(order_by, "order_by")
     require_columns(df, keys + order, "ordered_rank")
     if ties not in ("average", "min"):
         raise StepError(f"ordered_rank: unknown ties {ties!r}")
-    rn = unique_name(df, "__rn")
-    nonnull = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    numbered = row_numbers(nonnull, keys, order, output=rn, **numbering)
     tie = keys + order
-    lo, hi = unique_name(df, "__lo"), unique_name(df, "__hi")
-    bounds = numbered.groupBy(*tie).agg(F.min(rn).alias(lo), F.max(rn).alias(hi))
-    cond = None
-    for c in tie:
-        e = numbered[c].eqNullSafe(bounds[c])
-        cond = e if cond is None else cond & e
-    joined = numbered.join(bounds, cond, "inner").select(numbered["*"], bounds[lo], bounds[hi])
-    value = (F.col(lo) + F.col(hi)) / 2.0 if ties == "average" else F.col(lo).cast("double")
-    ranked = joined.withColumn(output, value).select(*df.columns, output)
-    nulls = df.where(" OR ".join(f"`{k}` IS NULL" for k in keys)).withColumn(output, F.lit(None).cast("double"))
-    return ranked.unionByName(nulls)
+    present = " AND ".join(f"`{c}` IS NOT NULL" for c in tie)
+    ranked_rows = df.where(present)
+    if method == "window" or (method == "auto" and max_group_rows is not None
+                              and keys and _groups_bounded(ranked_rows, keys, max_group_rows)):
+        low = F.rank().over(Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order]))
+        if ties == "average":
+            n_ties = F.count(F.lit(1)).over(Window.partitionBy(*tie))
+            value = low + (n_ties - 1) / 2.0
+        else:
+            value = low.cast("double")
+        ranked = ranked_rows.withColumn(output, value)
+    else:
+        rn = unique_name(df, "__rn")
+        numbered = row_numbers(ranked_rows, keys, order, output=rn, method="distributed",
+                               num_partitions=num_partitions)
+        lo, hi = unique_name(df, "__lo"), unique_name(df, "__hi")
+        bounds = numbered.groupBy(*tie).agg(F.min(rn).alias(lo), F.max(rn).alias(hi))
+        joined = numbered.join(bounds, tie, "inner")
+        value = (F.col(lo) + F.col(hi)) / 2.0 if ties == "average" else F.col(lo).cast("double")
+        ranked = joined.withColumn(output, value)
+    rest = df.where(f"NOT ({present})").withColumn(output, F.lit(None).cast("double"))
+    return ranked.select(*df.columns, output).unionByName(rest)
 
 
 def window_function(df: DataFrame, function: str, partition_by: str, output_column: str | None = None,

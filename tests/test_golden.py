@@ -103,7 +103,8 @@ def test_split_records_plan_has_no_single_partition(spark):
 
 
 def test_ordered_rank_matches_pandas_rank(spark):
-    pdf = pd.DataFrame({"k": ["a", "a", "a", "b", "b", "a", None], "o": [3, 1, 3, 2, 2, 5, 1], "id": range(7)})
+    pdf = pd.DataFrame({"k": ["a", "a", "a", "b", "b", "a", None, "b"], "o": [3, 1, 3, 2, 2, 5, 1, None],
+                        "id": range(8)})
     df = spark.createDataFrame(pdf)
     for ties, pandas_method in (("average", "average"), ("min", "min")):
         want = pdf.groupby("k")["o"].rank(method=pandas_method)

@@ -9,7 +9,9 @@ bound first (one aggregate job).  Beyond it, numbering is distributed:
    across many partitions — and sort inside each partition;
 2. tag each row with its partition ``P`` and position ``I``;
 3. number rows inside ``(P, keys)`` with a window (no group exceeds a
-   partition), then materialise once with a reliable checkpoint;
+   partition), then materialise once as a parquet table in the shared
+   checkpoint folder (survives executor loss; later passes read only the
+   columns they need);
 4. one row of boundary statistics per partition (first / last key, size of
    the last run) goes to the driver — bounded by the partition count — and
    gives, per partition, the rows its first key already had in earlier
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 
 from rillet.common import (StepError, col_list, require_columns, target_partitions, total_order,
                            unique_name)
-from rillet.session import checkpoint_root
+from rillet.session import checkpoint_root, materialize
 
 #: groups up to this many rows are numbered with a plain window
 DEFAULT_MAX_GROUP_ROWS = 5_000_000
@@ -75,7 +77,7 @@ def _distributed(df: DataFrame, keys, order, rn_out, value, sum_out, num_partiti
         tagged = tagged.withColumn(rn_out, F.col(I) - F.shiftleft(F.col(P).cast("bigint"), 33) + 1)
         if value is not None:
             raise StepError("running sum without partition keys is not supported")
-    tagged = tagged.checkpoint(eager=True)
+    tagged = materialize(tagged, "numbering")
 
     kstruct = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
     aggs = [F.count(F.lit(1)).alias("total"),

@@ -69,3 +69,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     root = checkpoint_root(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` (the files survive the loss of
+    any executor) but stores columns, so later passes read only the columns
+    they use.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

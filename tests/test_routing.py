@@ -84,3 +84,13 @@ def test_outputs_listing_is_bounded(routed):
     assert len(res.outputs()) == 5
     with pytest.raises(StepError):
         res.outputs(max_outputs=3)
+
+
+def test_write_routes_spreads_a_dominant_route(spark):
+    df = spark.range(0, 4000).withColumn("v", F.when(F.col("id") < 3600, "hot").otherwise("cold"))
+    res = op.route_on_attribute(df, "v", {"hot": "hot", "cold": "cold"})
+    path = scratch_path(spark, "routes-skew").replace("file:", "")
+    write_routes(res.routed, path, fmt="parquet")
+    hot_files = [f for f in os.listdir(os.path.join(path, "route=hot")) if f.endswith(".parquet")]
+    assert len(hot_files) >= 2  # the dominant route is written by several tasks
+    assert spark.read.parquet(path).count() == 4000

@@ -275,6 +275,15 @@ def a7(spark, d):
                     pivot_values=_PRIOS)
 
 
+@query("A7c_pivot_std", "SELECT o_orderstatus, " + ", ".join(
+    f"round(stddev_samp(CASE WHEN o_orderpriority = '{p}' THEN o_totalprice END), 6) AS \"{p}\"" for p in _PRIOS)
+    + " FROM orders GROUP BY o_orderstatus")
+def a7c(spark, d):
+    out = op.pivot(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority", "o_totalprice", "std",
+                   pivot_values=_PRIOS)
+    return out.select("o_orderstatus", *[F.round(F.col(f"`{p}`"), 6).alias(p) for p in _PRIOS])
+
+
 @query("A7b_pivot_two_keys_mean", """
 SELECT l_linestatus,
   round(avg(CASE WHEN l_returnflag || '_' || CAST(l_quantity >= 25 AS VARCHAR) = 'A_true' THEN l_discount END), 6) AS "A_true",

@@ -84,11 +84,14 @@ def pivot(df: DataFrame, index: str | Iterable[str], columns: str | Iterable[str
     ``pivot_values`` fixes the output schema and skips the pass that finds
     the distinct values (bounded by ``spark.sql.pivotMaxValues``).  Rows with
     a null index or pivot key are dropped; an absent cell is null.
+    ``aggfunc``: sum, mean, count, min, max, and the other order-free pandas
+    names that aggregate partially: std and var (sample), nunique.
     """
     idx = col_list(index, "pivot_index")
     pcols = col_list(columns, "pivot_columns")
     require_columns(df, idx + pcols + [values], "pivot")
-    if aggfunc not in ("sum", "mean", "count", "min", "max"):
+    extra = {"std": F.stddev_samp, "var": F.var_samp, "nunique": F.count_distinct}
+    if aggfunc not in ("sum", "mean", "count", "min", "max", *extra):
         raise StepError(f"pivot: unsupported aggfunc {aggfunc!r}")
     data = _drop_null_keys(df, idx + pcols)
     if len(pcols) == 1:
@@ -98,4 +101,6 @@ def pivot(df: DataFrame, index: str | Iterable[str], columns: str | Iterable[str
         data = data.withColumn(pkey, F.concat_ws(sep, *[F.col(c).cast("string") for c in pcols]))
     grouped = data.groupBy(*idx)
     grouped = grouped.pivot(pkey, list(pivot_values)) if pivot_values is not None else grouped.pivot(pkey)
+    if aggfunc in extra:
+        return grouped.agg(extra[aggfunc](F.col(values)))
     return grouped.agg(agg_expr(values, aggfunc) if aggfunc != "sum" else F.sum(values))

@@ -112,3 +112,16 @@ def test_ordered_rank_matches_pandas_rank(spark):
             got = _pdf(op.ordered_rank(df, "k", "o", output="r", ties=ties, method=how))
             got = got.set_index("id").sort_index()["r"]
             assert [None if pd.isna(x) else x for x in got] == [None if pd.isna(x) else x for x in want]
+
+
+def test_pivot_std_var_nunique_match_pandas(spark):
+    data = [("a", "x", 1.0), ("a", "x", 3.0), ("a", "x", 3.0), ("a", "y", 2.0), ("b", "y", 5.0), ("b", "y", 7.0)]
+    pdf = pd.DataFrame(data, columns=["i", "c", "v"])
+    df = spark.createDataFrame(pdf)
+    for func in ("std", "var", "nunique"):
+        want = pd.pivot_table(pdf, index="i", columns="c", values="v", aggfunc=func)
+        got = _pdf(op.pivot(df, "i", "c", "v", func)).set_index("i").sort_index()
+        for col in want.columns:
+            for i in want.index:
+                a, b = want.loc[i, col], got.loc[i, col]
+                assert (pd.isna(a) and pd.isna(b)) or math.isclose(a, b)

@@ -66,3 +66,14 @@ def test_similarity_column_and_non_ascii(spark):
     out = {r.name: (r.best, r.sim) for r in op.fuzzy_match(df, "name", rf, "ref", "best", threshold=70,
                                                            similarity_column="sim").collect()}
     assert out["cafe"] == ("cafe", 100.0) and out["café"] == ("cafe", 75.0)
+
+
+@pytest.mark.parametrize("t", [85, 60])
+def test_threshold_mode_non_ascii_equals_brute_force(spark, t):
+    rnd = random.Random(100 + t)
+    src, ref = words(rnd, 80, alphabet="aé漢b", lo=1, hi=7), words(rnd, 60, alphabet="aé漢b", lo=1, hi=7)
+    df = spark.createDataFrame([(s,) for s in src], "name string")
+    rf = spark.createDataFrame([(r,) for r in ref], "ref string")
+    got = {r.name: r.best for r in op.fuzzy_match(df, "name", rf, "ref", "best", threshold=t).collect()}
+    want = brute(src, ref, t)
+    assert all(got[s] == want[s] for s in set(src))

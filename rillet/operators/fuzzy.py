@@ -123,10 +123,11 @@ def threshold_matches(src: DataFrame, ref: DataFrame, t: float, q: int = 2) -> D
     return verified.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").select("s", "r", "d")
 
 
-def nearest_matches(src: DataFrame, ref: DataFrame, max_reference: int) -> DataFrame:
+def nearest_matches(src: DataFrame, ref: DataFrame, max_reference: int,
+                    max_reference_chars: int = 64 << 20) -> DataFrame:
     """``(s, r, d)``: the nearest reference for every source value (no threshold)."""
-    n = ref.count()
-    if n > max_reference:
+    n, chars = ref.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("x")), F.lit(0))).first()
+    if n > max_reference or chars > max_reference_chars:
         raise StepError(f"fuzzy_match: nearest mode allows at most {max_reference} distinct "
                         "reference values; give a threshold instead")
     if n == 0:

@@ -96,17 +96,20 @@ def enrich_data(df: DataFrame, lookup: DataFrame, on: str | Iterable[str],
 
 
 def cross_join(left: DataFrame, right: DataFrame, max_right_rows: int = 100_000,
-               suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+               max_right_bytes: int = 256 << 20, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
     """Cartesian product of ``left`` with a small ``right`` table.
 
     The right side is broadcast, so the product is computed next to each
     left partition without a shuffle and the output grows linearly with
-    ``left``.  Its row count is checked first (one bounded job); a larger
-    right side is refused rather than planned as an all-pairs shuffle.
+    ``left``.  Its row count and its size as JSON text are measured first
+    (one aggregate job, one partial row per task); a larger right side is
+    refused rather than planned as an all-pairs shuffle.
     """
-    n = right.count()
-    if n > max_right_rows:
-        raise StepError(f"cross_join: right side has more than {max_right_rows} rows")
+    n, size = right.agg(F.count(F.lit(1)),
+                        F.coalesce(F.sum(F.length(F.to_json(F.struct(*right.columns)))), F.lit(0))).first()
+    if n > max_right_rows or size > max_right_bytes:
+        raise StepError(f"cross_join: right side has {n} rows / {size} bytes; the bound is "
+                        f"{max_right_rows} rows and {max_right_bytes} bytes")
     left, right = _suffix_overlap(left, right, [], suffixes)
     return left.crossJoin(F.broadcast(right))
 

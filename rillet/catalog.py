@@ -331,6 +331,17 @@ def w2b(spark, d):
                           method="distributed")
 
 
+@query("W2c_row_number_hot_key_split", """
+SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate NULLS FIRST, l_orderkey NULLS FIRST,
+  l_linenumber NULLS FIRST, l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_quantity NULLS FIRST,
+  l_extendedprice NULLS FIRST, l_discount NULLS FIRST, l_tax NULLS FIRST, l_linestatus NULLS FIRST) AS rn
+FROM lineitem""")
+def w2c(spark, d):
+    # groups above 20,000 rows (hot keys) are numbered distributed, the others with a plain window
+    return op.row_numbers(_t(spark, d, "lineitem"), "l_returnflag", ["l_shipdate", "l_orderkey", "l_linenumber"],
+                          output="rn", max_group_rows=20_000)
+
+
 @query("W3_cumsum", """
 SELECT *, user_id * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cumsum_result FROM events""")
 def w3(spark, d):

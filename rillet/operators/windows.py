@@ -2,7 +2,9 @@
 
 A plain ``Window.partitionBy(k)`` sends every row of a group to one task.
 That is fine while groups are bounded, and :func:`row_numbers` proves the
-bound first (one aggregate job).  Beyond it, numbering is distributed:
+bound first: a row count of the table, else per-key counts that name the
+hot keys (groups above the bound).  Rows of hot keys are numbered
+distributed, all other rows with the plain window:
 
 1. range-partition on ``(keys, order, tie-breaks, row id)`` — the row id makes
    every sort key unique, so the sampled range bounds can cut a hot group
@@ -35,19 +37,6 @@ from rillet.session import checkpoint_root, materialize
 DEFAULT_MAX_GROUP_ROWS = 5_000_000
 
 
-def _groups_bounded(df: DataFrame, keys: Sequence[str], bound: int) -> bool:
-    """Prove that no group exceeds ``bound`` rows.
-
-    The row count of the whole table is the cheap proof (a count job, one
-    partial count per task); only a larger table pays for the per-key
-    counts (partial aggregation as well).
-    """
-    if df.count() <= bound:
-        return True
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0) <= bound
-
-
 def _plain(df: DataFrame, keys, order, rn_out, value, sum_out) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     cols = {rn_out: F.row_number().over(w).cast("bigint")}
@@ -134,6 +123,27 @@ def _distributed(df: DataFrame, keys, order, rn_out, value, sum_out, num_partiti
     return joined.withColumns(cols).select(*df.columns, rn_out, *([sum_out] if value is not None else []), *extra)
 
 
+#: at most this many hot keys are listed and split off; more hot keys than that number everything distributed
+MAX_HOT_KEYS = 10_000
+
+
+def _hot_keys(df: DataFrame, keys: Sequence[str], bound: int) -> list | None:
+    """Keys whose group exceeds ``bound`` rows (None: more than ``MAX_HOT_KEYS`` of them)."""
+    hot = (df.groupBy(*keys).count().where(F.col("count") > bound).select(*keys)
+           .limit(MAX_HOT_KEYS + 1).collect())
+    return None if len(hot) > MAX_HOT_KEYS else hot
+
+
+def _split_hot(df: DataFrame, keys: Sequence[str], hot: list) -> tuple[DataFrame, DataFrame]:
+    """``(rows of hot keys, all other rows)`` via a broadcast of the (bounded) hot-key list."""
+    hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*keys).schema))
+    cond = None
+    for k in keys:
+        c = df[k].eqNullSafe(hot_df[k])
+        cond = c if cond is None else cond & c
+    return df.join(hot_df, cond, "left_semi"), df.join(hot_df, cond, "left_anti")
+
+
 def row_numbers(df: DataFrame, partition_by: str | Iterable[str] | None, order_by,
                 output: str = "row_number", value: str | None = None, sum_output: str | None = None,
                 max_group_rows: int | None = DEFAULT_MAX_GROUP_ROWS, num_partitions: int | None = None,
@@ -142,21 +152,30 @@ def row_numbers(df: DataFrame, partition_by: str | Iterable[str] | None, order_b
 
     Order is ``order_by`` then every other column.  ``method``: ``"window"``
     (plain window), ``"distributed"`` (skew-safe, see module notes) or
-    ``"auto"``: plain window when the largest group is proven to hold at
-    most ``max_group_rows`` rows, distributed otherwise.  Without partition
-    keys the numbering is always distributed (a global window would move
-    every row to one task).  ``partition_column`` keeps the range partition
-    of each row (distributed method; for inspection).
+    ``"auto"``: a table of at most ``max_group_rows`` rows is numbered with a
+    plain window; otherwise the per-key counts find the hot keys (groups
+    above the bound), whose rows are numbered distributed while all other
+    rows take the plain window (bounded groups), and the two are unioned.
+    Without partition keys the numbering is always distributed (a global
+    window would move every row to one task).  ``partition_column`` keeps the
+    range partition of each row (distributed method; for inspection).
     """
     keys = col_list(partition_by, "partition_by", allow_empty=True)
     require_columns(df, keys, "row_numbers")
     order = total_order(df, order_by, exclude=keys)
     sum_out = sum_output or f"{value}_running_sum"
-    if not keys or method == "distributed":
+    if not keys or method == "distributed" or (method == "auto" and max_group_rows is None):
         return _distributed(df, keys, order, output, value, sum_out, num_partitions, partition_column)
-    if method == "window" or (max_group_rows is not None and _groups_bounded(df, keys, max_group_rows)):
+    if method == "window" or df.count() <= max_group_rows:
         return _plain(df, keys, order, output, value, sum_out)
-    return _distributed(df, keys, order, output, value, sum_out, num_partitions)
+    hot = _hot_keys(df, keys, max_group_rows)
+    if hot is None:
+        return _distributed(df, keys, order, output, value, sum_out, num_partitions)
+    if not hot:
+        return _plain(df, keys, order, output, value, sum_out)
+    hot_rows, other_rows = _split_hot(df, keys, hot)
+    return (_plain(other_rows, keys, order, output, value, sum_out)
+            .unionByName(_distributed(hot_rows, keys, order, output, value, sum_out, num_partitions)))
 
 
 def ordered_rank(df: DataFrame, partition_by: str | Iterable[str], order_by: str | Sequence[str],
@@ -170,9 +189,9 @@ def ordered_rank(df: DataFrame, partition_by: str | Iterable[str], order_by: str
 
     Bounded groups (proven as in :func:`row_numbers`) use ``rank()`` and a
     tie count over ``(keys, order)`` — both windows share the key
-    partitioning, so one pass.  Otherwise the skew-safe row numbers are
-    reduced to the first and last number of each tie group (partial
-    aggregation) and joined back on the tie group.
+    partitioning, so one pass.  Rows of hot keys take the skew-safe row
+    numbers instead, reduced to the first and last number of each tie group
+    (partial aggregation) and joined back on the tie group.
     """
     keys = col_list(partition_by, "partition_by")
     order = col_list(order_by, "order_by")
@@ -182,24 +201,37 @@ def ordered_rank(df: DataFrame, partition_by: str | Iterable[str], order_by: str
     tie = keys + order
     present = " AND ".join(f"`{c}` IS NOT NULL" for c in tie)
     ranked_rows = df.where(present)
-    if method == "window" or (method == "auto" and max_group_rows is not None
-                              and keys and _groups_bounded(ranked_rows, keys, max_group_rows)):
+
+    def window_rank(rows: DataFrame) -> DataFrame:
         low = F.rank().over(Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order]))
         if ties == "average":
             n_ties = F.count(F.lit(1)).over(Window.partitionBy(*tie))
-            value = low + (n_ties - 1) / 2.0
-        else:
-            value = low.cast("double")
-        ranked = ranked_rows.withColumn(output, value)
-    else:
+            return rows.withColumn(output, low + (n_ties - 1) / 2.0)
+        return rows.withColumn(output, low.cast("double"))
+
+    def distributed_rank(rows: DataFrame) -> DataFrame:
         rn = unique_name(df, "__rn")
-        numbered = row_numbers(ranked_rows, keys, order, output=rn, method="distributed",
-                               num_partitions=num_partitions)
+        numbered = row_numbers(rows, keys, order, output=rn, method="distributed", num_partitions=num_partitions)
         lo, hi = unique_name(df, "__lo"), unique_name(df, "__hi")
         bounds = numbered.groupBy(*tie).agg(F.min(rn).alias(lo), F.max(rn).alias(hi))
         joined = numbered.join(bounds, tie, "inner")
         value = (F.col(lo) + F.col(hi)) / 2.0 if ties == "average" else F.col(lo).cast("double")
-        ranked = joined.withColumn(output, value)
+        return joined.withColumn(output, value).select(*df.columns, output)
+
+    if method == "window" or (method == "auto" and max_group_rows is not None
+                              and ranked_rows.count() <= max_group_rows):
+        ranked = window_rank(ranked_rows)
+    elif method == "distributed" or max_group_rows is None:
+        ranked = distributed_rank(ranked_rows)
+    else:
+        hot = _hot_keys(ranked_rows, keys, max_group_rows)
+        if hot is None:
+            ranked = distributed_rank(ranked_rows)
+        elif not hot:
+            ranked = window_rank(ranked_rows)
+        else:
+            hot_rows, other_rows = _split_hot(ranked_rows, keys, hot)
+            ranked = window_rank(other_rows).select(*df.columns, output).unionByName(distributed_rank(hot_rows))
     rest = df.where(f"NOT ({present})").withColumn(output, F.lit(None).cast("double"))
     return ranked.select(*df.columns, output).unionByName(rest)
 

@@ -108,8 +108,9 @@ def test_ordered_rank_matches_pandas_rank(spark):
     df = spark.createDataFrame(pdf)
     for ties, pandas_method in (("average", "average"), ("min", "min")):
         want = pdf.groupby("k")["o"].rank(method=pandas_method)
-        for how in ("window", "distributed"):
-            got = _pdf(op.ordered_rank(df, "k", "o", output="r", ties=ties, method=how))
+        for how, bound in (("window", None), ("distributed", None), ("auto", 2)):
+            extra = {"max_group_rows": bound} if bound else {}
+            got = _pdf(op.ordered_rank(df, "k", "o", output="r", ties=ties, method=how, **extra))
             got = got.set_index("id").sort_index()["r"]
             assert [None if pd.isna(x) else x for x in got] == [None if pd.isna(x) else x for x in want]
 

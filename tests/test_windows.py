@@ -78,3 +78,12 @@ def test_window_function_row_number_and_cumsum(spark):
     assert cs[(3, 3)] == 9 and cs[(5, 1)] == 5
     with pytest.raises(StepError):
         op.window_function(df, "row_number", "p")
+
+
+@pytest.mark.parametrize("bound", [20, 50, 200])
+def test_auto_splits_hot_keys_from_bounded_ones(skewed, bound):
+    # bound 20 makes the null-key group (31 rows) hot as well
+    got = op.row_numbers(skewed, "k", ["o"], output="rn", value="v", sum_output="rs", max_group_rows=bound)
+    want = _reference(skewed, ["k"], ["o", "v", "w"], value="v")
+    cols = ["k", "o", "v", "w", "rn", "rs"]
+    assert _multiset(got, cols) == _multiset(want, cols)

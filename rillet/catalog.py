@@ -659,14 +659,10 @@ def f3(spark, d):
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         g = pdf.groupby("o_custkey", sort=False)["o_totalprice"]
         return pd.DataFrame({"n": g.size(), "s": g.sum()}).reset_index()
-    # a decomposable per-group computation: pandas pre-aggregates hashed buckets of customers,
-    # each bucket also split by a row salt so one customer with most orders spans many tasks;
-    # Spark combines the partial results per customer
-    o = _t(spark, d, "orders").select("o_custkey", "o_totalprice").withColumns({
-        "bucket": F.pmod(F.xxhash64("o_custkey"), F.lit(8)),
-        "salt": F.pmod(F.xxhash64("o_totalprice"), F.lit(4))})
-    parts = uf.apply_groups(o, ["bucket", "salt"], partial, "o_custkey long, n long, s double")
-    return parts.groupBy("o_custkey").agg(F.sum("n").alias("n_orders"), F.round(F.sum("s"), 6).alias("total"))
+    o = _t(spark, d, "orders").select("o_custkey", "o_totalprice")
+    return uf.apply_groups_salted(o, ["o_custkey"], partial, "o_custkey long, n long, s double",
+                                  [F.sum("n").alias("n_orders"), F.round(F.sum("s"), 6).alias("total")],
+                                  salts=4, buckets=8)
 
 
 @query("F4_scalar_function", "SELECT c_custkey, upper(c_name) AS name_upper FROM customer")

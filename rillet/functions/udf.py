@@ -6,9 +6,11 @@
 2. :func:`scalar_function` — an Arrow-batched pandas scalar UDF.
 3. :func:`map_batches` — pandas over Arrow batches of each partition.
 4. :func:`apply_groups` — pandas per group.  The whole group is one pandas
-   frame in one task: only for groups of bounded size; pre-aggregate a
-   decomposable computation on ``(key, salt)`` first (see the registered
-   query ``F3``).
+   frame in one task: only for groups of bounded size.
+5. :func:`apply_groups_salted` — a decomposable per-group computation:
+   pandas runs on ``(keys, salt)`` parts (a hot key is spread over
+   ``salts`` tasks) and Spark aggregates combine the partial results per
+   key (partial aggregation again).
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,3 +40,24 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[p
 def apply_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame],
                  schema: T.StructType | str) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(fn, schema)
+
+
+def apply_groups_salted(df: DataFrame, keys: Sequence[str], partial: Callable[[pd.DataFrame], pd.DataFrame],
+                        partial_schema: T.StructType | str, combine: Sequence[Column],
+                        salts: int = 16, buckets: int | None = None) -> DataFrame:
+    """Per-group pandas work that never holds a whole group in one task.
+
+    ``partial`` gets the rows of one ``(bucket, salt)`` part, where the bucket
+    is a hash of the keys and the salt a hash of the whole row. It returns
+    partial results that include the key columns (e.g. a pandas groupby over
+    the keys). ``combine`` holds the Spark aggregates that merge the partial
+    rows per key. ``buckets`` (default: the shuffle partition count) sets how
+    many keys share one pandas call.
+    """
+    n_buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    parts = df.withColumns({"__bucket": F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(n_buckets)),
+                            "__salt": F.pmod(row_hash, F.lit(int(salts)))})
+    partials = parts.groupBy("__bucket", "__salt").applyInPandas(
+        lambda pdf: partial(pdf.drop(columns=["__bucket", "__salt"])), partial_schema)
+    return partials.groupBy(*keys).agg(*combine)

@@ -126,3 +126,21 @@ def test_pivot_std_var_nunique_match_pandas(spark):
             for i in want.index:
                 a, b = want.loc[i, col], got.loc[i, col]
                 assert (pd.isna(a) and pd.isna(b)) or math.isclose(a, b)
+
+
+def test_apply_groups_salted_matches_groupby_with_hot_key(spark):
+    from rillet import functions as uf
+
+    pdf = pd.DataFrame({"k": ["hot"] * 300 + [f"k{i % 7}" for i in range(100)], "v": range(400)})
+    want = pdf.groupby("k")["v"].agg(["size", "sum"]).reset_index()
+
+    def partial(part):
+        g = part.groupby("k")["v"]
+        return pd.DataFrame({"n": g.size(), "s": g.sum()}).reset_index()
+
+    from pyspark.sql import functions as F
+    got = uf.apply_groups_salted(spark.createDataFrame(pdf), ["k"], partial, "k string, n long, s long",
+                                 [F.sum("n").alias("size"), F.sum("s").alias("sum")], salts=8).toPandas()
+    m = want.merge(got, on="k", suffixes=("_p", "_s"))
+    assert len(m) == len(want) == len(got)
+    assert (m.size_p == m.size_s).all() and (m.sum_p == m.sum_s).all()

@@ -38,7 +38,8 @@ DEFAULT_MAX_GROUP_ROWS = 5_000_000
 
 
 def _plain(df: DataFrame, keys, order, rn_out, value, sum_out) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
+    """Plain window numbering; only for keyed groups proven to be bounded."""
+    w = Window.partitionBy(*keys).orderBy(*order)
     cols = {rn_out: F.row_number().over(w).cast("bigint")}
     if value is not None:
         cols[sum_out] = F.sum(F.col(value)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -62,3 +62,12 @@ def test_derive_columns(numbers):
     out = op.derive_columns(numbers, {"twice": "column1 * 2", "tag": F.lit("t")})
     assert ("twice" in out.columns) and ("tag" in out.columns)
     assert sorted(r.twice for r in out.collect() if r.twice is not None)[0] == 198
+
+
+def test_execute_sql_bare_df_name_and_side_tables(spark, numbers):
+    out = op.execute_sql(numbers, "SELECT column2, count(*) AS n FROM df WHERE column1 > 100 GROUP BY column2")
+    got = {r.column2: r.n for r in out.collect()}
+    assert got == {"a": 2, "d": 1, None: 1}
+    side = spark.createDataFrame([("a", "alpha")], "column2 string, name string")
+    joined = op.execute_sql(numbers, "SELECT d.column1, s.name FROM {df} d JOIN {s} s USING (column2)", s=side)
+    assert sorted(r.column1 for r in joined.collect()) == [99, 150, 150]

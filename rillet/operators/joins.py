@@ -48,6 +48,23 @@ def _check_key_types(left: DataFrame, right: DataFrame, keys: Sequence[str], ste
                             f"and {rt[k].simpleString()} on the right")
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable
+        return 1 << 62
+
+
+def _has_null_key(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Does any row have a null key?  The ``IS NULL`` filter reaches the scan,
+    where parquet row-group null counts skip every group without nulls."""
+    cond = None
+    for k in keys:
+        c = F.col(k).isNull()
+        cond = c if cond is None else cond | c
+    return not df.where(cond).select(*keys).isEmpty()
+
+
 def join(left: DataFrame, right: DataFrame, on: str | Iterable[str], how: str = "inner",
          suffixes: tuple[str, str] = ("_x", "_y"), null_safe: bool = True) -> DataFrame:
     """Equi-join on same-named keys (inner, left, right, outer).
@@ -55,6 +72,11 @@ def join(left: DataFrame, right: DataFrame, on: str | Iterable[str], how: str =
     Keys appear once: from the left for inner/left, from the right for right,
     merged with ``coalesce`` for outer.  Other columns present on both sides
     get ``suffixes``.  Null keys match each other unless ``null_safe=False``.
+
+    When the smaller side has no null key, ``=`` gives exactly the result of
+    ``<=>`` for every join type, and the plain equi-join is used: a
+    single-column hash key, and ``isnotnull`` filters Catalyst can push to
+    both scans.
     """
     keys = col_list(on, "join_key")
     if how not in _HOW:
@@ -64,6 +86,9 @@ def join(left: DataFrame, right: DataFrame, on: str | Iterable[str], how: str =
     _check_key_types(left, right, keys, "join")
     left, right = _suffix_overlap(left, right, keys, suffixes)
 
+    if null_safe:
+        smaller = right if _estimated_bytes(right) <= _estimated_bytes(left) else left
+        null_safe = _has_null_key(smaller, keys)
     rnames = {k: unique_name(left, f"__r_{k}") for k in keys}
     right = right.withColumnsRenamed(rnames)
     cond = None

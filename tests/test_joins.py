@@ -75,3 +75,19 @@ def test_keyed_lookup_default_and_provider(spark, left):
         return keys.withColumn("c1", F.upper("k"))
     out2 = rows(op.keyed_lookup(left, "k", ["c1"], provider=provider))
     assert ("b", 3, "l3", "B") in out2 and calls == [2]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_plain_equality_when_one_side_has_no_null_keys(spark, how):
+    import rillet.operators.joins as J
+
+    big = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4)], "k string, n int")
+    small = spark.createDataFrame([("a", "x"), ("c", "y")], "k string, w string")
+    got = rows(op.join(big, small, "k", how))
+    orig = J._has_null_key
+    try:
+        J._has_null_key = lambda df, keys: True  # force the null-safe plan
+        want = rows(op.join(big, small, "k", how))
+    finally:
+        J._has_null_key = orig
+    assert got == want

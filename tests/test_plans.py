@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rillet import operators as op
 from rillet.plans import chain, physical_plan
@@ -48,7 +49,13 @@ def test_column_steps_stay_in_the_jvm(spark):
 def test_null_safe_join_is_a_hash_join(spark):
     o = spark.read.parquet(f"{D}/orders.parquet")
     c = spark.read.parquet(f"{D}/customer.parquet").withColumnRenamed("c_custkey", "o_custkey")
-    text = physical_plan(op.join(o, c, "o_custkey"), "simple")
+    # no null key on the smaller side: the plain equi-join gives the same rows
+    plain = physical_plan(op.join(o, c, "o_custkey"), "simple")
+    assert "HashJoin" in plain and "isnull(o_custkey" not in plain
+    # null keys on both sides: null-safe keys, still a hash join
+    cn = c.withColumn("o_custkey", F.expr("nullif(o_custkey, 5)"))
+    on = o.withColumn("o_custkey", F.expr("nullif(o_custkey, 5)"))
+    text = physical_plan(op.join(on, cn, "o_custkey"), "simple")
     assert "HashJoin" in text and "isnull" in text
 
 

@@ -87,8 +87,10 @@ def join(left: DataFrame, right: DataFrame, on: str | Iterable[str], how: str =
     left, right = _suffix_overlap(left, right, keys, suffixes)
 
     if null_safe:
-        smaller = right if _estimated_bytes(right) <= _estimated_bytes(left) else left
-        null_safe = _has_null_key(smaller, keys)
+        sides = [d for d in (right, left) if not d.isStreaming]  # a stream cannot be probed up front
+        if sides:
+            smaller = min(sides, key=_estimated_bytes)
+            null_safe = _has_null_key(smaller, keys)
     rnames = {k: unique_name(left, f"__r_{k}") for k in keys}
     right = right.withColumnsRenamed(rnames)
     cond = None

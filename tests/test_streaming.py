@@ -32,3 +32,14 @@ def test_stateless_steps_compose_on_a_stream(spark):
     run_available(steps(stream), sink)
     got, want = spark.read.parquet(sink), steps(batch)
     assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_stream_static_join(spark):
+    from rillet import operators as op
+
+    batch = spark.read.parquet(f"{EVENTS}/events.parquet")
+    users = spark.read.parquet(f"{EVENTS}/customer.parquet").selectExpr("c_custkey AS user_id", "c_mktsegment")
+    sink = scratch_path(spark, "sink3")
+    stream = file_arrival_stream(spark, EVENTS, batch.schema, pathGlobFilter="events.parquet")
+    run_available(op.join(stream, users, "user_id", "left"), sink)
+    assert spark.read.parquet(sink).count() == op.join(batch, users, "user_id", "left").count()

@@ -106,6 +106,14 @@ def unique_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def estimated_bytes(df: DataFrame, unknown: int = 1 << 62) -> int:
+    """The optimizer's size estimate of ``df`` (file sizes for scans); no job runs."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. remote session)
+        return unknown
+
+
 def target_partitions(df: DataFrame, minimum: int | None = None) -> int:
     """Partition count for a shuffle of ``df`` sized to its estimated bytes.
 
@@ -119,8 +127,5 @@ def target_partitions(df: DataFrame, minimum: int | None = None) -> int:
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
     text = advisory.strip().lower().rstrip("b")
     target = int(float(text[:-1]) * units[text[-1]]) if text and text[-1] in units else int(text)
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. remote session)
-        size = 0
+    size = estimated_bytes(df, unknown=0)
     return max(conf, -(-size // max(target, 1)))

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.common import StepError, col_list, key_family, require_columns, unique_name
+from rillet.common import StepError, col_list, estimated_bytes, key_family, require_columns, unique_name
 
 _HOW = {
     "inner": "inner", "left": "left", "right": "right", "outer": "full_outer",
@@ -48,13 +48,6 @@ def _check_key_types(left: DataFrame, right: DataFrame, keys: Sequence[str], ste
                             f"and {rt[k].simpleString()} on the right")
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable
-        return 1 << 62
-
-
 def _has_null_key(df: DataFrame, keys: Sequence[str]) -> bool:
     """Does any row have a null key?  The ``IS NULL`` filter reaches the scan,
     where parquet row-group null counts skip every group without nulls."""
@@ -89,7 +82,7 @@ def join(left: DataFrame, right: DataFrame, on: str | Iterable[str], how: str =
     if null_safe:
         sides = [d for d in (right, left) if not d.isStreaming]  # a stream cannot be probed up front
         if sides:
-            smaller = min(sides, key=_estimated_bytes)
+            smaller = min(sides, key=estimated_bytes)
             null_safe = _has_null_key(smaller, keys)
     rnames = {k: unique_name(left, f"__r_{k}") for k in keys}
     right = right.withColumnsRenamed(rnames)

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillet.common import (StepError, col_list, require_columns, target_partitions, total_order,
-                           unique_name)
+from rillet.common import (StepError, col_list, estimated_bytes, require_columns, target_partitions,
+                           total_order, unique_name)
 from rillet.session import checkpoint_root, materialize
 
 #: groups up to this many rows are numbered with a plain window
@@ -126,6 +126,17 @@ def _distributed(df: DataFrame, keys, order, rn_out, value, sum_out, num_partiti
 
 #: at most this many hot keys are listed and split off; more hot keys than that number everything distributed
 MAX_HOT_KEYS = 10_000
+#: below this estimated size a row count is tried first (cheap); larger inputs go straight to per-key counts
+COUNT_FIRST_BYTES = 1 << 30
+
+
+def _small_enough(df: DataFrame, bound: int) -> bool:
+    """A cheap proof for small inputs: the table's row count is within the bound.
+
+    Only tried when the optimizer's size estimate (no job) is small; a large
+    input skips it, because the per-key counts that follow decide anyway.
+    """
+    return estimated_bytes(df) <= COUNT_FIRST_BYTES and df.count() <= bound
 
 
 def _hot_keys(df: DataFrame, keys: Sequence[str], bound: int) -> list | None:
@@ -167,7 +178,7 @@ def row_numbers(df: DataFrame, partition_by: str | Iterable[str] | None, order_b
     sum_out = sum_output or f"{value}_running_sum"
     if not keys or method == "distributed" or (method == "auto" and max_group_rows is None):
         return _distributed(df, keys, order, output, value, sum_out, num_partitions, partition_column)
-    if method == "window" or df.count() <= max_group_rows:
+    if method == "window" or _small_enough(df, max_group_rows):
         return _plain(df, keys, order, output, value, sum_out)
     hot = _hot_keys(df, keys, max_group_rows)
     if hot is None:
@@ -220,7 +231,7 @@ def ordered_rank(df: DataFrame, partition_by: str | Iterable[str], order_by: str
         return joined.withColumn(output, value).select(*df.columns, output)
 
     if method == "window" or (method == "auto" and max_group_rows is not None
-                              and ranked_rows.count() <= max_group_rows):
+                              and _small_enough(ranked_rows, max_group_rows)):
         ranked = window_rank(ranked_rows)
     elif method == "distributed" or max_group_rows is None:
         ranked = distributed_rank(ranked_rows)

@@ -171,20 +171,26 @@ def j6(spark, d):
 
 
 @query("J7_merge_records", """
-WITH c AS (SELECT c_custkey AS custkey, c_name FROM customer),
-     f AS (SELECT o_custkey AS custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'),
-     o AS (SELECT o_custkey AS custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'),
-     cf AS (SELECT coalesce(c.custkey, f.custkey) AS custkey, c.c_name, f.o_orderkey, f.o_totalprice
+WITH c AS (SELECT c_custkey AS custkey, c_name FROM customer WHERE c_mktsegment <> 'BUILDING'),
+     f AS (SELECT o_custkey AS custkey, count(*) AS n, round(sum(o_totalprice), 6) AS total
+           FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
+     o AS (SELECT o_custkey AS custkey, count(*) AS n, round(sum(o_totalprice), 6) AS total
+           FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey),
+     cf AS (SELECT coalesce(c.custkey, f.custkey) AS custkey, c.c_name, f.n, f.total
             FROM c FULL JOIN f ON c.custkey IS NOT DISTINCT FROM f.custkey)
-SELECT coalesce(cf.custkey, o.custkey) AS custkey, cf.c_name, cf.o_orderkey AS o_orderkey_x,
-       cf.o_totalprice AS o_totalprice_x, o.o_orderkey AS o_orderkey_y, o.o_totalprice AS o_totalprice_y
+SELECT coalesce(cf.custkey, o.custkey) AS custkey, cf.c_name, cf.n AS n_x, cf.total AS total_x,
+       o.n AS n_y, o.total AS total_y
 FROM cf FULL JOIN o ON cf.custkey IS NOT DISTINCT FROM o.custkey""")
 def j7(spark, d):
-    c = _t(spark, d, "customer").selectExpr("c_custkey AS custkey", "c_name")
+    # three tables with one row per key (customers, and per-customer summaries of finished and
+    # open orders): the n-way outer merge aligns them without multiplying rows
+    c = _t(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey AS custkey", "c_name")
     o = _t(spark, d, "orders")
-    f = o.where("o_orderstatus = 'F'").selectExpr("o_custkey AS custkey", "o_orderkey", "o_totalprice")
-    op_ = o.where("o_orderstatus = 'O'").selectExpr("o_custkey AS custkey", "o_orderkey", "o_totalprice")
-    return op.merge_records([c, f, op_], "merge", "custkey")
+
+    def summary(status):
+        return (o.where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("custkey"))
+                .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 6).alias("total")))
+    return op.merge_records([c, summary("F"), summary("O")], "merge", "custkey")
 
 
 _FUZZY_REF = "translate(p_name, 'aeiou', 'eioua')"

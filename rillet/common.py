@@ -109,7 +109,8 @@ def unique_name(df: DataFrame, base: str) -> str:
 def estimated_bytes(df: DataFrame, unknown: int = 1 << 62) -> int:
     """The optimizer's size estimate of ``df`` (file sizes for scans); no job runs."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else size.toString())  # py4j may convert BigInt
     except Exception:  # noqa: BLE001 - estimate unavailable (e.g. remote session)
         return unknown
 
@@ -128,4 +129,6 @@ def target_partitions(df: DataFrame, minimum: int | None = None) -> int:
     text = advisory.strip().lower().rstrip("b")
     target = int(float(text[:-1]) * units[text[-1]]) if text and text[-1] in units else int(text)
     size = estimated_bytes(df, unknown=0)
-    return max(conf, -(-size // max(target, 1)))
+    if size >= 1 << 62:  # Spark's "unknown" default (spark.sql.defaultSizeInBytes)
+        size = 0
+    return min(max(conf, -(-size // max(target, 1))), 100_000)

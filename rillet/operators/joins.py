@@ -48,6 +48,14 @@ def _check_key_types(left: DataFrame, right: DataFrame, keys: Sequence[str], ste
                             f"and {rt[k].simpleString()} on the right")
 
 
+def _broadcastable(df: DataFrame) -> bool:
+    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    text = str(threshold).strip().lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    limit = int(float(text[:-1]) * units[text[-1]]) if text and text[-1] in units else int(text)
+    return limit > 0 and estimated_bytes(df) <= limit
+
+
 def _has_null_key(df: DataFrame, keys: Sequence[str]) -> bool:
     """Does any row have a null key?  The ``IS NULL`` filter reaches the scan,
     where parquet row-group null counts skip every group without nulls."""
@@ -66,10 +74,12 @@ def join(left: DataFrame, right: DataFrame, on: str | Iterable[str], how: str =
     merged with ``coalesce`` for outer.  Other columns present on both sides
     get ``suffixes``.  Null keys match each other unless ``null_safe=False``.
 
-    When the smaller side has no null key, ``=`` gives exactly the result of
-    ``<=>`` for every join type, and the plain equi-join is used: a
-    single-column hash key, and ``isnotnull`` filters Catalyst can push to
-    both scans.
+    When the smaller side is too large to broadcast and has no null key,
+    ``=`` gives exactly the result of ``<=>`` for every join type, and the
+    plain equi-join is used: Catalyst then filters the other side's null keys
+    at the scan (inner joins) instead of hashing them all into one shuffle
+    partition.  A broadcast side is left null-safe: no shuffle, no skew, no
+    extra job.
     """
     keys = col_list(on, "join_key")
     if how not in _HOW:
@@ -83,7 +93,8 @@ def join(left: DataFrame, right: DataFrame, on: str | Iterable[str], how: str =
         sides = [d for d in (right, left) if not d.isStreaming]  # a stream cannot be probed up front
         if sides:
             smaller = min(sides, key=estimated_bytes)
-            null_safe = _has_null_key(smaller, keys)
+            if not _broadcastable(smaller):  # only shuffle joins gain: null keys would share one partition
+                null_safe = _has_null_key(smaller, keys)
     rnames = {k: unique_name(left, f"__r_{k}") for k in keys}
     right = right.withColumnsRenamed(rnames)
     cond = None

@@ -83,7 +83,11 @@ def test_plain_equality_when_one_side_has_no_null_keys(spark, how):
 
     big = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4)], "k string, n int")
     small = spark.createDataFrame([("a", "x"), ("c", "y")], "k string, w string")
-    got = rows(op.join(big, small, "k", how))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # take the probed (shuffle) path
+    try:
+        got = rows(op.join(big, small, "k", how))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     orig = J._has_null_key
     try:
         J._has_null_key = lambda df, keys: True  # force the null-safe plan

@@ -49,9 +49,16 @@ def test_column_steps_stay_in_the_jvm(spark):
 def test_null_safe_join_is_a_hash_join(spark):
     o = spark.read.parquet(f"{D}/orders.parquet")
     c = spark.read.parquet(f"{D}/customer.parquet").withColumnRenamed("c_custkey", "o_custkey")
-    # no null key on the smaller side: the plain equi-join gives the same rows
-    plain = physical_plan(op.join(o, c, "o_custkey"), "simple")
-    assert "HashJoin" in plain and "isnull(o_custkey" not in plain
+    # a broadcastable side stays null-safe (no probe job)
+    small = physical_plan(op.join(o, c, "o_custkey"), "simple")
+    assert "BroadcastHashJoin" in small and "isnull" in small
+    # a side too large to broadcast, without null keys: the plain equi-join gives the same rows
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = physical_plan(op.join(o, c, "o_custkey"), "simple")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plain and "isnull(o_custkey" not in plain
     # null keys on both sides: null-safe keys, still a hash join
     cn = c.withColumn("o_custkey", F.expr("nullif(o_custkey, 5)"))
     on = o.withColumn("o_custkey", F.expr("nullif(o_custkey, 5)"))

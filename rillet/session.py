@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -71,13 +72,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
+#: Deletes the shuffle files of a SQL execution when it ends; what a written table needs is in its files.
+_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_cleaned(spark: SparkSession):
+    """Within the block, shuffle files go as soon as the write that made them has ended."""
+    try:
+        before = spark.conf.get(_CLEANUP_KEY)
+        spark.conf.set(_CLEANUP_KEY, "true")
+    except Exception:  # noqa: BLE001 - a Spark version without the setting
+        yield
+        return
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP_KEY, before)
+
+
 def materialize(df, name: str = "table"):
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` (the files survive the loss of
     any executor) but stores columns, so later passes read only the columns
-    they use.
+    they use.  The shuffle files of the write are deleted with its end.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_cleaned(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ from rillet.session import materialize
 #: Bytes of run texts that are transformed together; a single group may be larger.
 CHUNK = 1 << 20
 #: Anchors with more runs than this are parted further by a second anchor.
-HOT_RUNS = 20_000
+HOT_RUNS = 1_000
 #: A place is doc_id · 2**40 + offset: offsets of a document in one long, in document order.
 _SHIFT = 40
 
@@ -168,7 +168,8 @@ def first_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, window
 def kept_windows(texts: DataFrame, window: int) -> DataFrame:
     """``doc_id, lo, hi``: window starts in the repeated runs that no earlier window equals."""
     distinct = texts.groupBy("key", "bytes").agg(F.min("place").alias("place"), F.max("repeats").alias("repeats"))
-    dealt = distinct.repartition("key").sortWithinPartitions("key")
+    # Written, so that the shuffles of all texts are gone before the groups are dealt out.
+    dealt = materialize(distinct, "distinct-runs").repartition("key").sortWithinPartitions("key")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []

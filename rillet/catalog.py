@@ -110,17 +110,17 @@ def p6(spark, d):
 
 
 def _orders_f(spark, d):
-    return _t(spark, d, "orders").where("o_orderstatus = 'F'").selectExpr(
+    return _t(spark, d, "orders").selectExpr(
         "o_orderkey", "nullif(o_custkey, 5) AS custkey", "o_totalprice")
 
 
 def _cust_b(spark, d):
-    return _t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").selectExpr(
-        "nullif(c_custkey, 5) AS custkey", "c_name", "c_acctbal")
+    return _t(spark, d, "customer").selectExpr(  # moved by 40, so that both sides have keys of their own
+        "nullif(c_custkey + 40, 45) AS custkey", "c_name", "c_acctbal")
 
 
-_OF = "(SELECT o_orderkey, nullif(o_custkey, 5) AS custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F')"
-_CB = "(SELECT nullif(c_custkey, 5) AS custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING')"
+_OF = "(SELECT o_orderkey, nullif(o_custkey, 5) AS custkey, o_totalprice FROM orders)"
+_CB = "(SELECT nullif(c_custkey + 40, 45) AS custkey, c_name, c_acctbal FROM customer)"
 
 
 @query("J1_inner_join", """
@@ -171,11 +171,11 @@ def j6(spark, d):
 
 
 @query("J7_merge_records", """
-WITH c AS (SELECT c_custkey AS custkey, c_name FROM customer WHERE c_mktsegment <> 'BUILDING'),
+WITH c AS (SELECT c_custkey + 40 AS custkey, c_name FROM customer),
      f AS (SELECT o_custkey AS custkey, count(*) AS n, round(sum(o_totalprice), 6) AS total
            FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
      o AS (SELECT o_custkey AS custkey, count(*) AS n, round(sum(o_totalprice), 6) AS total
-           FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey),
+           FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey),
      cf AS (SELECT coalesce(c.custkey, f.custkey) AS custkey, c.c_name, f.n, f.total
             FROM c FULL JOIN f ON c.custkey IS NOT DISTINCT FROM f.custkey)
 SELECT coalesce(cf.custkey, o.custkey) AS custkey, cf.c_name, cf.n AS n_x, cf.total AS total_x,
@@ -183,14 +183,14 @@ SELECT coalesce(cf.custkey, o.custkey) AS custkey, cf.c_name, cf.n AS n_x, cf.to
 FROM cf FULL JOIN o ON cf.custkey IS NOT DISTINCT FROM o.custkey""")
 def j7(spark, d):
     # three tables with one row per key (customers, and per-customer summaries of finished and
-    # open orders): the n-way outer merge aligns them without multiplying rows
-    c = _t(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey AS custkey", "c_name")
+    # other orders): the n-way outer merge aligns them without multiplying rows
+    c = _t(spark, d, "customer").selectExpr("c_custkey + 40 AS custkey", "c_name")
     o = _t(spark, d, "orders")
 
-    def summary(status):
-        return (o.where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("custkey"))
+    def summary(condition):
+        return (o.where(condition).groupBy(F.col("o_custkey").alias("custkey"))
                 .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 6).alias("total")))
-    return op.merge_records([c, summary("F"), summary("O")], "merge", "custkey")
+    return op.merge_records([c, summary("o_orderstatus = 'F'"), summary("o_orderstatus <> 'F'")], "merge", "custkey")
 
 
 _FUZZY_REF = "translate(p_name, 'aeiou', 'eioua')"
@@ -364,6 +364,82 @@ def w3b(spark, d):
                          sum_output="running_value", method="distributed")
     return out.withColumn("running_value", F.round("running_value", 6))
 
+
+
+@query("W3c_running_sum_nulls", """
+SELECT event_id, event_type, ts, v, row_number() OVER w AS seq, round(sum(v) OVER w, 6) AS running_value
+FROM (SELECT event_id, event_type, ts, CASE WHEN event_id % 7 < 5 THEN NULL ELSE value END AS v FROM events)
+WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def w3c(spark, d):
+    ev = _t(spark, d, "events").selectExpr("event_id", "event_type", "ts",
+                                           "CASE WHEN event_id % 7 < 5 THEN NULL ELSE value END AS v")
+    out = op.row_numbers(ev, "event_type", ["ts", "event_id"], output="seq", value="v",
+                         sum_output="running_value", method="distributed", num_partitions=16)
+    return out.withColumn("running_value", F.round("running_value", 6))
+
+
+@query("S1b_csv_hard_cells", """
+SELECT doc_id, text, '"' || source || '", ' || lang AS quoted, '  ' || lang || ' ' AS padded,
+  substr(text, 1, 40) || chr(10) || '"x"' AS lines FROM documents""")
+def s1b(spark, d):
+    docs = _t(spark, d, "documents").select(
+        "doc_id", "text", F.concat(F.lit('"'), "source", F.lit('", '), "lang").alias("quoted"),
+        F.concat(F.lit("  "), "lang", F.lit(" ")).alias("padded"),
+        F.concat(F.substring("text", 1, 40), F.lit('\n"x"')).alias("lines"))
+    path = scratch_path(spark, "csv-cells")
+    files.save(docs, path, "csv")
+    return files.read_csv(spark, path, schema=docs.schema)
+
+
+@query("S2b_json_lines_and_arrays", """
+SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT c_custkey + 1000000, c_mktsegment FROM customer""")
+def s2b(spark, d):
+    # JSON lines (orders) and array documents over several lines (customers), each told by its files
+    path = scratch_path(spark, "json-kinds")
+    _t(spark, d, "orders").select("o_orderkey", "o_orderstatus").write.json(path)
+    c = _t(spark, d, "customer").selectExpr("c_custkey + 1000000 AS o_orderkey", "c_mktsegment AS o_orderstatus")
+    rows = c.select(F.to_json(F.struct("o_orderkey", "o_orderstatus")).alias("value"),
+                    F.pmod(F.xxhash64("o_orderkey"), F.lit(8)).alias("doc"))
+    docs = rows.groupBy("doc").agg(F.concat(F.lit("[\n"), F.concat_ws(",\n", F.collect_list("value")),
+                                            F.lit("\n]")).alias("value"))
+    docs.repartition(8, "doc").select("doc", "value").write.partitionBy("doc").mode("append").text(path + "-arrays")
+    arrays = files.read_json(spark, path + "-arrays").select("o_orderkey", "o_orderstatus")
+    return files.read_json(spark, path).select("o_orderkey", "o_orderstatus").unionByName(arrays)
+
+
+@query("C7b_dotted_names", """
+SELECT event_type, "p_a.k" AS "p_a.k", count(*) AS n FROM (
+  SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS "p_a.k" FROM events) GROUP BY ALL""")
+def c7b(spark, d):
+    ev = _t(spark, d, "events").select("event_type", "event_id",
+                                       F.concat(F.lit('{"a": '), "props", F.lit("}")).alias("props"))
+    flat = op.json_flatten(ev, "props", "p", schema="a STRUCT<k: BIGINT>")
+    flat = op.remove_nulls(op.select_columns(flat, ["event_id", "event_type", "p_a.k"]), ["p_a.k"])
+    flat = op.deduplicate(flat, ["event_id", "p_a.k"], "event_id")
+    return op.aggregate_multiple(flat, ["event_type", "p_a.k"], [
+        {"column": "event_id", "func": "count", "output_column": "n"}])
+
+
+@query("Q1c_sql_literals", r"""
+SELECT o_orderkey, 'rows from df' AS note, regexp_matches(o_orderpriority, '[0-9]{1}') AS numbered
+FROM orders, (SELECT 1 AS one)""")
+def q1c(spark, d):
+    return op.execute_sql(_t(spark, d, "orders"), """
+        SELECT df.o_orderkey, 'rows from df' AS note, df.o_orderpriority RLIKE '[0-9]{1}' AS numbered
+        FROM df, (SELECT 1 AS one) x""")
+
+
+@query("A7d_pivot_colliding_names", """
+SELECT o_orderstatus, sum(CASE WHEN a = 'x_y' AND b = 'z' THEN v END)::BIGINT AS x_y_z_2,
+  sum(CASE WHEN a = 'x' AND b = 'y_z' THEN v END)::BIGINT AS x_y_z FROM (
+  SELECT o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'x_y' ELSE 'x' END AS a,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'z' ELSE 'y_z' END AS b, o_custkey AS v FROM orders) GROUP BY ALL""")
+def a7d(spark, d):
+    o = _t(spark, d, "orders").selectExpr(
+        "o_orderstatus", "CASE WHEN o_orderkey % 2 = 0 THEN 'x_y' ELSE 'x' END AS a",
+        "CASE WHEN o_orderkey % 2 = 0 THEN 'z' ELSE 'y_z' END AS b", "o_custkey AS v")
+    return op.pivot(o, "o_orderstatus", ["a", "b"], "v", "sum")
+
 # ---------------------------------------------------------------- set operations
 
 
@@ -598,14 +674,14 @@ SELECT c_custkey, 'with_orders' AS kind FROM customer c
   WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')
 UNION ALL
 SELECT c_custkey, 'without' FROM customer c
-  WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+  WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')""")
 def q8(spark, d):
     return op.execute_sql(_t(spark, d, "customer"), """
         SELECT c_custkey, 'with_orders' AS kind FROM {df} c
           WHERE EXISTS (SELECT 1 FROM {o} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')
         UNION ALL
         SELECT c_custkey, 'without' FROM {df} c
-          WHERE c_custkey NOT IN (SELECT o_custkey FROM {o} WHERE o_orderstatus = 'P')""",
+          WHERE NOT EXISTS (SELECT 1 FROM {o} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')""",
                           o=_t(spark, d, "orders"))
 
 

@@ -50,6 +50,18 @@ def _orderable(dtype: T.DataType) -> bool:
     return True
 
 
+def col(name: str) -> Column:
+    """The column of exactly that name (dots and backquotes in it are part of the name)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def present(df: DataFrame, name: str) -> Column:
+    """Whether a value is there: not null, and not NaN (the one rule of all steps)."""
+    c = col(name)
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return c.isNotNull() & ~F.isnan(c) if floating else c.isNotNull()
+
+
 def total_order(df: DataFrame, order_by: str | Sequence[str | Column] | None,
                 exclude: Iterable[str] = ()) -> list[Column]:
     """Sort expressions: the given order, then every other column as a tie-break.
@@ -66,26 +78,13 @@ def total_order(df: DataFrame, order_by: str | Sequence[str | Column] | None,
         if isinstance(item, Column):
             given.append(item)
         else:
-            given.append(F.col(item).asc_nulls_first())
+            given.append(col(item).asc_nulls_first())
             used.add(item)
-    rest = [F.col(f.name).asc_nulls_first() for f in df.schema.fields
+    rest = [col(f.name).asc_nulls_first() for f in df.schema.fields
             if f.name not in used and _orderable(f.dataType)]
     return given + rest
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
-    """``l.a <=> r.b AND ...`` — null keys match each other."""
-    cond = None
-    for lk, rk in pairs:
-        c = left[lk].eqNullSafe(right[rk])
-        cond = c if cond is None else cond & c
-    return cond
-
-
-def numeric(dtype: T.DataType) -> bool:
-    return isinstance(dtype, T.NumericType)
-
-
 def key_family(dtype: T.DataType) -> str:
     """Coarse type family, used to refuse joins of e.g. text keys to numbers."""
     if isinstance(dtype, T.NumericType):
@@ -115,20 +114,27 @@ def estimated_bytes(df: DataFrame, unknown: int = 1 << 62) -> int:
         return unknown
 
 
-def target_partitions(df: DataFrame, minimum: int | None = None) -> int:
-    """Partition count for a shuffle of ``df`` sized to its estimated bytes.
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes of the files (and other leaves) that ``df`` is made from, where known; no job runs.
 
-    ``max(spark.sql.shuffle.partitions, estimated size / advisory partition
-    size)``; the estimate is the optimizer's ``sizeInBytes`` (file sizes for
-    scans), so no job runs.
+    Estimates of joins multiply their inputs, so the leaves are added up instead.
     """
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. remote session)
+        return 0
+    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
+    return sum(s for s in sizes if s < unknown)
+
+
+def target_partitions(df: DataFrame, minimum: int | None = None) -> int:
+    """Partition count for a shuffle of ``df``: ``spark.sql.shuffle.partitions``, or more when the files it is
+    made from hold more than the advisory partition size for each."""
     spark = df.sparkSession
     conf = int(minimum or spark.conf.get("spark.sql.shuffle.partitions"))
     advisory = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
     text = advisory.strip().lower().rstrip("b")
     target = int(float(text[:-1]) * units[text[-1]]) if text and text[-1] in units else int(text)
-    size = estimated_bytes(df, unknown=0)
-    if size >= 1 << 62:  # Spark's "unknown" default (spark.sql.defaultSizeInBytes)
-        size = 0
-    return min(max(conf, -(-size // max(target, 1))), 100_000)
+    return max(conf, -(-scanned_bytes(df) // max(target, 1)))

@@ -47,17 +47,10 @@ def apply_groups_salted(df: DataFrame, keys: Sequence[str], partial: Callable[[p
                         salts: int = 16, buckets: int | None = None) -> DataFrame:
     """Per-group pandas work that never holds a whole group in one task.
 
-    ``partial`` gets the rows of one ``(bucket, salt)`` part, where the bucket
-    is a hash of the keys and the salt a hash of the whole row. It returns
-    partial results that include the key columns (e.g. a pandas groupby over
-    the keys). ``combine`` holds the Spark aggregates that merge the partial
-    rows per key. ``buckets`` (default: the shuffle partition count) sets how
-    many keys share one pandas call.
+    ``partial`` gets one Arrow batch of rows at a time, where they are (no shuffle; the batch size is
+    ``spark.sql.execution.arrow.maxRecordsPerBatch``). It returns partial results that include the key
+    columns (e.g. a pandas groupby over the keys). ``combine`` holds the Spark aggregates that merge the partial
+    rows per key. ``salts`` and ``buckets`` are accepted for earlier callers and have no effect.
     """
-    n_buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
-    parts = df.withColumns({"__bucket": F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(n_buckets)),
-                            "__salt": F.pmod(row_hash, F.lit(int(salts)))})
-    partials = parts.groupBy("__bucket", "__salt").applyInPandas(
-        lambda pdf: partial(pdf.drop(columns=["__bucket", "__salt"])), partial_schema)
+    partials = df.mapInPandas(lambda frames: (partial(f) for f in frames if len(f)), partial_schema)
     return partials.groupBy(*keys).agg(*combine)

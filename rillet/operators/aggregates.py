@@ -14,8 +14,10 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillet.common import StepError, col_list, require_columns
+from rillet.common import StepError, col, col_list, present, require_columns
 
+#: Parts the values of several pivot columns until the names are made.
+_APART = "\x1f"
 AGG_FUNCS = ("sum", "mean", "count", "min", "max")
 
 
@@ -24,7 +26,7 @@ def agg_expr(column: str, func: str) -> Column:
 
     ``sum`` of an all-null group is 0, as in the reference (SQL gives NULL).
     """
-    c = F.col(column)
+    c = col(column)
     if func == "sum":
         return F.coalesce(F.sum(c), F.lit(0))
     if func in ("mean", "avg"):
@@ -41,7 +43,7 @@ def agg_expr(column: str, func: str) -> Column:
 def _drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     cond = None
     for k in keys:
-        c = F.col(k).isNotNull()
+        c = present(df, k)
         cond = c if cond is None else cond & c
     return df.where(cond)
 
@@ -52,7 +54,7 @@ def aggregate(df: DataFrame, group_by: str | Iterable[str], agg_column: str, agg
     require_columns(df, keys + [agg_column], "aggregate")
     if agg_column in keys:
         raise StepError(f"aggregate: {agg_column!r} is also a group key")
-    return _drop_null_keys(df, keys).groupBy(*keys).agg(agg_expr(agg_column, agg_func).alias(agg_column))
+    return _drop_null_keys(df, keys).groupBy(*[col(k) for k in keys]).agg(agg_expr(agg_column, agg_func).alias(agg_column))
 
 
 def aggregate_multiple(df: DataFrame, group_by: str | Iterable[str],
@@ -73,14 +75,15 @@ def aggregate_multiple(df: DataFrame, group_by: str | Iterable[str],
     if len(set(outs)) != len(outs) or set(outs) & set(keys):
         raise StepError("aggregate_multiple: output column names must be distinct from each other and the keys")
     exprs = [agg_expr(s["column"], s["func"]).alias(s["output_column"]) for s in specs]
-    return _drop_null_keys(df, keys).groupBy(*keys).agg(*exprs)
+    return _drop_null_keys(df, keys).groupBy(*[col(k) for k in keys]).agg(*exprs)
 
 
 def pivot(df: DataFrame, index: str | Iterable[str], columns: str | Iterable[str], values: str,
           aggfunc: str = "mean", pivot_values: Sequence | None = None, sep: str = "_") -> DataFrame:
     """Rows = index keys, one column per distinct pivot value, cells = aggregate.
 
-    Several pivot columns are joined into one key with ``sep``.  Giving
+    Several pivot columns are joined into one name with ``sep``; equal names of different tuples are
+    numbered.  The sum of a cell whose values are all null is 0.  Giving
     ``pivot_values`` fixes the output schema and skips the pass that finds
     the distinct values (bounded by ``spark.sql.pivotMaxValues``).  Rows with
     a null index or pivot key are dropped; an absent cell is null.
@@ -98,9 +101,22 @@ def pivot(df: DataFrame, index: str | Iterable[str], columns: str | Iterable[str
         pkey = pcols[0]
     else:
         pkey = "__pivot_key"
-        data = data.withColumn(pkey, F.concat_ws(sep, *[F.col(c).cast("string") for c in pcols]))
-    grouped = data.groupBy(*idx)
+        inner = sep if pivot_values is not None else _APART
+        data = data.withColumn(pkey, F.concat_ws(inner, *[col(c).cast("string") for c in pcols]))
+    grouped = data.groupBy(*[col(c) for c in idx])
     grouped = grouped.pivot(pkey, list(pivot_values)) if pivot_values is not None else grouped.pivot(pkey)
     if aggfunc in extra:
-        return grouped.agg(extra[aggfunc](F.col(values)))
-    return grouped.agg(agg_expr(values, aggfunc) if aggfunc != "sum" else F.sum(values))
+        out = grouped.agg(extra[aggfunc](col(values)))
+    else:
+        out = grouped.agg(agg_expr(values, aggfunc))
+    if len(pcols) == 1 or pivot_values is not None:
+        return out
+    # Different tuples may have one joined name: the later ones (in order of the tuples) get a number.
+    names: list[str] = list(idx)
+    for c in out.columns[len(idx):]:
+        name, i = c.replace(_APART, sep), 1
+        while name in names:
+            i += 1
+            name = f"{c.replace(_APART, sep)}{sep}{i}"
+        names.append(name)
+    return out.toDF(*names)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillet.common import StepError, col_list, require_columns
+from rillet.common import StepError, col, col_list, require_columns
 
 
 def replace_values(df: DataFrame, column: str, old_value, new_value) -> DataFrame:
@@ -125,9 +125,11 @@ def _variant_schema_to_ddl(text: str) -> str:
     return re.sub(r"\bVOID\b", "STRING", ddl)
 
 
-def infer_json_schema(df: DataFrame, column: str) -> T.DataType:
-    """Merged schema of every JSON document in ``column`` (one aggregate pass)."""
-    text = df.select(F.expr(f"schema_of_variant_agg(parse_json(`{column}`))")).first()[0]
+def infer_json_schema(df: DataFrame, column: str, strict: bool = True) -> T.DataType:
+    """Merged schema of every JSON document in ``column`` (one aggregate pass); malformed ones fail, or are left
+    out when not ``strict``."""
+    parse = F.parse_json if strict else F.try_parse_json
+    text = df.select(F.schema_of_variant_agg(parse(col(column)))).first()[0]
     if text is None:
         return T.StructType([])
     return T._parse_datatype_string(_variant_schema_to_ddl(text))
@@ -157,15 +159,15 @@ def json_flatten(df: DataFrame, column: str, prefix: str | None = None,
     if schema is None:
         if df.isStreaming:
             raise StepError("json_flatten: a stream needs an explicit schema")
-        schema = infer_json_schema(df, column)
+        schema = infer_json_schema(df, column, strict=mode.upper() != "PERMISSIVE")
     elif isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     if not isinstance(schema, T.StructType):
         raise StepError("json_flatten: the JSON documents are not objects")
     parsed = "__json_parsed"
-    out = df.withColumn(parsed, F.from_json(F.col(column), schema, {"mode": mode}))
+    out = df.withColumn(parsed, F.from_json(col(column), schema, {"mode": mode}))
     leaves = list(_leaves(schema, []))
-    cols = [F.col(c) for c in df.columns if c != column]
+    cols = [col(c) for c in df.columns if c != column]
     for p in leaves:
         ref = F.col(parsed)
         dtype: T.DataType = schema

@@ -11,13 +11,15 @@ keys, and AQE splits skewed shuffle partitions.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.common import StepError, col_list, estimated_bytes, key_family, require_columns, unique_name
+from rillet.common import StepError
+from rillet.common import col as column
+from rillet.common import col_list, estimated_bytes, key_family, require_columns, unique_name
 
 _HOW = {
     "inner": "inner", "left": "left", "right": "right", "outer": "full_outer",
@@ -61,13 +63,13 @@ def _has_null_key(df: DataFrame, keys: Sequence[str]) -> bool:
     where parquet row-group null counts skip every group without nulls."""
     cond = None
     for k in keys:
-        c = F.col(k).isNull()
+        c = column(k).isNull()
         cond = c if cond is None else cond | c
-    return not df.where(cond).select(*keys).isEmpty()
+    return not df.where(cond).select(*[column(k) for k in keys]).isEmpty()
 
 
 def join(left: DataFrame, right: DataFrame, on: str | Iterable[str], how: str = "inner",
-         suffixes: tuple[str, str] = ("_x", "_y"), null_safe: bool = True) -> DataFrame:
+         suffixes: tuple[str, str] = ("_x", "_y"), null_safe: bool = True, probe: bool = True) -> DataFrame:
     """Equi-join on same-named keys (inner, left, right, outer).
 
     Keys appear once: from the left for inner/left, from the right for right,
@@ -79,7 +81,7 @@ def join(left: DataFrame, right: DataFrame, on: str | Iterable[str], how: str =
     plain equi-join is used: Catalyst then filters the other side's null keys
     at the scan (inner joins) instead of hashing them all into one shuffle
     partition.  A broadcast side is left null-safe: no shuffle, no skew, no
-    extra job.
+    extra job.  ``probe=False`` leaves that look at the keys out: the step is then lazy.
     """
     keys = col_list(on, "join_key")
     if how not in _HOW:
@@ -89,7 +91,7 @@ def join(left: DataFrame, right: DataFrame, on: str | Iterable[str], how: str =
     _check_key_types(left, right, keys, "join")
     left, right = _suffix_overlap(left, right, keys, suffixes)
 
-    if null_safe:
+    if null_safe and probe:
         sides = [d for d in (right, left) if not d.isStreaming]  # a stream cannot be probed up front
         if sides:
             smaller = min(sides, key=estimated_bytes)
@@ -99,23 +101,49 @@ def join(left: DataFrame, right: DataFrame, on: str | Iterable[str], how: str =
     right = right.withColumnsRenamed(rnames)
     cond = None
     for k in keys:
-        c = left[k].eqNullSafe(right[rnames[k]]) if null_safe else left[k] == right[rnames[k]]
+        l, r = column(k), column(rnames[k])
+        c = l.eqNullSafe(r) if null_safe else l == r
         cond = c if cond is None else cond & c
     kind = _HOW[how]
-    joined = left.join(right, cond, kind)
+    batch = not (left.isStreaming or right.isStreaming)
+    if batch and kind in ("right", "full_outer") and not (_broadcastable(left) or _broadcastable(right)):
+        joined = _decomposed(left, right, keys, rnames, cond, kind)
+    else:
+        joined = left.join(right, cond, kind)
 
     def key_col(k: str):
         if kind == "right":
-            return right[rnames[k]].alias(k)
+            return column(rnames[k]).alias(k)
         if kind == "full_outer":
-            return F.coalesce(left[k], right[rnames[k]]).alias(k)
-        return left[k]
+            return F.coalesce(column(k), column(rnames[k])).alias(k)
+        return column(k)
 
-    out = [key_col(c) if c in keys else left[c] for c in left.columns]
-    out += [right[c] for c in right.columns if c not in rnames.values()]
+    out = [key_col(c) if c in keys else column(c) for c in left.columns]
+    out += [column(c) for c in right.columns if c not in rnames.values()]
     return joined.select(*out)
 
 
+def _decomposed(left: DataFrame, right: DataFrame, keys: Sequence[str], rnames: Mapping[str, str], cond,
+                kind: str) -> DataFrame:
+    """A right or full outer join as an inner or left join and the right rows without a match.
+
+    Spark cannot split a hot left key in a right join, nor any hot key in a full outer one.  An inner and a
+    left join can be split on the left, and the unmatched right rows only need the left side's distinct
+    keys, which are combined before they move.
+    """
+    matched = left.join(right, cond, "inner" if kind == "right" else "left")
+    seen = left.select(*[column(k).alias(f"__seen_{i}") for i, k in enumerate(keys)]).distinct()
+    absent = None
+    for i, k in enumerate(keys):
+        c = seen[f"__seen_{i}"].eqNullSafe(right[rnames[k]])
+        absent = c if absent is None else absent & c
+    lone = right.join(seen, absent, "left_anti")
+    types = {f.name: f.dataType for f in left.schema.fields}
+    lone = lone.select(*[F.lit(None).cast(types[c]).alias(c) for c in left.columns],
+                       *[column(c) for c in right.columns])
+    return matched.unionByName(lone)
+
+
 def enrich_data(df: DataFrame, lookup: DataFrame, on: str | Iterable[str],
                 columns: str | Iterable[str]) -> DataFrame:
     """Left join bringing only the listed lookup columns."""
@@ -126,23 +154,24 @@ def enrich_data(df: DataFrame, lookup: DataFrame, on: str | Iterable[str],
     return join(df, lookup.select(*keys, *[c for c in cols if c not in keys]), keys, "left")
 
 
-def cross_join(left: DataFrame, right: DataFrame, max_right_rows: int = 100_000,
-               max_right_bytes: int = 256 << 20, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
-    """Cartesian product of ``left`` with a small ``right`` table.
+def cross_join(left: DataFrame, right: DataFrame, max_right_rows: int | None = None,
+               max_right_bytes: int | None = None, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """Cartesian product of two tables.
 
-    The right side is broadcast, so the product is computed next to each
-    left partition without a shuffle and the output grows linearly with
-    ``left``.  Its row count and its size as JSON text are measured first
-    (one aggregate job, one partial row per task); a larger right side is
-    refused rather than planned as an all-pairs shuffle.
+    Spark broadcasts a side under its size threshold and pairs partitions otherwise; no side is refused.  A
+    caller who wants a guard names ``max_right_rows`` or ``max_right_bytes`` (of the rows as JSON text):
+    the right side is then measured first, refused above the bound and broadcast below it.
     """
-    n, size = right.agg(F.count(F.lit(1)),
-                        F.coalesce(F.sum(F.length(F.to_json(F.struct(*right.columns)))), F.lit(0))).first()
-    if n > max_right_rows or size > max_right_bytes:
-        raise StepError(f"cross_join: right side has {n} rows / {size} bytes; the bound is "
-                        f"{max_right_rows} rows and {max_right_bytes} bytes")
+    guarded = max_right_rows is not None or max_right_bytes is not None
+    if guarded:
+        n, size = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(
+            F.to_json(F.struct(*[column(c) for c in right.columns])))), F.lit(0))).first()
+        if n > (max_right_rows if max_right_rows is not None else n) \
+                or size > (max_right_bytes if max_right_bytes is not None else size):
+            raise StepError(f"cross_join: right side has {n} rows / {size} bytes; the bound is "
+                            f"{max_right_rows} rows and {max_right_bytes} bytes")
     left, right = _suffix_overlap(left, right, [], suffixes)
-    return left.crossJoin(F.broadcast(right))
+    return left.crossJoin(F.broadcast(right) if guarded else right)
 
 
 def merge_records(tables: Sequence[DataFrame], merge_type: str = "concat",
@@ -160,7 +189,7 @@ def merge_records(tables: Sequence[DataFrame], merge_type: str = "concat",
         keys = col_list(on, "join_key")
         for t in tables:
             require_columns(t, keys, "merge_records")
-        return reduce(lambda a, b: join(a, b, keys, "outer"), tables)
+        return reduce(lambda a, b: join(a, b, keys, "outer", probe=False), tables)
     raise StepError(f"merge_records: unknown merge_type {merge_type!r}")
 
 

@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillet.common import StepError, col_list, require_columns, total_order, unique_name
+from rillet.common import StepError, col, col_list, require_columns, present, total_order, unique_name
 
 
 def select_columns(df: DataFrame, columns: str | Iterable[str]) -> DataFrame:
     """Keep the listed columns, in the listed order."""
     cols = col_list(columns)
     require_columns(df, cols, "select_columns")
-    return df.select(*[F.col(c) for c in cols])
+    return df.select(*[col(c) for c in cols])
 
 
 def drop_columns(df: DataFrame, columns: str | Iterable[str]) -> DataFrame:
     """Remove the listed columns; naming a column that is absent is an error."""
     cols = col_list(columns)
     require_columns(df, cols, "drop_columns")
-    return df.drop(*cols)
+    return df.select(*[col(c) for c in df.columns if c not in cols])
 
 
 def filter_rows(df: DataFrame, condition: str | Column, null_as: bool | None = None) -> DataFrame:
@@ -45,7 +46,7 @@ def remove_nulls(df: DataFrame, columns: str | Iterable[str]) -> DataFrame:
     """Drop rows with a null (or NaN, as the reference treats it) in any listed column."""
     cols = col_list(columns)
     require_columns(df, cols, "remove_nulls")
-    return df.na.drop(how="any", subset=cols)
+    return df.where(reduce(lambda a, b: a & b, [present(df, c) for c in cols]))
 
 
 def deduplicate(df: DataFrame, columns: str | Iterable[str],
@@ -61,8 +62,8 @@ def deduplicate(df: DataFrame, columns: str | Iterable[str],
     keys = col_list(columns)
     require_columns(df, keys, "deduplicate")
     rn = unique_name(df, "__rn")
-    order = total_order(df, order_by, exclude=keys) or [F.col(k) for k in keys]
-    w = Window.partitionBy(*keys).orderBy(*order)
+    order = total_order(df, order_by, exclude=keys) or [col(k) for k in keys]
+    w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
     return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 

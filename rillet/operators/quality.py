@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.common import StepError, require_columns
+from rillet.common import col as column_of
+from rillet.common import present, StepError, require_columns
 
 RULES = ("no_nulls", "unique")
 
@@ -33,23 +34,23 @@ def _rules(rules: str | Mapping[str, Sequence[str]]) -> list[tuple[str, str]]:
 def quality_report(df: DataFrame, rules: str | Mapping[str, Sequence[str]]) -> DataFrame:
     """``(rule, column, violations)`` for every listed check, from one aggregate.
 
-    ``no_nulls``: rows with a null.  ``unique``: rows repeating an earlier
+    ``no_nulls``: rows with a null (or NaN).  ``unique``: rows repeating an earlier
     value (two nulls repeat each other) = rows - distinct values.
     """
     pairs = _rules(rules)
     require_columns(df, [c for _, c in pairs], "data_quality_check")
     aggs = []
     for i, (rule, c) in enumerate(pairs):
-        col = F.col(c)
+        value = F.when(present(df, c), column_of(c))
         if rule == "no_nulls":
-            aggs.append(F.count_if(col.isNull()).alias(f"v{i}"))
+            aggs.append(F.count_if(~present(df, c)).alias(f"v{i}"))
         else:
-            distinct = F.count_distinct(col) + F.when(F.count_if(col.isNull()) > 0, 1).otherwise(0)
+            distinct = F.count_distinct(value) + F.when(F.count_if(value.isNull()) > 0, 1).otherwise(0)
             aggs.append((F.count(F.lit(1)) - distinct).alias(f"v{i}"))
     wide = df.agg(*aggs)
-    parts = ", ".join(f"'{r}', '{c}', v{i}" for i, (r, c) in enumerate(pairs))
-    return wide.selectExpr(f"stack({len(pairs)}, {parts}) AS (rule, column, violations)") \
-        .withColumn("violations", F.col("violations").cast("bigint"))
+    found = [F.struct(F.lit(r).alias("rule"), F.lit(c).alias("column"), F.col(f"v{i}").cast("bigint").alias("violations"))
+             for i, (r, c) in enumerate(pairs)]
+    return wide.select(F.inline(F.array(*found)))
 
 
 def data_quality_check(df: DataFrame, rules: str | Mapping[str, Sequence[str]],

@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillet.common import StepError, require_columns, target_partitions, unique_name
+from rillet.common import StepError, col, require_columns, target_partitions, unique_name
 from rillet.operators.windows import row_numbers
 
 ROUTE = "route"
@@ -95,13 +95,24 @@ def branching(df: DataFrame, condition: str | Column, route: str = ROUTE) -> Rou
 
 def dynamic_split(df: DataFrame, split_key: str, output_prefix: str = "split_",
                   route: str = ROUTE) -> Routed:
-    """One output per distinct key value, named ``<prefix><value>`` with ``/`` and ``\\`` as ``_``.
+    """One output per distinct key value, named ``<prefix><value>``; ``/`` and ``\\`` become ``_``, with a digest where
+    that would be the name of another value too.
 
     Rows with a null key go nowhere; nothing continues.
     """
     require_columns(df, [split_key], "dynamic_split")
-    safe = F.regexp_replace(F.col(split_key).cast("string"), r"[/\\]", "_")
-    tagged = df.withColumn(route, F.concat(F.lit(output_prefix), safe))
+    value = col(split_key).cast("string")
+    safe = F.regexp_replace(value, r"[/\\]", "_")
+    name = safe
+    if not df.isStreaming:
+        # Values that would share a name: those whose name was changed get a digest of the value.
+        values = df.select(value.alias("__value"), safe.alias("__name")).distinct()
+        shared = values.groupBy("__name").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+        clashing = values.join(shared, "__name", "left_semi").where("__name <> `__value`") \
+            .select("__value", F.concat("__name", F.lit("-"), F.substring(F.md5("__value"), 1, 8)).alias("__own"))
+        df = df.join(clashing, value == clashing["__value"], "left")
+        name = F.coalesce(F.col("__own"), safe)
+    tagged = df.withColumn(route, F.concat(F.lit(output_prefix), name)).drop("__value", "__own")
     return Routed(tagged.where(F.col(route).isNotNull()), df.limit(0), tagged)
 
 
@@ -137,12 +148,13 @@ def write_routes(routed: DataFrame, path: str, fmt: str = "csv", route: str = RO
     writes few directories and a route holding most rows is still spread
     over many tasks.
     """
+    from rillet.sources.files import sink_options
+
     n = target_partitions(routed)
-    spread = F.xxhash64(*[F.col(c) for c in routed.columns])
+    spread = F.xxhash64(*[col(c) for c in routed.columns])
     out = routed.repartitionByRange(n, F.col(route), spread)
     writer = out.write.mode(mode).partitionBy(route).format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True)
+    writer = writer.options(**sink_options(fmt))
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", int(max_records_per_file))
     writer.save(path)

@@ -24,12 +24,13 @@ distributed, all other rows with the plain window:
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillet.common import (StepError, col_list, estimated_bytes, require_columns, target_partitions,
+from rillet.common import (StepError, col, col_list, estimated_bytes, require_columns, target_partitions,
                            total_order, unique_name)
 from rillet.session import checkpoint_root, materialize
 
@@ -46,13 +47,22 @@ def _plain(df: DataFrame, keys, order, rn_out, value, sum_out) -> DataFrame:
     return df.withColumns(cols)
 
 
+def _same_key(a, b) -> bool:
+    """Equal keys, where a null equals a null and NaN equals NaN, as in Spark's grouping."""
+    return all(x == y or (x is None and y is None) or (x != x and y != y) for x, y in zip(a, b, strict=True))
+
+
+def _plus(a, b):
+    return b if a is None else a if b is None else a + b
+
+
 def _distributed(df: DataFrame, keys, order, rn_out, value, sum_out, num_partitions,
                  partition_column=None) -> DataFrame:
     spark = df.sparkSession
     checkpoint_root(spark)
     n = num_partitions or target_partitions(df)
     rid, P, I = unique_name(df, "__rid"), unique_name(df, "__p"), unique_name(df, "__i")
-    sort = [F.col(k).asc_nulls_first() for k in keys] + order + [F.col(rid).asc()]
+    sort = [col(k).asc_nulls_first() for k in keys] + order + [F.col(rid).asc()]
     tagged = (df.withColumn(rid, F.monotonically_increasing_id())
               .repartitionByRange(n, *sort).sortWithinPartitions(*sort)
               .withColumn(P, F.spark_partition_id())
@@ -81,28 +91,28 @@ def _distributed(df: DataFrame, keys, order, rn_out, value, sum_out, num_partiti
     # rows (and sums) of each partition's first key that precede it
     offsets = []
     prev = None  # (last key, run count, run sum, partition was a single run)
-    carry_n, carry_s = 0, 0
+    carry_n, carry_s = 0, None
     for r in stats:
         if keys:
-            if prev is not None and prev[0] == r["first"]:
+            if prev is not None and _same_key(prev[0], r["first"]):
                 off_n, off_s = carry_n, carry_s
             else:
-                off_n, off_s = 0, 0
-            single = r["first"] == r["last"]
+                off_n, off_s = 0, None
+            single = _same_key(r["first"], r["last"])
             run_n = r["last_run"] + (off_n if single else 0)
-            run_s = ((r["last_sum"] or 0) + (off_s if single else 0)) if value is not None else 0
+            run_s = _plus(r["last_sum"], off_s if single else None) if value is not None else None
             carry_n, carry_s = run_n, run_s
             prev = (r["last"],)
         else:
-            off_n, off_s = carry_n, 0
+            off_n, off_s = carry_n, None
             carry_n += r["total"]
         offsets.append((r[P], off_n, off_s if value is not None else None, r["first"] if keys else None))
 
     if value is not None:
         stype = tagged.schema[sum_out].dataType
         conv = (float if isinstance(stype, (T.DoubleType, T.FloatType)) else
-                (lambda x: __import__("decimal").Decimal(x)) if isinstance(stype, T.DecimalType) else int)
-        offsets = [(p, n_, conv(s_ or 0), f) for p, n_, s_, f in offsets]
+                Decimal if isinstance(stype, T.DecimalType) else int)
+        offsets = [(p, n_, None if s_ is None else conv(s_), f) for p, n_, s_, f in offsets]
     fields = [T.StructField(P, T.IntegerType()), T.StructField("__off_n", T.LongType()),
               T.StructField("__off_s", tagged.schema[sum_out].dataType if value is not None else T.LongType())]
     if keys:
@@ -117,7 +127,9 @@ def _distributed(df: DataFrame, keys, order, rn_out, value, sum_out, num_partiti
         add_n = F.when(same, F.col("__off_n")).otherwise(F.lit(0))
         cols = {rn_out: F.col(rn_out) + add_n}
         if value is not None:
-            cols[sum_out] = F.col(sum_out) + F.when(same, F.col("__off_s")).otherwise(F.lit(0))
+            # Null until a value comes; then what came before, in earlier partitions too, counts.
+            before = F.when(same, F.col("__off_s"))
+            cols[sum_out] = F.coalesce(F.col(sum_out) + before, F.col(sum_out), before)
     else:
         cols = {rn_out: F.col(rn_out) + F.coalesce(F.col("__off_n"), F.lit(0))}
     extra = [F.col(P).alias(partition_column)] if partition_column else []

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillet.common import StepError
+from rillet.common import StepError, col
+from rillet.operators.sets import union_by_name
 from rillet.session import scratch_path
 
 # The text spellings pandas' CSV reader treats as missing by default.
@@ -24,6 +25,14 @@ NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 # round trip through CSV or JSON keeps every timestamp exactly.
 TIMESTAMP_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
                      "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+# One set of CSV rules for writing and reading: quotes are doubled, padding and line feeds in a cell stay.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "lineSep": "\n",
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# For reading back what the sink wrote: an empty cell is null, a quoted empty one is the empty text.
+_OWN_CSV = {**CSV_OPTIONS, "nullValue": "\x00", "emptyValue": ""}
+# Number forms of the reference's reader (no type suffixes such as 12D).
+_INTEGER = r"^[+-]?[0-9]+$"
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i)inf(inity)?$"
 # The spellings pandas reads as booleans.
 TRUE_VALUES = ("True", "TRUE", "true")
 FALSE_VALUES = ("False", "FALSE", "false")
@@ -31,18 +40,18 @@ FALSE_VALUES = ("False", "FALSE", "false")
 
 def _normalise_na(df: DataFrame, na_values) -> DataFrame:
     na = list(na_values)
-    return df.select(*[F.when(F.col(c).isin(na), None).otherwise(F.col(c)).alias(c) for c in df.columns])
+    return df.select(*[F.when(~col(c).isin(na), col(c)).alias(c) for c in df.columns])
 
 
 def infer_types(df: DataFrame) -> T.StructType:
     """Narrowest of bigint / double / boolean / string holding every non-null value (one pass)."""
     checks = []
     for i, c in enumerate(df.columns):
-        x = F.trim(F.col(c))
-        present = F.col(c).isNotNull()
-        checks += [F.count_if(present & x.try_cast("bigint").isNull()).alias(f"l{i}"),
-                   F.count_if(present & x.try_cast("double").isNull()).alias(f"d{i}"),
-                   F.count_if(present & ~F.col(c).isin(*TRUE_VALUES, *FALSE_VALUES)).alias(f"b{i}"),
+        x = F.trim(col(c))
+        present = col(c).isNotNull()
+        checks += [F.count_if(present & ~(x.rlike(_INTEGER) & x.try_cast("bigint").isNotNull())).alias(f"l{i}"),
+                   F.count_if(present & ~(x.rlike(_NUMBER) & x.try_cast("double").isNotNull())).alias(f"d{i}"),
+                   F.count_if(present & ~col(c).isin(*TRUE_VALUES, *FALSE_VALUES)).alias(f"b{i}"),
                    F.count_if(present).alias(f"n{i}")]
     row = df.agg(*checks).first()
     fields = []
@@ -64,7 +73,7 @@ def infer_types(df: DataFrame) -> T.StructType:
 def _apply_types(df: DataFrame, schema: T.StructType) -> DataFrame:
     cols = []
     for f in schema.fields:
-        c = F.col(f.name)
+        c = col(f.name)
         if isinstance(f.dataType, T.BooleanType):
             cols.append(F.when(c.isin(*TRUE_VALUES), True).when(c.isin(*FALSE_VALUES), False).alias(f.name))
         elif isinstance(f.dataType, T.StringType):
@@ -75,10 +84,13 @@ def _apply_types(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             na_values=NA_VALUES) -> DataFrame:
-    """CSV with a header row; NA spellings become null; types from ``schema`` or inferred."""
-    raw = spark.read.option("header", True).option("inferSchema", False) \
-        .option("multiLine", False).csv(path)
+             na_values=NA_VALUES, multiline: bool = True) -> DataFrame:
+    """CSV with a header row; NA spellings become null; types from ``schema`` or inferred.
+
+    Cells may hold line feeds, so a file is read by one task; ``multiline=False`` lets Spark split files whose
+    cells are known to hold none.
+    """
+    raw = spark.read.options(**{**CSV_OPTIONS, "multiLine": multiline, "inferSchema": False}).csv(path)
     raw = _normalise_na(raw, na_values)
     if schema is None:
         schema = infer_types(raw)
@@ -87,7 +99,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return _apply_types(raw, schema)
 
 
-def _read_json_columns(spark: SparkSession, path: str) -> DataFrame:
+def _read_json_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One column-oriented object per file: ``{"col": {"<row>": value, ...}, ...}``.
 
     Each file is parsed once as a variant and exploded into
@@ -95,7 +107,7 @@ def _read_json_columns(spark: SparkSession, path: str) -> DataFrame:
     schema of its values, and the cells are pivoted back to rows (ordered by
     row label).  A whole document is one task: the format is not splittable.
     """
-    docs = spark.read.option("wholetext", True).text(path).select(
+    docs = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("file"), F.parse_json("value").alias("v"))
     cols = docs.select("file", F.explode(F.col("v").cast("map<string, variant>")).alias("col", "cells"))
     cells = cols.select("file", "col", F.explode(F.col("cells").cast("map<string, variant>")).alias("row", "value"))
@@ -118,21 +130,52 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
               lines: bool | None = None, orient: str = "records") -> DataFrame:
     """JSON lines, or one document holding an array of records (``lines=False``).
 
-    With ``lines=None`` the first character of the input decides: ``[`` means
-    one document.  ``orient="columns"`` reads one column-oriented object per
-    file (``{"col": {"0": v, "1": w}}``).
+    With ``lines=None`` each file is looked at: one that begins with ``[`` is an array document, one whose
+    first line is a whole JSON value holds JSON lines, and any other is a column-oriented object
+    (``{"col": {"0": v, "1": w}}``); a folder may mix them.  That look reads all files once; name ``lines`` for
+    large inputs.  ``orient="columns"`` reads every file as a column-oriented object.  Malformed JSON
+    fails the read.
     """
     if orient == "columns":
         return _read_json_columns(spark, path)
     if orient != "records":
         raise StepError(f"read_json: unknown orient {orient!r}")
-    if lines is None:
-        first = spark.read.text(path).where(F.trim("value") != "").select(F.ltrim("value")).first()
-        lines = not (first is not None and first[0].startswith("["))
-    reader = spark.read.option("multiLine", not lines).options(**TIMESTAMP_OPTIONS)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.json(path)
+    def records(paths, multi: bool) -> DataFrame:
+        reader = spark.read.option("multiLine", multi).option("mode", "FAILFAST").options(**TIMESTAMP_OPTIONS)
+        if schema is not None:
+            reader = reader.schema(schema)
+        return reader.json(paths)
+
+    if lines is not None:
+        return records(path, not lines)
+    kinds = _json_kinds(spark, path)
+    parts = [records(kinds[k], k == "array") for k in ("lines", "array") if k in kinds]
+    if "columns" in kinds:
+        parts.append(_read_json_columns(spark, kinds["columns"]))
+    if not parts:
+        return records(path, False)
+    return parts[0] if len(parts) == 1 else union_by_name(*parts)
+
+
+def _json_kinds(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by what they hold: ``array``, ``lines`` or ``columns`` (one name a file goes to the driver)."""
+    text = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    first = text.where(F.trim("value") != "").groupBy("file").agg(F.min_by(F.trim("value"), "at").alias("line"))
+    kind = F.when(F.col("line").startswith("["), "array").when(
+        F.try_parse_json("line").isNotNull(), "lines").otherwise("columns")
+    # A first line that is a whole object of objects, in a file of one line, is column-oriented.
+    lone = text.where(F.trim("value") != "").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    shape = F.schema_of_variant(F.try_parse_json("line"))
+    only_objects = shape.rlike(r"^OBJECT<[^:]+: OBJECT<") & ~F.regexp_replace(
+        F.regexp_replace(shape, r"^OBJECT<", ""), r"[^:<>,]+: OBJECT<[^<>]*>(, )?", "").rlike(r"[^<> ]")
+    found = first.join(lone, "file").select("file", F.when(
+        (kind == "lines") & (F.col("n") == 1) & only_objects, "columns").otherwise(kind).alias("kind"))
+    out: dict[str, list[str]] = {}
+    for row in found.orderBy("file").collect():
+        out.setdefault(row["kind"], []).append(row["file"])
+    return out
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -154,15 +197,19 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options) -> D
     return {"csv": read_csv, "json": read_json, "parquet": read_parquet}[kind](spark, path, **options)
 
 
+def sink_options(kind: str) -> dict:
+    """Writer options of a format: exact timestamps, and CSV cells as :func:`read_csv` reads them."""
+    if kind == "csv":
+        return {**TIMESTAMP_OPTIONS, **{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}}
+    return dict(TIMESTAMP_OPTIONS) if kind == "json" else {}
+
+
 def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "errorifexists",
-         max_records_per_file: int | None = None) -> None:
-    """Write csv (header, no index), JSON lines or parquet."""
+         max_records_per_file: int | None = None, **options) -> None:
+    """Write csv (header, no index), JSON lines or parquet; ``options`` are the writer's."""
     kind = _format_of(path, fmt)
     writer = df.write.mode(mode).format(kind)
-    if kind in ("csv", "json"):
-        writer = writer.options(**TIMESTAMP_OPTIONS)
-    if kind == "csv":
-        writer = writer.option("header", True)
+    writer = writer.options(**{**sink_options(kind), **options})
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", int(max_records_per_file))
     writer.save(path)
@@ -177,8 +224,9 @@ def convert_format(df: DataFrame, fmt: str, path: str | None = None) -> DataFram
     if fmt not in ("csv", "json", "parquet"):
         raise StepError(f"convert_format: unsupported format {fmt!r}")
     target = path or scratch_path(df.sparkSession, f"convert-{fmt}")
-    save(df, target, fmt)
+    alone = fmt == "csv" and len(df.columns) == 1  # a null row would be a blank line, which readers skip
+    save(df, target, fmt, **({"nullValue": "\x00"} if alone else {}))
     reader = df.sparkSession.read.schema(df.schema).options(**TIMESTAMP_OPTIONS)
     if fmt == "csv":
-        return reader.option("header", True).csv(target)
+        return reader.options(**_OWN_CSV).csv(target)
     return reader.format(fmt).load(target)

@@ -56,3 +56,25 @@ def test_json_column_oriented_document(spark):
     df = read_json(spark, p, orient="columns")
     assert df.columns == ["a", "b", "c"]
     assert [tuple(r) for r in df.collect()] == [(1, "x", 1.5), (2, None, 2.0), (3, "z", 2.5)]
+
+
+def test_json_kinds_are_told_file_by_file(spark, tmp_path):
+    from rillet.sources import read_json
+
+    (tmp_path / "a.json").write_text('[{"n": 1},\n {"n": 2}]')
+    (tmp_path / "b.json").write_text('{"n": 3}\n{"n": 4}\n\n{"n": 5}\n')
+    (tmp_path / "c.json").write_text('{\n "n": {"0": 6, "1": 7}\n}')
+    got = sorted(r.n for r in read_json(spark, f"file://{tmp_path}").collect())
+    assert got == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_csv_hard_cells(spark, tmp_path):
+    from rillet.sources import convert_format, read_csv
+
+    (tmp_path / "x.csv").write_text('a.b,c\n"say ""hi"", ok",12D\n"two\nlines",007\n')
+    got = read_csv(spark, f"file://{tmp_path}/x.csv")
+    assert got.columns == ["a.b", "c"]
+    assert sorted(tuple(r) for r in got.collect()) == [('say "hi", ok', "12D"), ("two\nlines", "007")]
+    cells = spark.createDataFrame([("  pad ",), ("x\ny",), ("",), (None,), ('q"q',)], "t string")
+    back = convert_format(cells, "csv")
+    assert sorted(r.t or repr(r.t) for r in back.collect()) == sorted(["  pad ", "x\ny", "''", "None", 'q"q'])

@@ -87,3 +87,16 @@ def test_auto_splits_hot_keys_from_bounded_ones(skewed, bound):
     want = _reference(skewed, ["k"], ["o", "v", "w"], value="v")
     cols = ["k", "o", "v", "w", "rn", "rs"]
     assert _multiset(got, cols) == _multiset(want, cols)
+
+
+def test_distributed_numbering_with_nan_keys_and_null_values(spark):
+    from pyspark.sql import functions as F
+
+    from rillet import operators as op
+
+    df = spark.range(4000).select(F.lit(float("nan")).alias("k"), F.col("id"),
+                                  F.when(F.col("id").between(100, 110), F.col("id")).alias("v"))
+    got = op.row_numbers(df, "k", "id", value="v", sum_output="s", method="distributed", num_partitions=4)
+    want = op.row_numbers(df, "k", "id", value="v", sum_output="s", method="window")
+    cols = ["id", "row_number", "s"]
+    assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(map(tuple, want.select(*cols).collect()), key=str)

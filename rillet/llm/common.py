@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white space that separates words (space, tab to carriage return).
 SPACE = r"[\x20\x09-\x0D]+"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

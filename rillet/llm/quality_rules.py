@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import SPACE, text_of
+from rillet.llm.common import NOT_SPACE, SPACE, text_of
 from rillet.session import materialize
 
 #: Fixed value: characters counted as symbols.
@@ -29,7 +29,7 @@ def _features(docs: DataFrame, text: str) -> DataFrame:
     """Adds ``FEATURES``; every array is a column of its own, so that none is worked out twice."""
     t = text_of(text)
     d = docs.withColumn("__words", F.filter(F.split(t, SPACE), lambda x: x != ""))
-    d = d.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0))
+    d = d.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE)))
     d = d.withColumn("__hash", F.transform("__words", lambda x: F.xxhash64(x)))
     h = F.col("__hash")
     pairs = F.zip_with(h, _next(h), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -52,7 +52,7 @@ def _features(docs: DataFrame, text: str) -> DataFrame:
     return d.select(
         *[c for c in docs.columns if c != text],
         F.size("__words").cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace(t, SPACE, "")).cast("bigint").alias("word_chars"),
+        F.length(F.array_join("__words", "")).cast("bigint").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         F.size("__lines").cast("bigint").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),

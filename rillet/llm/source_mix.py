@@ -31,8 +31,8 @@ def topic_of(text: str = "text") -> Column:
     letters A-Z are capital, and some are there), else ``prose``."""
     t = text_of(text)
     bars = F.length(t) - F.length(F.translate(t, "|", ""))
-    capital = F.length(F.regexp_replace(t, "[^A-Z]", ""))
-    small = F.length(F.regexp_replace(t, "[^a-z]", ""))
+    capital = F.length(F.regexp_replace(t, "[^A-Z]+", ""))
+    small = F.length(F.regexp_replace(t, "[^a-z]+", ""))
     return F.when((bars > 0) & (20 * bars >= F.length(t)), "table").when(capital > small, "shout").otherwise("prose")
 
 

@@ -109,29 +109,8 @@ def _plausible(threshold_pct: int) -> Column:
         100 * F.least("n_a", "n_b") >= threshold_pct * F.greatest("n_a", "n_b"))
 
 
-def _first_shared_table() -> Column:
-    """Of rows with both documents' small hashes and a table's number: whether no earlier table holds both.
-
-    Documents meet in table (i, j) when their i-th hashes of the first collection and their j-th of the second are
-    equal, so the first such i and j give the one table in which a pair is made.
-    """
-    earlier = F.lit(False)
-    for k in range(SMALL):
-        differ = F.col(f"h{k}_a").bitwiseXOR(F.col(f"h{k}_b"))
-        earlier = earlier | ((F.shiftrightunsigned(differ, 32) == 0) & (F.col("first_a") > k)) \
-            | ((differ.bitwiseAND(F.lit(0xFFFFFFFF)) == 0) & (F.col("second_a") > k))
-    return ~earlier
-
-
-def _halves(small: Column) -> list[Column]:
-    """32 bits of the k-th small hash of either collection, in one long for each k."""
-    low = F.lit(0xFFFFFFFF)
-    return [F.shiftleft(F.element_at(small, k + 1), 32).bitwiseOR(F.element_at(small, SMALL + k + 1).bitwiseAND(low))
-            .alias(f"h{k}") for k in range(SMALL)]
-
-
 def buckets(reps: DataFrame) -> DataFrame:
-    """``doc_id, key, first, second``: each document's bucket in the tables, from rows ``doc_id, small``.
+    """``doc_id, key``: each document's bucket in the tables, from rows ``doc_id, small``.
 
     Small hashes that only one document has cannot meet another and are left out before the tables are formed.
     """
@@ -142,9 +121,8 @@ def buckets(reps: DataFrame) -> DataFrame:
     first = F.filter("hashes", lambda x: x["pos"] < SMALL)
     second = F.filter("hashes", lambda x: x["pos"] >= SMALL)
     tables = F.flatten(F.transform(first, lambda x: F.transform(
-        second, lambda y: F.struct(F.xxhash64(x["pos"], y["pos"], x["value"], y["value"]).alias("key"),
-                                   x["pos"].alias("first"), (y["pos"] - SMALL).alias("second")))))
-    return alive.select("doc_id", F.inline(tables))
+        second, lambda y: F.xxhash64(x["pos"], y["pos"], x["value"], y["value"]))))
+    return alive.select("doc_id", F.explode(tables).alias("key"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n_words: int, threshold_pct: int) -> DataFrame:
@@ -199,19 +177,16 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, threshold_pct: int = 80,
         .withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo < hi").select("key")
-    hashes = reps.select("doc_id", *_halves(F.col("small")))
-    open_ = with_marks(placed.join(mixed, "key", "left_semi"), "doc_id", "x").join(hashes, "doc_id")
+    open_ = with_marks(placed.join(mixed, "key", "left_semi"), "doc_id", "x")
     open_ = materialize(open_, "open-buckets")
 
     def side(name: str) -> DataFrame:
         return open_.select("key", F.col("doc_id").alias(name), F.col("component").alias(f"c_{name}"),
-                            F.col("first").alias(f"first_{name}"), F.col("second").alias(f"second_{name}"),
-                            *[F.col(f"{x}_x").alias(f"{x}_{name}") for x in ("n", "s1", "s2")],
-                            *[F.col(f"h{k}").alias(f"h{k}_{name}") for k in range(SMALL)])
+                            *[F.col(f"{x}_x").alias(f"{x}_{name}") for x in ("n", "s1", "s2")])
 
-    x, y = side("a"), side("b").drop("first_b", "second_b")
+    x, y = side("a"), side("b")
     cross = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-                   & _plausible(threshold_pct) & _first_shared_table()).select("a", "b")
+                   & _plausible(threshold_pct)).select("a", "b").distinct()
     tried = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
     more = materialize(confirmed(tried, docs, n_words, threshold_pct), "cross-links")
     if not more.isEmpty():

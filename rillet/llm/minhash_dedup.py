@@ -5,9 +5,13 @@ m² tables are keyed by one small hash of either collection, so 6·m minhashes
 serve m² tables of six.  Documents that meet in a table are candidates; a
 link is confirmed on the full shingle sets.
 
-A table's bucket is first compared with its smallest member only (a star).
-What those links join needs no further comparison; the members of a bucket
-that are still in different components are then compared with each other.
+A table's bucket is first compared only with the member that meets the most
+others (a star); in a family of edited copies that is the text they stem from,
+so these links join most of it.  Members that are left outside their star's
+component are then compared with all members of the star.  An odd sketch (the
+parity of the shingles in each of 4 to 8 bits per shingle) bounds the symmetric
+difference of two sets from below, so it drops pairs in the join itself and
+never loses a link; what passes is checked on the full sets.
 """
 
 from __future__ import annotations
@@ -33,8 +37,11 @@ WIDTH = 3
 #: Of the 84 one-bit sketches of a pair with similarity 0.8 or more, more than 25 differ with probability 2e-7.
 MAX_SKETCH_DISTANCE = 25
 
+#: Rows of a star's two sides that meet in one block of the comparison within stars.
+OUTSIDE_BLOCK, MEMBER_BLOCK = 256, 4096
+
 _SIGNATURE = ("doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, sketch1 bigint, sketch2 bigint, "
-              "small array<bigint>")
+              "small array<bigint>, odd array<bigint>")
 
 
 def _pieces(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
@@ -51,8 +58,13 @@ def _pieces(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple[list,
         yield keys, texts
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([a.size for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
 def signatures(docs: DataFrame, n_words: int) -> DataFrame:
-    """Set size, set digest (128 bits), one-bit sketches and small hashes of each document (doc_id, text)."""
+    """Set size, set digest (128 bits), one-bit sketches, small hashes and odd sketch of each document (doc_id, text)."""
     n_hashes = 2 * SMALL * WIDTH
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +93,8 @@ def signatures(docs: DataFrame, n_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
                      pa.array(sketch[:, 0]), pa.array(sketch[:, 1]),
-                     pa.ListArray.from_arrays(pa.array(ends), flat)],
-                    ["doc_id", "n_shingles", "set1", "set2", "sketch1", "sketch2", "small"])
+                     pa.ListArray.from_arrays(pa.array(ends), flat), _lists([shingles.odd_sketch(s) for s in sets])],
+                    ["doc_id", "n_shingles", "set1", "set2", "sketch1", "sketch2", "small", "odd"])
 
     return docs.mapInArrow(rows, _SIGNATURE)
 
@@ -92,12 +104,8 @@ def full_sets(docs: DataFrame, n_words: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, texts in _pieces(batch):
-                sets = shingles.shingle_sets(texts, n_words)
-                ends = np.concatenate([[0], np.cumsum([s.size for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    ["doc_id", "shingles"])
+                    [pa.array(keys, pa.int64()), _lists(shingles.shingle_sets(texts, n_words))], ["doc_id", "shingles"])
 
     return docs.mapInArrow(rows, "doc_id bigint, shingles array<bigint>")
 
@@ -109,20 +117,81 @@ def _plausible(threshold_pct: int) -> Column:
         100 * F.least("n_a", "n_b") >= threshold_pct * F.greatest("n_a", "n_b"))
 
 
+def _odd_bits_differ(a: str, b: str) -> Column:
+    """Bits that differ between two odd sketches (of equal length)."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
+def _not_refuted(threshold_pct: int) -> Column:
+    """Whether the odd sketches leave room for the threshold: 100·|∩| ≥ pct·|∪| says that the symmetric difference
+    is at most (100 - pct) / (100 + pct) of the sizes' sum, and it is no less than the sketches' differing bits.
+
+    The longer of two sketches is folded; sets more than twice the other's sketch apart are left to the size test.
+    """
+    size_a, size_b = F.size("odd_a"), F.size("odd_b")
+    bits = F.when(size_a == size_b, _odd_bits_differ("odd_a", "odd_b")) \
+        .when(size_a == 2 * size_b, _odd_bits_differ("half_a", "odd_b")) \
+        .when(2 * size_a == size_b, _odd_bits_differ("odd_a", "half_b")).otherwise(0)
+    return (100 + threshold_pct) * bits <= (100 - threshold_pct) * (F.col("n_a") + F.col("n_b"))
+
+
+def _folded(odd: Column) -> Column:
+    """The odd sketch of half the length: position modulo half the bits."""
+    half = (F.size(odd) / 2).cast("int")
+    return F.zip_with(F.slice(odd, F.lit(1), half), F.slice(odd, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
 def buckets(reps: DataFrame) -> DataFrame:
-    """``doc_id, key``: each document's bucket in the tables, from rows ``doc_id, small``.
+    """``doc_id, met, key``: each document's bucket in the tables, from rows ``doc_id, small``; ``met`` counts the
+    documents that share its small hashes, summed over these.
 
     Small hashes that only one document has cannot meet another and are left out before the tables are formed.
     """
     each = reps.select("doc_id", F.posexplode("small").alias("pos", "value"))
-    shared = each.groupBy("pos", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pos", "value")
-    alive = each.join(shared, ["pos", "value"], "left_semi").groupBy("doc_id").agg(
-        F.collect_list(F.struct("pos", "value")).alias("hashes"))  # at most 2 × SMALL
+    shared = each.groupBy("pos", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    alive = each.join(shared, ["pos", "value"]).groupBy("doc_id").agg(
+        F.sum("n").alias("met"), F.collect_list(F.struct("pos", "value")).alias("hashes"))  # at most 2 × SMALL
     first = F.filter("hashes", lambda x: x["pos"] < SMALL)
     second = F.filter("hashes", lambda x: x["pos"] >= SMALL)
     tables = F.flatten(F.transform(first, lambda x: F.transform(
         second, lambda y: F.xxhash64(x["pos"], y["pos"], x["value"], y["value"]))))
-    return alive.select("doc_id", F.explode(tables).alias("key"))
+    return alive.select("doc_id", "met", F.explode(tables).alias("key"))
+
+
+def across_stars(met: DataFrame, joined: DataFrame, marks: DataFrame, threshold_pct: int) -> DataFrame:
+    """Pairs (a, b; a < b) to check between members of a star (rows ``center, doc_id``) that are in different
+    components (``node, component``), one of them outside the star's own.
+
+    Both sides of a star are cut into blocks by their number, so no star is compared in one task.
+    """
+    of = joined.select(F.col("node").alias("doc_id"), "component")
+    of_center = joined.select(F.col("node").alias("center"), F.col("component").alias("home"))
+    placed = met.join(of, "doc_id", "left").join(of_center, "center", "left").select(
+        "center", "doc_id", F.coalesce("component", "doc_id").alias("c"), F.coalesce("home", "center").alias("home")) \
+        .withColumn("outside", F.col("c") != F.col("home")).drop("home")
+    sizes = placed.groupBy("center").agg(F.count(F.lit(1)).alias("members"), F.count_if("outside").alias("others")) \
+        .where("members > 1 AND others > 0").select(
+            "center", F.ceil(F.col("others") / OUTSIDE_BLOCK).cast("int").alias("rows"),
+            F.ceil(F.col("members") / MEMBER_BLOCK).cast("int").alias("columns"))
+    open_ = materialize(placed.join(sizes, "center").join(marks, "doc_id"), "open-stars")
+
+    def side(name: str, block: Column, copies: Column) -> DataFrame:
+        return open_.select(
+            "center", F.col("doc_id").alias(name), F.col("outside").alias(f"outside_{name}"), block, copies,
+            *[F.col(x).alias(f"{x}_{name}") for x in ("c", "n", "s1", "s2", "odd")],
+            _folded(F.col("odd")).alias(f"half_{name}"))
+
+    def dealt(count: str) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.col(count)).cast("int")
+
+    others = side("a", dealt("rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    all_ = side("b", dealt("columns").alias("column"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+    x, y = others.where("outside_a").alias("x"), all_.alias("y")
+    same = (F.col("x.center") == F.col("y.center")) & (F.col("x.row") == F.col("y.row")) \
+        & (F.col("x.column") == F.col("y.column"))
+    return x.join(y, same & (F.col("c_a") != F.col("c_b")) & (~F.col("outside_b") | (F.col("a") < F.col("b")))
+                  & _plausible(threshold_pct) & _not_refuted(threshold_pct)) \
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n_words: int, threshold_pct: int) -> DataFrame:
@@ -152,41 +221,29 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, threshold_pct: int = 80,
     signed = materialize(signatures(docs, n_words), "minhash")
     # Equal sets are one class, spoken for by its smallest id.
     classes = signed.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"))
-    reps = signed.drop("set1", "set2").join(classes.select(F.col("rep").alias("doc_id")), "doc_id")
+    reps = signed.drop("set1", "set2", "odd").join(classes.select(F.col("rep").alias("doc_id")), "doc_id")
     reps = materialize(reps, "minhash-classes")
 
     members = buckets(reps)
     marks = reps.select("doc_id", F.col("n_shingles").alias("n"), F.col("sketch1").alias("s1"), F.col("sketch2").alias("s2"))
     members = materialize(members, "minhash-tables")
-    stars = members.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")) \
-        .where("center < last").select("key", "center")
-    met = members.join(stars, "key").where("doc_id > center").select("center", "doc_id").distinct()
+    stars = members.groupBy("key").agg(
+        F.max(F.struct("met", (-F.col("doc_id")).alias("least"))).alias("most"), F.count(F.lit(1)).alias("size")) \
+        .where("size > 1").select("key", (-F.col("most.least")).alias("center"))
+    met = members.join(stars, "key").where("doc_id <> center").select("center", "doc_id").distinct()
+    met = materialize(met, "stars")
 
     def with_marks(rows: DataFrame, column: str, side: str) -> DataFrame:
         return rows.join(marks.select(F.col("doc_id").alias(column), F.col("n").alias(f"n_{side}"),
                                       F.col("s1").alias(f"s1_{side}"), F.col("s2").alias(f"s2_{side}")), column)
 
-    pairs = met.select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
+    pairs = met.select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
     pairs = with_marks(with_marks(pairs, "b", "b"), "a", "a").where(_plausible(threshold_pct)).select("a", "b")
     pairs = materialize(pairs, "star-pairs")
     links = materialize(confirmed(pairs, docs, n_words, threshold_pct), "star-links")
     joined = components(links)
 
-    # Buckets that still hold several components: their members, with sizes and sketches, meet each other.
-    placed = members.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left") \
-        .withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo < hi").select("key")
-    open_ = with_marks(placed.join(mixed, "key", "left_semi"), "doc_id", "x")
-    open_ = materialize(open_, "open-buckets")
-
-    def side(name: str) -> DataFrame:
-        return open_.select("key", F.col("doc_id").alias(name), F.col("component").alias(f"c_{name}"),
-                            *[F.col(f"{x}_x").alias(f"{x}_{name}") for x in ("n", "s1", "s2")])
-
-    x, y = side("a"), side("b")
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-                   & _plausible(threshold_pct)).select("a", "b").distinct()
+    cross = across_stars(met, joined, marks.join(signed.select("doc_id", "odd"), "doc_id"), threshold_pct)
     tried = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
     more = materialize(confirmed(tried, docs, n_words, threshold_pct), "cross-links")
     if not more.isEmpty():

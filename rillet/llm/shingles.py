@@ -76,6 +76,13 @@ def shingle_sets(texts: list[bytes], n_words: int) -> list[np.ndarray]:
     return out
 
 
+def odd_sketch(values: np.ndarray) -> np.ndarray:
+    """Parity of the values that fall on each bit, 4 to 8 bits a value (a power of two, two words or more)."""
+    n_bits = max(128, 1 << int(4 * values.size - 1).bit_length()) if values.size else 128
+    counts = np.bincount((mix64(values) & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def minhashes(sets: list[np.ndarray], n: int, seed: int = 7) -> np.ndarray:
     """``n`` minhashes of each non-empty set (rows)."""
     rng = np.random.default_rng(seed)

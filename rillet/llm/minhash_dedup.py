@@ -39,6 +39,8 @@ MAX_SKETCH_DISTANCE = 25
 
 #: Rows of a star's two sides that meet in one block of the comparison within stars.
 OUTSIDE_BLOCK, MEMBER_BLOCK = 256, 4096
+#: Rows of the broadcast filter of ids (16,777,216 bits, about 8 MB).
+FILTER_WORDS = 1 << 18
 
 _SIGNATURE = ("doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, sketch1 bigint, sketch2 bigint, "
               "small array<bigint>, odd array<bigint>")
@@ -194,10 +196,23 @@ def across_stars(met: DataFrame, joined: DataFrame, marks: DataFrame, threshold_
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def only_needed(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``needed`` (distinct ids).
+
+    A table of ``FILTER_WORDS`` rows at most, each with 64 bits that ids fall on, is broadcast and keeps most other
+    texts out of the shuffle of the exact semi-join; with very many ids it only filters less.
+    """
+    word = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS)).alias("word")
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(doc_id), 32), 64) AS int))")
+    words = needed.groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    near = docs.withColumn("word", word).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    return near.select(*docs.columns).join(needed, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, n_words: int, threshold_pct: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(full_sets(docs.join(needed, "doc_id", "left_semi"), n_words), "shingle-sets")
+    sets = materialize(full_sets(only_needed(docs, needed), n_words), "shingle-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillet.llm.common import SPACE
+from rillet.session import materialize
 
 
 def host_of(url: Column) -> Column:
@@ -58,7 +59,8 @@ def line_dedup(pages: DataFrame, page_id: str, host: Column, lines: Column, max_
     frequent = counts.join(totals, "host").where(F.col("n") >= max_ratio * F.col("host_pages"))
     hosts = totals.join(frequent.groupBy("host").agg(F.collect_list("line").alias("drop")), "host", "left") \
         .select(F.col("host").alias("__host"), "host_pages", F.coalesce("drop", F.array().cast("array<binary>")).alias("drop"))
-    both = rows.join(hosts, F.col("host") == F.col("__host"))
+    # A written table parts the join with the pages from the counts by host, so that a skewed host is split in it.
+    both = rows.join(materialize(hosts, "line-hosts"), F.col("host") == F.col("__host"))
     left = F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), F.unhex(F.md5(x.cast("binary")))))
     both = both.withColumn("left", left)
     return both.select("page_id", "host", "host_pages", F.size("lines").cast("bigint").alias("n_lines"),

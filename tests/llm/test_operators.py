@@ -314,3 +314,14 @@ def test_pipeline_by_brute_force(spark):
     want = {i: zlib.crc32(model.encode(t).tobytes()) for i, t in zip(left["doc_id"], left["text"], strict=True)}
     got = cp.run(spark, SMALL).collect()
     assert {r.doc_id: r.ids_crc32 for r in got} == want and all(r.round_trip for r in got)
+
+
+def test_odd_sketches_never_overstate_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 15, 16, 17, 200, 3000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[n // 5:], rng.integers(0, 1 << 63, n // 5).astype(np.uint64)])
+        x, y = md.shingles.odd_sketch(a), md.shingles.odd_sketch(b)
+        assert x.size == y.size >= 2 and 64 * x.size >= 4 * n
+        assert np.bitwise_count(x ^ y).sum() <= np.setxor1d(a, b).size
+    assert md.shingles.odd_sketch(np.zeros(0, np.uint64)).tolist() == [0, 0]

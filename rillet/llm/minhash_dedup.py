@@ -200,13 +200,14 @@ def only_needed(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``needed`` (distinct ids).
 
     A table of ``FILTER_WORDS`` rows at most, each with 64 bits that ids fall on, is broadcast and keeps most other
-    texts out of the shuffle of the exact semi-join; with very many ids it only filters less.
+    texts out of the shuffle of the exact join; with very many ids it only filters less.  (An inner join: the
+    optimiser would move a semi-join below the filter, and so shuffle all texts.)
     """
     word = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS)).alias("word")
     bit = F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(doc_id), 32), 64) AS int))")
     words = needed.groupBy(word).agg(F.bit_or(bit).alias("bits"))
     near = docs.withColumn("word", word).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0)
-    return near.select(*docs.columns).join(needed, "doc_id", "left_semi")
+    return near.select(*docs.columns).join(needed, "doc_id")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n_words: int, threshold_pct: int) -> DataFrame:

@@ -22,6 +22,7 @@ from rillet.llm import sentencepiece_codec as sc
 from rillet.llm import source_mix as sm
 from rillet.llm import suffix_dedup as sd
 from rillet.llm import token_shards as ts
+from rillet.plans import physical_plan
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, kept string, host string"
@@ -325,3 +326,18 @@ def test_odd_sketches_never_overstate_the_difference():
         assert x.size == y.size >= 2 and 64 * x.size >= 4 * n
         assert np.bitwise_count(x ^ y).sum() <= np.setxor1d(a, b).size
     assert md.shingles.odd_sketch(np.zeros(0, np.uint64)).tolist() == [0, 0]
+
+
+def test_texts_without_a_candidate_stay_out_of_the_shuffle(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    needed = docs.select("doc_id").where("doc_id % 7 = 0").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = md.only_needed(docs, needed)
+        plan = physical_plan(found, "simple")
+        texts = plan.index("Exchange hashpartitioning(doc_id")
+        assert plan.index("SortMergeJoin") < texts < plan.index("BroadcastHashJoin") < plan.index("text#", texts + 200)
+        assert sorted(r[0] for r in found.collect()) == sorted(r[0] for r in needed.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

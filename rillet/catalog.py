@@ -19,6 +19,7 @@ from rillet import functions as uf
 from rillet import operators as op
 from rillet.operators import usage
 from rillet.operators.quality import repeated_values
+from rillet.operators.routing import write_routes
 from rillet.session import scratch_path
 from rillet.sources import files
 from rillet.streaming import file_arrival_stream, run_available, stream_filter
@@ -511,6 +512,57 @@ def r5(spark, d):
         {"condition": "value > 100", "output": "high.csv"},
         {"condition": "event_type = 'error'", "output": "errors.csv"}]).tagged
 
+
+def _written(spark, res, rest, fmt):
+    """The outputs that ``write_routes`` wrote, read back, and the rows that continue."""
+    path = scratch_path(spark, "routes")
+    write_routes(res.routed, path, fmt)
+    schema = res.routed.schema
+    back = files.read_csv(spark, path, schema=schema) if fmt == "csv" else spark.read.schema(schema).load(path, fmt)
+    return back.unionByName(rest, allowMissingColumns=True)
+
+
+@query("R1c_split_written", """
+SELECT *, CASE WHEN n IS NOT NULL THEN 'part_' || n END AS route FROM (
+  SELECT * EXCLUDE (rn), CASE WHEN rn IS NOT NULL THEN (rn - 1) // 4000 + 1 END AS n FROM (
+    SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders WHERE coalesce(o_orderstatus <> 'P', false)
+    UNION ALL SELECT *, NULL FROM orders WHERE o_orderstatus = 'P'))""")
+def r1c(spark, d):
+    res = op.split_records(_t(spark, d, "orders"), 4000, "o_orderstatus <> 'P'", ["o_orderkey"], chunk="n",
+                           output_prefix="part_")
+    return _written(spark, res, res.rest, "parquet")
+
+
+@query("R2c_route_written", """
+SELECT *, CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' END AS route FROM documents""")
+def r2c(spark, d):
+    res = op.route_on_attribute(_t(spark, d, "documents"), "lang", {"en": "english", "fr": "french"})
+    return _written(spark, res, res.rest, "csv")
+
+
+@query("R3b_branching_written", """
+SELECT *, CASE WHEN coalesce(value > 100, false) THEN 'true' ELSE 'false' END AS route FROM events""")
+def r3b(spark, d):
+    res = op.branching(_t(spark, d, "events"), "value > 100")
+    return _written(spark, res, res.rest, "csv")
+
+
+@query("R4b_dynamic_split_written", """
+SELECT *, 'prio_' || o_orderpriority AS route FROM orders""")
+def r4b(spark, d):
+    res = op.dynamic_split(_t(spark, d, "orders"), "o_orderpriority", "prio_")
+    return _written(spark, res, res.rest, "parquet")
+
+
+@query("R5b_conditional_split_written", """
+SELECT *, CASE WHEN coalesce(value > 100, false) THEN 'high.csv'
+               WHEN coalesce(event_type = 'error', false) THEN 'errors.csv' END AS route FROM events""")
+def r5b(spark, d):
+    res = op.conditional_split(_t(spark, d, "events"), [
+        {"condition": "value > 100", "output": "high.csv"},
+        {"condition": "event_type = 'error'", "output": "errors.csv"}])
+    return _written(spark, res, res.rest, "csv")
+
 # ---------------------------------------------------------------- column steps
 
 

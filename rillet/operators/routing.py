@@ -31,18 +31,20 @@ class Routed(NamedTuple):
     tagged: DataFrame | None = None
 
     def outputs(self, names: Sequence[str] | None = None, route: str = ROUTE,
-                max_outputs: int = 10_000) -> dict[str, DataFrame]:
+                max_outputs: int | None = None) -> dict[str, DataFrame]:
         """One lazy DataFrame per output name.
 
-        Without ``names`` the route names are listed (one job, at most
-        ``max_outputs`` names reach the driver); more outputs than that are
-        for :func:`write_routes`, which never lists them.
+        Without ``names`` the route names are listed (one job; the names, one
+        entry of the result each, reach the driver).  ``max_outputs`` raises
+        for more names than that.  :func:`write_routes` never lists them.
         """
         if names is None:
-            found = [r[0] for r in self.routed.select(route).distinct().limit(max_outputs + 1).collect()]
-            if len(found) > max_outputs:
+            found = self.routed.select(route).distinct()
+            if max_outputs is not None:
+                found = found.limit(max_outputs + 1)
+            names = sorted(r[0] for r in found.toLocalIterator())
+            if max_outputs is not None and len(names) > max_outputs:
                 raise StepError(f"more than {max_outputs} outputs; write them with write_routes")
-            names = sorted(found)
         return {n: self.routed.where(F.col(route) == n).drop(route) for n in names}
 
 
@@ -110,20 +112,23 @@ def dynamic_split(df: DataFrame, split_key: str, output_prefix: str = "split_",
         shared = values.groupBy("__name").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
         clashing = values.join(shared, "__name", "left_semi").where("__name <> `__value`") \
             .select("__value", F.concat("__name", F.lit("-"), F.substring(F.md5("__value"), 1, 8)).alias("__own"))
-        df = df.join(clashing, value == clashing["__value"], "left")
+        keyed = df.join(clashing, value == clashing["__value"], "left")
         name = F.coalesce(F.col("__own"), safe)
-    tagged = df.withColumn(route, F.concat(F.lit(output_prefix), name)).drop("__value", "__own")
+    else:
+        keyed = df
+    tagged = keyed.withColumn(route, F.concat(F.lit(output_prefix), name)).drop("__value", "__own")
     return Routed(tagged.where(F.col(route).isNotNull()), df.limit(0), tagged)
 
 
 def split_records(df: DataFrame, max_rows: int = 1000, condition: str | Column | None = None,
-                  order_by=None, chunk: str = "chunk", **numbering) -> Routed:
+                  order_by=None, chunk: str = "chunk", output_prefix: str | None = None, **numbering) -> Routed:
     """Cut the (matching) rows into numbered chunks of at most ``max_rows`` rows.
 
     ``chunk = (row_number - 1) div max_rows + 1`` over ``order_by`` with a
     distributed row number (no task sees more than one partition of rows).
     The rows that continue are the non-matching ones, or the whole table
-    when every row matched or no condition is given.
+    when every row matched or no condition is given.  With ``output_prefix``
+    a ``route`` column names each row's output, ``<prefix><chunk>``.
     """
     if int(max_rows) < 1:
         raise StepError("split_records: max_rows must be positive")
@@ -137,6 +142,8 @@ def split_records(df: DataFrame, max_rows: int = 1000, condition: str | Column |
     rn = unique_name(df, "__rn")
     numbered = row_numbers(matching, None, order_by, output=rn, **numbering)
     chunks = numbered.withColumn(chunk, (F.floor((F.col(rn) - 1) / int(max_rows)) + 1).cast("bigint")).drop(rn)
+    if output_prefix is not None:
+        chunks = chunks.withColumn(ROUTE, F.concat(F.lit(output_prefix), F.col(chunk).cast("string")))
     return Routed(chunks, rest)
 
 

@@ -69,6 +69,11 @@ def test_split_records_condition_rest(spark):
     assert all_match.rest.count() == 100
 
 
+def test_split_records_names_outputs(spark):
+    res = op.split_records(spark.range(0, 25), 10, order_by=["id"], output_prefix="part_")
+    assert sorted(res.outputs()) == ["part_1", "part_2", "part_3"]
+
+
 def test_write_routes_one_directory_per_route(spark, routed):
     res = op.route_on_attribute(routed, "value", {"value1": "one", "value2": "two"})
     path = scratch_path(spark, "routes")
@@ -81,7 +86,7 @@ def test_outputs_listing_is_bounded(routed):
     from rillet.common import StepError
 
     res = op.dynamic_split(routed, "value", "p_")
-    assert len(res.outputs()) == 5
+    assert len(res.outputs()) == 5 and res.rest.columns == routed.columns
     with pytest.raises(StepError):
         res.outputs(max_outputs=3)
 

@@ -4,7 +4,8 @@ All windows of 100 bytes are dealt out by their anchor (see ``anchors``), so equ
 windows meet in one group.  Windows whose anchor is alone cannot be repeated.  In
 the groups, equal runs of windows are first reduced to their first
 occurrence; the Burrows-Wheeler transform of what is left gives the classes of equal
-windows (see ``bwt``), of which the first stays.
+windows (see ``bwt``), of which the first stays.  A group that is too large for one
+transform is parted down to its windows, which are grouped by their bytes.
 """
 
 from __future__ import annotations
@@ -14,16 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillet.llm import anchors, bwt
 from rillet.llm.common import keyed_texts, one_row_per_id
 from rillet.session import materialize
 
-#: Bytes of run texts that are transformed together; a single group may be larger.
+#: Most bytes of run texts that are transformed together.
 CHUNK = 1 << 20
-#: Anchors with more runs than this are parted further by a second anchor.
+#: Anchors with more runs than this, or more than CHUNK bytes, are parted further by a second anchor.
 HOT_RUNS = 1_000
 #: A place is doc_id · 2**40 + offset: offsets of a document in one long, in document order.
 _SHIFT = 40
@@ -63,9 +64,10 @@ def window_runs(docs: DataFrame, window: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
     """The runs whose anchor occurs in another run, or twice in theirs; ``hot``: its runs are many."""
     found = window_runs(docs, window)
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_runs"), F.max("repeats").alias("again")) \
+    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_runs"), F.max("repeats").alias("again"),
+                                         F.sum(F.col("n") + (window - 1)).alias("size")) \
         .where((F.col("n_runs") > 1) | F.col("again"))
-    shared = shared.select("anchor", (F.col("n_runs") > HOT_RUNS).alias("hot"))
+    shared = shared.select("anchor", ((F.col("n_runs") > HOT_RUNS) | (F.col("size") > CHUNK)).alias("hot"))
     return found.join(shared, "anchor")
 
 
@@ -83,8 +85,8 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 
 
 def run_texts(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """``key, bytes, place, repeats``: the bytes of every run.  The key is the anchor; a run of a hot anchor is cut
-    where a second anchor (another hash) changes, and both make its key."""
+    """``key, bytes, place, repeats, hot``: the bytes of every run.  The key is the anchor; a run of a hot anchor is
+    cut where a second anchor (another hash) changes, and both make its key."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
@@ -95,12 +97,13 @@ def run_texts(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
             doc: list[int] = []
             start: list[int] = []
             again: list[bool] = []
+            parted: list[bool] = []
 
             def out() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays(
                     [pa.array(key, pa.int64()), pa.array(text, pa.binary()), pa.array(doc, pa.int64()),
-                     pa.array(start, pa.int64()), pa.array(again, pa.bool_())],
-                    ["key", "bytes", "doc_id", "start", "repeats"])
+                     pa.array(start, pa.int64()), pa.array(again, pa.bool_()), pa.array(parted, pa.bool_())],
+                    ["key", "bytes", "doc_id", "start", "repeats", "hot"])
 
             held = 0
             for i, raw in enumerate(texts):
@@ -122,17 +125,23 @@ def run_texts(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
                         doc.append(keys[i])
                         start.append(s + lo)
                         again.append(r or hot)
+                        parted.append(hot)
                         held += hi - lo + window
                 if held > 8 << 20:
                     yield out()
-                    key, text, doc, start, again, held = [], [], [], [], [], 0
+                    key, text, doc, start, again, parted, held = [], [], [], [], [], [], 0
             yield out()
 
     both = docs.join(_by_document(runs), "doc_id").select("doc_id", "text", "runs")
-    found = both.mapInArrow(rows, "key bigint, bytes binary, doc_id bigint, start bigint, repeats boolean")
+    found = both.mapInArrow(
+        rows, "key bigint, bytes binary, doc_id bigint, start bigint, repeats boolean, hot boolean")
+    return found.select("key", "bytes", _place().alias("place"), F.col("repeats").cast("int").alias("repeats"), "hot")
+
+
+def _place() -> Column:
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << _SHIFT).cast("decimal(13,0)") \
         + F.col("start").cast("decimal(13,0)")
-    return found.select("key", "bytes", place.cast("decimal(38,0)").alias("place"), F.col("repeats").cast("int").alias("repeats"))
+    return place.cast("decimal(38,0)")
 
 
 def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,15 +174,64 @@ def first_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, window
     return doc[row[opens]], offset[opens], offset[closes] + 1
 
 
+def single_windows(texts: DataFrame, window: int) -> DataFrame:
+    """``doc_id, lo, hi``: of the windows in the run texts (bytes, place), the first of each class, grouped by their
+    bytes: a group is one row, however many runs hold the window."""
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, start = _places(batch.column("place"))
+            text = batch.column("bytes").to_pylist()
+            sizes = np.array([len(t) for t in text], np.int64) - window + 1
+            # Some 8 MB of windows at a time: whole runs, of which none is long.
+            for part in np.split(np.arange(len(text)), np.flatnonzero(np.diff(np.cumsum(sizes) // 80_000)) + 1):
+                n = sizes[part]
+                if not n.sum():
+                    continue
+                raw = b"".join(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text[i], np.uint8), window).tobytes()
+                               for i in part.tolist())
+                ends = np.arange(n.sum() + 1, dtype=np.int32) * window
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.Array.from_buffers(pa.binary(), int(n.sum()), [None, pa.py_buffer(ends), pa.py_buffer(raw)]),
+                     pa.array(np.repeat(doc[part], n)), pa.array(np.repeat(start[part], n) + k)],
+                    ["bytes", "doc_id", "start"])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, start = _places(batch.column("place"))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(start + 1)],
+                                             ["doc_id", "lo", "hi"])
+
+    found = texts.select("bytes", "place").mapInArrow(windows, "bytes binary, doc_id bigint, start bigint")
+    first = found.select("bytes", _place().alias("place")).groupBy("bytes").agg(F.min("place").alias("place"))
+    return first.select("place").mapInArrow(ranges, "doc_id bigint, lo bigint, hi bigint")
+
+
 def kept_windows(texts: DataFrame, window: int) -> DataFrame:
     """``doc_id, lo, hi``: window starts in the repeated runs that no earlier window equals."""
-    distinct = texts.groupBy("key", "bytes").agg(F.min("place").alias("place"), F.max("repeats").alias("repeats"))
+    distinct = texts.groupBy("key", "bytes").agg(
+        F.min("place").alias("place"), F.max("repeats").alias("repeats"), F.max("hot").alias("hot"))
+    # The size of what a hot anchor's group adds; other groups are within CHUNK.
+    distinct = distinct.withColumn("size", F.when(F.col("hot"), F.octet_length("bytes"))).drop("hot")
     # Written, so that the shuffles of all texts are gone before the groups are dealt out.
-    dealt = materialize(distinct, "distinct-runs").repartition("key").sortWithinPartitions("key")
+    distinct = materialize(distinct, "distinct-runs")
+    wide = materialize(distinct.where("size IS NOT NULL").groupBy("key").agg(F.sum("size").alias("size"))
+                       .where(F.col("size") > CHUNK).select("key"), "wide-groups")
+    runs = distinct.drop("size")
+    if wide.isEmpty():
+        return grouped_windows(runs, window)
+    return grouped_windows(runs.join(wide, "key", "left_anti"), window).unionByName(
+        single_windows(runs.join(wide, "key", "left_semi"), window))
+
+
+def grouped_windows(distinct: DataFrame, window: int) -> DataFrame:
+    """``doc_id, lo, hi``: the first windows of each class among distinct runs, in groups of at most CHUNK bytes."""
+    dealt = distinct.repartition("key").sortWithinPartitions("key")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        last: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # a group that may go on
+        size = last_size = 0
 
         def flush(parts) -> pa.RecordBatch:
             text = [t for p in parts for t in p[0]]
@@ -195,26 +253,24 @@ def kept_windows(texts: DataFrame, window: int) -> DataFrame:
             doc, start = _places(batch.column("place"))
             text = batch.column("bytes").to_pylist()
             again = batch.column("repeats").to_numpy()
-            # Whole groups only: what may go on in the next batch waits.
-            sizes = np.cumsum([len(t) for t in text])
-            at = 0
-            edges = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, key.size)
-            if held and held[-1][1][-1] != key[0] and size >= CHUNK:
-                yield flush(held)
-                held, size = [], 0
-            for edge in edges.tolist():
-                grown = size + int(sizes[edge - 1] - (sizes[at - 1] if at else 0))
-                if grown >= CHUNK and edge < key.size:
-                    part = slice(at, edge)
-                    held.append((text[part], key[part], doc[part], start[part], again[part]))
-                    yield flush(held)
-                    held, size, at = [], 0, edge
-            if at < key.size:
-                part = slice(at, key.size)
-                held.append((text[part], key[part], doc[part], start[part], again[part]))
-                size += int(sizes[-1] - (sizes[at - 1] if at else 0))
-        if held:
+            sizes = np.concatenate([[0], np.cumsum([len(t) for t in text])]).tolist()
+            edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [key.size]]).tolist()
+            for at, edge in zip(edges, edges[1:], strict=False):
+                if last and last[-1][1][-1] != key[at]:  # the group before is whole
+                    if held and size + last_size > CHUNK:
+                        yield flush(held)
+                        held, size = [], 0
+                    held += last
+                    size += last_size
+                    last, last_size = [], 0
+                part = slice(at, edge)
+                last.append((text[part], key[part], doc[part], start[part], again[part]))
+                last_size += sizes[edge] - sizes[at]
+        if held and size + last_size > CHUNK:
             yield flush(held)
+            held = []
+        if held or last:
+            yield flush(held + last)
 
     return dealt.mapInArrow(rows, "doc_id bigint, lo bigint, hi bigint")
 

@@ -104,6 +104,26 @@ def test_suffix_dedup_on_documents(spark):
     assert got == brute_spans((r.doc_id, r.text) for r in docs.collect())
 
 
+def test_a_line_in_many_documents_is_never_transformed_whole(spark, monkeypatch):
+    bound, transform = 1 << 14, sd.first_windows
+
+    def bounded(texts, *rest):
+        assert sum(map(len, texts)) <= bound, sum(map(len, texts))
+        return transform(texts, *rest)
+
+    for name, value in (("HOT_RUNS", 20), ("CHUNK", bound), ("first_windows", bounded)):
+        monkeypatch.setattr(sd, name, value)
+    rng = np.random.default_rng(7)
+    line, near = ("".join(map(chr, rng.integers(97, 123, n))) for n in (90, 60))
+    # Neighbours of its own in most documents, the same on one side in some, the line twice in some.
+    texts = ["".join(map(chr, rng.integers(97, 123, 150))) + (near if i % 5 == 0 else "") + line
+             + "".join(map(chr, rng.integers(97, 123, 150))) + (line if i % 9 == 0 else "") for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.repeated_spans(docs).collect()}
+    want = brute_spans(enumerate(texts))
+    assert got == want and sum(n for _, n, _, _ in want.values()) > 0
+
+
 def brute_components(rows, n_words=2):
     sets = {}
     for i, t in rows:

@@ -90,6 +90,8 @@ class WordCachedTokenizer:
     The pre-tokenizer never joins characters across a space that has a non-space after it, so a text is cut
     there and each piece is encoded once for all its occurrences.  At most ``cache_words`` pieces are kept.
     New pieces are cut by the file's own pattern and their parts go through its BPE model, many in one call.
+    Added tokens of the file are matched before the pre-tokenizer, so a text that holds one literally is
+    encoded whole.
     """
 
     def __init__(self, path: str, cache_words: int = 600_000):
@@ -99,7 +101,8 @@ class WordCachedTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) if added else r"(?!)")
         self.parts = Tokenizer(self.tokenizer.model)
         self.parts.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.pattern = regex.compile(public_tokenizers.PATTERN)
@@ -164,6 +167,11 @@ class WordCachedTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        held = [i for i, t in enumerate(texts) if self.added.search(t)]
+        if held:
+            whole = dict(zip(held, self._whole([texts[i] for i in held]), strict=True))
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
         split = [self.cut.split(t) if self.blank.search(t) else t.split(" ") for t in texts]
         heads = self._whole([p[0] for p in split])
         new = list(set().union(*(p[1:] for p in split)).difference(self.cache))

@@ -230,6 +230,21 @@ def test_token_shards(spark, odd, none):
     assert [r.ids for r in ts.read_shards(spark, path).collect()] == [[*own.encode("one two").ids, 2]]
 
 
+def test_token_shards_hold_the_ids_of_the_plainly_loaded_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(ts.default_tokenizer())
+    texts = ["plain words", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  <|endoftext|>\n z",
+             "<|endoftext|", "a <|endoftext|>b <|endoftext|> a", "plain words again", None]
+    start, want = 0, []
+    for i, t in enumerate(texts):
+        ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, ids.size, zlib.crc32(ids.tobytes())))
+        start += ids.size
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [tuple(r) for r in ts.tokenised(docs).orderBy("start").collect()] == want
+
+
 @pytest.mark.parametrize("text", ["a  b", " a", "\n a\n\n b ", "it's  <|endoftext|> a", "a \x1cb", "", "x  y", "don't 'll  \t z"])
 def test_word_cache_gives_the_tokenizers_ids(text):
     cached = ts.tokenizer(ts.default_tokenizer())

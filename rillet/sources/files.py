@@ -132,8 +132,9 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
 
     With ``lines=None`` each file is looked at: one that begins with ``[`` is an array document, one whose
     first line is a whole JSON value holds JSON lines, and any other is a column-oriented object
-    (``{"col": {"0": v, "1": w}}``); a folder may mix them.  That look reads all files once; name ``lines`` for
-    large inputs.  ``orient="columns"`` reads every file as a column-oriented object.  Malformed JSON
+    (``{"col": {"0": v, "1": w}}``); a folder may mix them.  A column-oriented object on one line is taken for one
+    only if all files of the folder are column-oriented and its row labels are 0, 1, …; else it is a record.  That
+    look reads all files once; name ``lines`` for large inputs.  ``orient="columns"`` reads every file as a column-oriented object.  Malformed JSON
     fails the read.
     """
     if orient == "columns":
@@ -165,16 +166,22 @@ def _json_kinds(spark: SparkSession, path: str) -> dict[str, list[str]]:
     first = text.where(F.trim("value") != "").groupBy("file").agg(F.min_by(F.trim("value"), "at").alias("line"))
     kind = F.when(F.col("line").startswith("["), "array").when(
         F.try_parse_json("line").isNotNull(), "lines").otherwise("columns")
-    # A first line that is a whole object of objects, in a file of one line, is column-oriented.
+    # A whole object in a file of one line may be column-oriented: all its values are objects with labels 0, 1, ...
     lone = text.where(F.trim("value") != "").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    shape = F.schema_of_variant(F.try_parse_json("line"))
-    only_objects = shape.rlike(r"^OBJECT<[^:]+: OBJECT<") & ~F.regexp_replace(
-        F.regexp_replace(shape, r"^OBJECT<", ""), r"[^:<>,]+: OBJECT<[^<>]*>(, )?", "").rlike(r"[^<> ]")
-    found = first.join(lone, "file").select("file", F.when(
-        (kind == "lines") & (F.col("n") == 1) & only_objects, "columns").otherwise(kind).alias("kind"))
+    cells = F.try_variant_get(F.try_parse_json("line"), "$", "map<string, map<string, variant>>")
+
+    def labelled(rows):
+        return (F.size(rows) > 0) & F.forall(F.map_keys(rows), lambda k: (
+            k.try_cast("bigint").cast("string") == k) & k.try_cast("bigint").between(0, F.size(rows) - 1))
+
+    table = (F.col("n") == 1) & (kind == "lines") & (F.size(cells) > 0) & F.forall(F.map_values(cells), labelled)
+    found = first.join(lone, "file").select(
+        "file", kind.alias("kind"), F.coalesce(table, F.lit(False)).alias("table")).orderBy("file").collect()
+    # Records of a nested column look the same in one file, so all files of the folder must be of that form.
+    tables = all(row["table"] or row["kind"] == "columns" for row in found)
     out: dict[str, list[str]] = {}
-    for row in found.orderBy("file").collect():
-        out.setdefault(row["kind"], []).append(row["file"])
+    for row in found:
+        out.setdefault("columns" if tables else row["kind"], []).append(row["file"])
     return out
 
 

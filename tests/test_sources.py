@@ -78,3 +78,28 @@ def test_csv_hard_cells(spark, tmp_path):
     cells = spark.createDataFrame([("  pad ",), ("x\ny",), ("",), (None,), ('q"q',)], "t string")
     back = convert_format(cells, "csv")
     assert sorted(r.t or repr(r.t) for r in back.collect()) == sorted(["  pad ", "x\ny", "''", "None", 'q"q'])
+
+
+def test_nested_records_in_files_of_one_record(spark, tmp_path):
+    from rillet.sources import read_json
+
+    record = '{"user":{"id":%d},"event":{"k":%d}}\n'
+    mixed, single = tmp_path / "mixed", tmp_path / "single"
+    for folder in (mixed, single):
+        folder.mkdir()
+        (folder / "a.json").write_text(record % (1, 10))
+        (folder / "b.json").write_text(record % (2, 20) + (record % (3, 30) if folder == mixed else ""))
+    for folder, n in ((mixed, 3), (single, 2)):
+        got = sorted((r.user.id, r.event.k) for r in read_json(spark, f"file://{folder}").collect())
+        assert got == [(i, 10 * i) for i in range(1, n + 1)]
+    (mixed / "c.json").write_text('{"user":{"0":4},"event":{"0":40}}\n')  # labels, but among JSON lines
+    assert read_json(spark, f"file://{mixed}").count() == 4
+    assert read_json(spark, f"file://{mixed}").where("user.id IS NOT NULL").count() == 3
+
+
+def test_column_oriented_files_of_one_line(spark, tmp_path):
+    from rillet.sources import read_json
+
+    (tmp_path / "a.json").write_text('{"n":{"0":1,"1":2},"s":{"0":"x","1":null}}')
+    (tmp_path / "b.json").write_text('{\n "n": {"0": 3},\n "s": {"0": "z"}\n}')
+    assert sorted(map(tuple, read_json(spark, f"file://{tmp_path}").collect())) == [(1, "x"), (2, None), (3, "z")]

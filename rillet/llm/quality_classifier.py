@@ -165,6 +165,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id
     ``score`` is the document's probability of being good: its evidence's log-odds plus ``group_weight`` times the
     log-odds of the path's posterior against the corpus; ``kept`` where it is ``threshold`` or more.
 
+    Without ``host`` and ``path``, ``source`` and ``lang`` stand in for them, as in the registered query: its table
+    has no URL, and these are the columns that group its documents.  Path posteriors are then means by language
+    within a source.
+
     Null or empty texts have evidence 0.5; null hosts and paths are ``""``; without usable labels all evidence
     is 0.5 and everything is kept.  Repeated rows each count and each get a row; an empty table gives an
     empty result.

@@ -92,6 +92,37 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str =
         "doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+def exact_dedup_in_ranges(docs: DataFrame, ranges: int = 3, index: DigestIndex | None = None, doc_id: str = "doc_id",
+                          text: str = "text") -> DataFrame:
+    """The rows of :func:`exact_dedup`, with the table fed through one index in ascending ranges of doc_id.
+
+    What an earlier range holds decides the later ones through the index; ``group_size`` counts the rows of all
+    ranges.  Null doc_ids come in the last range.
+    """
+    index = index or DigestIndex(docs.sparkSession, scratch_path(docs.sparkSession, "digest-index"))
+    key = F.col(doc_id).cast("bigint")
+    cuts = docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)])).first()[0] if ranges > 1 else None
+    cuts = sorted(set(cuts or []))
+    found = None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = docs if low is None else docs.where((key > low) | key.isNull())
+        part = part if high is None else part.where(key <= high)
+        verdict = exact_dedup(part, index, doc_id, text).drop("group_size")
+        found = verdict if found is None else found.unionByName(verdict)
+    found = materialize(found, "range-verdicts")
+    shared = materialize(found.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"),
+                         "group-sizes")
+    # As above: digests of very many rows are few and broadcast, all others are joined by a shuffle.
+    total = found.agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(shared.join(F.broadcast(total), F.col("n_rows") >= F.greatest(
+        F.lit(2), F.col("n") * HOT_SHARE)).drop("n"), "hot-sizes")
+    names = F.broadcast(hot.select("text_sha256"))
+    by_rest = found.join(names, "text_sha256", "left_anti").join(
+        shared.join(names, "text_sha256", "left_anti"), "text_sha256", "left")
+    return found.join(F.broadcast(hot), "text_sha256").unionByName(by_rest).select(
+        "doc_id", "keep_id", F.coalesce("n_rows", F.lit(1)).cast("bigint").alias("group_size"), "kept", "text_sha256")
+
+
 def keep_first(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_id",
                text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text :func:`exact_dedup` keeps, all columns.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillet.llm.common import table
-from rillet.llm.exact_dedup import exact_dedup
+from rillet.llm.exact_dedup import exact_dedup_in_ranges
 from rillet.llm.language_id import language_id
 from rillet.llm.line_dedup import host_of, line_dedup, lines_of_html
 from rillet.llm.minhash_dedup import near_duplicates
@@ -93,7 +93,7 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)""")
 def op3(spark: SparkSession, d: str) -> DataFrame:
-    return exact_dedup(table(spark, d, "documents"))
+    return exact_dedup_in_ranges(table(spark, d, "documents"))
 
 
 @query("op4_minhash_dedup")

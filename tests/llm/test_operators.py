@@ -177,6 +177,22 @@ def test_exact_dedup(spark, odd, none, tmp_path):
     assert (again[2].kept, again[2].keep_id, again[3].kept, again[9].kept) == (False, 1, False, True)
 
 
+def test_exact_dedup_feeds_later_ranges_through_the_index(spark, odd, none, monkeypatch):
+    held, append = [], ed.DigestIndex.append
+
+    def counted(self, groups):
+        held.append(self.table().count())
+        append(self, groups)
+
+    monkeypatch.setattr(ed.DigestIndex, "append", counted)
+    queries.QUERIES["op3_exact_dedup"](spark, SMALL).count()
+    assert held[0] == 0 and len(held) == 3 and min(held[1:]) > 0
+    rows = spark.createDataFrame([(i, f"text {i % 7}" if i % 2 else "same") for i in range(60)], "doc_id bigint, text string")
+    for docs in (odd, rows, none):
+        want = sorted(map(str, ed.exact_dedup(docs).collect()))
+        assert sorted(map(str, ed.exact_dedup_in_ranges(docs, 4).collect())) == want
+
+
 def test_quality_rules(odd, none):
     got = {r.doc_id: r for r in qr.quality_rules(odd).collect()}
     assert qr.quality_rules(odd).count() == odd.count()

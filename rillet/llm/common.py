@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillet.session import materialize
+
 #: Fixed value: the white space that separates words (space, tab to carriage return).
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -35,3 +37,22 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
     if repeated.isEmpty():
         return docs
     return docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+#: A key is joined apart as hot when it holds this share of the rows; there are fewer than 1 / share such keys.
+HOT_SHARE = 1 / 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined with the one row that ``groups`` (a written table) has for each key; ``size`` counts a key's rows.
+
+    Keys of very many rows are at most 1 / ``HOT_SHARE``, so their groups are broadcast whatever the size of the
+    table; all other keys are joined by a shuffle in which none is large.
+    """
+    total = groups.agg(F.sum(size).alias("__total"))
+    marked = groups.join(F.broadcast(total), F.lit(True)).withColumn(
+        "__hot", F.col(size) >= F.greatest(F.lit(2), F.col("__total") * HOT_SHARE)).drop("__total")
+    marked = materialize(marked, "groups")
+    hot, cold = (marked.where(c).drop("__hot") for c in ("__hot", "NOT __hot"))
+    return rows.join(F.broadcast(hot), key).unionByName(
+        rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))

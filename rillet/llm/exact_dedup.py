@@ -9,25 +9,36 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillet.common import unique_name
 from rillet.llm.common import SPACE, text_of
 from rillet.session import materialize, scratch_path
 
 #: A digest is split off as hot when it holds this share of the rows; there are fewer than 1 / share such digests.
 HOT_SHARE = 1 / 1000
+#: Rows of a batch for each bucket of a new index (some hundred MB of digests), and its least number of buckets.
+ROWS_PER_BUCKET, MIN_BUCKETS = 4_000_000, 64
 
 
 class DigestIndex:
     """Digests seen so far: ``digest, keep_id``, in a table at ``path`` (a shared folder).
 
-    The same path opened again, also in another session, goes on with what is there.
+    The same path opened again, also in another session, goes on with what is there, in the number of buckets it
+    was made with (a row of its own beside the buckets); ``buckets`` counts for a new index only.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = MIN_BUCKETS):
+        self.spark, self.path = spark, path
         self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+        made = f"{path}/_made"
+        try:
+            buckets = spark.read.schema("buckets int").parquet(made).first()["buckets"]
+        except AnalysisException:  # no such path: a new index
+            spark.range(1).select(F.lit(buckets).cast("int").alias("buckets")).coalesce(1).write.parquet(made)
+        self.buckets = buckets
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT) USING parquet "
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
 
@@ -43,6 +54,11 @@ class DigestIndex:
             .option("path", self.path).saveAsTable(self.name)
 
 
+def new_index(spark: SparkSession, n_rows: int) -> DigestIndex:
+    """A fresh index in the shared folder, with buckets enough for ``n_rows``."""
+    return DigestIndex(spark, scratch_path(spark, "digest-index"), max(MIN_BUCKETS, -(-n_rows // ROWS_PER_BUCKET)))
+
+
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, digest`` of each row: sha-256 (hex) of the text with each run of white space as one space."""
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"),
@@ -62,15 +78,16 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str =
     repeats is kept.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, scratch_path(spark, "digest-index"))
     # A digest a row, written once: the row numbers stay as they are for all later reads.
     rows = materialize(digests(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "digests")
+    index = index or new_index(spark, rows.count())
     groups = rows.groupBy("digest").agg(F.min("doc_id").alias("batch_id"), F.count(F.lit(1)).alias("group_size"))
-    known = index.table().withColumnRenamed("keep_id", "known_id")
+    # A flag of its own says that the index holds the digest: its keep_id is null where all its rows had null ids.
+    known = index.table().select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
     groups = groups.join(known.hint("merge"), "digest", "left")
     groups = materialize(groups.select(
-        "digest", "group_size", "batch_id", F.coalesce("known_id", "batch_id").alias("keep_id"),
-        F.col("known_id").isNull().alias("new")), "digest-groups")
+        "digest", "group_size", "batch_id", F.when(F.col("known"), F.col("known_id")).otherwise(F.col("batch_id"))
+        .alias("keep_id"), F.col("known").isNull().alias("new")), "digest-groups")
     index.append(groups.where("new"))
     # Repeats of the row that stays: the first row number among them is the one.
     stay = rows.join(groups.where("group_size > 1 AND new").select("digest", "batch_id"), "digest") \
@@ -99,10 +116,11 @@ def exact_dedup_in_ranges(docs: DataFrame, ranges: int = 3, index: DigestIndex |
     What an earlier range holds decides the later ones through the index; ``group_size`` counts the rows of all
     ranges.  Null doc_ids come in the last range.
     """
-    index = index or DigestIndex(docs.sparkSession, scratch_path(docs.sparkSession, "digest-index"))
     key = F.col(doc_id).cast("bigint")
-    cuts = docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)])).first()[0] if ranges > 1 else None
-    cuts = sorted(set(cuts or []))
+    cuts, n_rows = docs.agg(F.percentile_approx(key, [i / max(ranges, 2) for i in range(1, max(ranges, 2))]),
+                            F.count(F.lit(1))).first()
+    cuts = sorted(set(cuts or [])) if ranges > 1 else []
+    index = index or new_index(docs.sparkSession, n_rows)
     found = None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = docs if low is None else docs.where((key > low) | key.isNull())
@@ -134,15 +152,14 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None, doc_id: str =
     verdict = materialize(exact_dedup(docs, index, doc_id, text), "exact-verdicts")
     by_id = verdict.groupBy("doc_id").agg(
         F.sum(F.col("kept").cast("int")).alias("n_kept"), F.count(F.lit(1)).alias("n")).where("n_kept < n")
-    gone = by_id.where("n_kept = 0").select(F.col("doc_id").alias("__id"))
-    part = by_id.where("n_kept > 0").select(F.col("doc_id").alias("__id"))
-    out = docs.join(by_id.select(F.col("doc_id").alias("__id")), docs[doc_id].eqNullSafe(F.col("__id")), "left_anti")
+    id_, digest, kept_ = (unique_name(docs, x) for x in ("__id", "__digest", "__kept"))
+    part = by_id.where("n_kept > 0").select(F.col("doc_id").alias(id_))
+    out = docs.join(by_id.select(F.col("doc_id").alias(id_)), docs[doc_id].eqNullSafe(F.col(id_)), "left_anti")
     if part.isEmpty():
         return out
     # Ids with both kept and dropped rows: the texts decide, one row for each kept text.
-    kept = verdict.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    some = docs.join(part, docs[doc_id].eqNullSafe(F.col("__id")), "left_semi")
-    some = some.withColumn("__digest", F.sha2(F.regexp_replace(text_of(text), SPACE, " "), 256))
-    some = some.join(kept.withColumnRenamed("__digest", "__kept"), docs[doc_id].eqNullSafe(F.col("__id"))
-                     & (F.col("__digest") == F.col("__kept")), "left_semi")
-    return out.unionByName(some.dropDuplicates([doc_id, "__digest"]).select(*docs.columns))
+    kept = verdict.where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(kept_))
+    some = docs.join(part, docs[doc_id].eqNullSafe(F.col(id_)), "left_semi")
+    some = some.withColumn(digest, F.sha2(F.regexp_replace(text_of(text), SPACE, " "), 256))
+    some = some.join(kept, docs[doc_id].eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(kept_)), "left_semi")
+    return out.unionByName(some.dropDuplicates([doc_id, digest]).select(*docs.columns))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillet.common import unique_name
 from rillet.llm import shingles
 from rillet.llm.common import keyed_texts, one_row_per_id
 from rillet.llm.components import components
@@ -277,6 +278,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, threshold_pct: int = 80,
 def keep_one_of_each(docs: DataFrame, n_words: int = 5, threshold_pct: int = 80, doc_id: str = "doc_id",
                      text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component, all columns; rows with a null doc_id stay."""
+    id_ = unique_name(docs, "__id")
     gone = near_duplicates(docs, n_words, threshold_pct, doc_id, text).where(~F.col("kept")).select(
-        F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs[doc_id] == F.col("__id"), "left_anti")
+        F.col("doc_id").alias(id_))
+    return docs.join(gone, docs[doc_id] == F.col(id_), "left_anti")

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import NOT_SPACE, SPACE, text_of
+from rillet.common import unique_name
+from rillet.llm.common import NOT_SPACE, SPACE, join_groups, text_of
 from rillet.session import materialize
 
 #: Fixed value: characters counted as symbols.
@@ -109,7 +110,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     # The statistics (a few numbers a document) are read twice: for the hosts and for the verdicts.
     d = materialize(d, "quality-features")
     hosts = host_rates(d.select("host", (F.col("base_failed") | (F.col("n_rules_failed") > 0)).alias("failed")))
-    verdict = d.join(hosts, "host")
+    verdict = join_groups(d, hosts, "host", "n_docs")
     bad = F.col("base_failed") | (F.col("host_rate") >= reject_rate) | (
         (F.col("n_rules_failed") > 0) & (F.col("host_rate") >= strict_rate))
     return verdict.select("doc_id", *FEATURES, "base_failed", "n_rules_failed", "host", "host_rate",
@@ -123,5 +124,6 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     and stay.
     """
     key = options.get("doc_id", "doc_id")
-    rejected = quality_rules(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, docs[key] == F.col("__id"), "left_anti")
+    id_ = unique_name(docs, "__id")
+    rejected = quality_rules(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(rejected, docs[key] == F.col(id_), "left_anti")

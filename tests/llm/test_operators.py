@@ -392,3 +392,24 @@ def test_texts_without_a_candidate_stay_out_of_the_shuffle(spark):
         assert sorted(r[0] for r in found.collect()) == sorted(r[0] for r in needed.collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_index_knows_digests_whose_rows_had_no_id(spark, tmp_path):
+    index = ed.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    schema = "doc_id bigint, text string"
+    first = ed.exact_dedup(spark.createDataFrame([(None, "only null"), (3, "b")], schema), index).collect()
+    assert sorted(r["kept"] for r in first) == [True, True]
+    again = ed.DigestIndex(spark, str(tmp_path / "index"), buckets=9)  # an index keeps the buckets it was made with
+    assert again.buckets == 4
+    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in ed.exact_dedup(
+        spark.createDataFrame([(5, "only null"), (6, "b"), (7, "new")], schema), again).collect()}
+    assert got == {5: (None, False), 6: (3, False), 7: (7, True)}
+
+
+def test_filters_allow_columns_named_as_their_helpers(spark):
+    docs = spark.createDataFrame(
+        [(1, LONG, "a", 1, "d", "k"), (1, "other " + LONG, "a", 2, "d", "k"), (2, LONG, "b", 3, "d", "k"), (3, "x", "b", 4, "d", "k")],
+        "doc_id bigint, text string, source string, __id int, __digest string, __kept string")
+    assert {r["__id"] for r in ed.keep_first(docs).collect()} == {1, 2, 4}
+    assert {r["__id"] for r in qr.keep_good(docs, reject_rate=1.1).collect()} == {1, 2, 3}
+    assert sorted(r["doc_id"] for r in md.keep_one_of_each(docs).collect()) == [1, 1, 3]

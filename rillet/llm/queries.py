@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillet.llm.common import table
+from rillet.llm.divergence import divergence
 from rillet.llm.exact_dedup import exact_dedup_in_ranges
 from rillet.llm.language_id import language_id
+from rillet.llm.lexical_search import ranked_search
 from rillet.llm.line_dedup import host_of, line_dedup, lines_of_html
 from rillet.llm.minhash_dedup import near_duplicates
 from rillet.llm.quality_classifier import quality_classifier
@@ -167,3 +169,48 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return quality_classifier(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op12_source_divergence", r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+t AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+v AS (SELECT lang, term, sum(n)::BIGINT AS lang_n FROM t GROUP BY lang, term HAVING count(*) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(lang_n)::BIGINT AS lang_total FROM v GROUP BY lang),
+c AS (SELECT lang, source, term, sum(n)::BIGINT AS n FROM t JOIN v USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(lang_total, 0) AS lang_total, coalesce(total, 0)::BIGINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN l USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source)),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (total + 2 * g.v) AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 2)) // (lang_total + 2 * g.v) AS q
+  FROM g JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10""")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return divergence(table(spark, d, "documents"))
+
+
+@query("op13_lexical_search", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+t AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs),
+m AS (SELECT doc_id, 50 + (50 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+x AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM x WHERE rank <= 50""")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return ranked_search(table(spark, d, "documents"), table(spark, d, "benchmark"))

@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillet.llm.common import text_of
-from rillet.llm.terms import LETTERS, as_bytes, term_runs
+from rillet.llm.terms import LETTERS, as_bytes, sliced, term_runs
 from rillet.session import materialize
 
 #: Terms in a block of ids (on average, dealt by a hash) and sources in a tile: a task holds two tiles of one block.
 BLOCK_IDS, TILE = 1 << 15, 16
 #: Distinct (language, source, term) a task holds before it passes on its counts.
-HELD = 300_000
+HELD = 120_000
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             count.clear()
             held.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for key, data in zip(keys, as_bytes(batch.column(2)), strict=True):
                 n = count.setdefault(key, Counter())

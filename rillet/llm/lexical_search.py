@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillet.llm.terms import LETTERS_DIGITS, as_bytes, term_runs
+from rillet.llm.terms import LETTERS_DIGITS, as_bytes, sliced, term_runs
 from rillet.session import materialize
 
 #: (item, term) pairs that are searched for at once; more items are searched for in further passes over the documents.
@@ -54,7 +54,7 @@ def restricted_vectors(docs: DataFrame, vocabulary: dict[bytes, int], doc_id: st
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             keys, total, ids, counts, ends = [], [], [], [], [0]
             for key, data in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 n, tf = 0, Counter()

@@ -35,3 +35,10 @@ def term_runs(text: bytes, translation: bytes, piece: int = 1 << 20) -> Iterator
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some rows, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

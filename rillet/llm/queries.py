@@ -20,6 +20,7 @@ from rillet.llm.sentencepiece_codec import encode_decode_digests
 from rillet.llm.source_mix import BUDGET, REST, TARGETS, mix_documents
 from rillet.llm.suffix_dedup import repeated_spans
 from rillet.llm.token_shards import tokenised
+from rillet.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -171,6 +172,11 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return quality_classifier(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query("op11_toxicity")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query("op12_source_divergence", r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -14,7 +14,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,23 +117,27 @@ def merged(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarra
     return int(both + only_a + only_b + neither * int(apart(np.int64(zero_a), np.int64(zero_b))))
 
 
-def _pair_task(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _pair_task(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Merges each source of one tile with each of the other (within a tile: with each later one)."""
-    def ready(frame: pd.DataFrame) -> list[tuple]:
+    def ready(rows: pa.Table) -> list[tuple]:
         out = []
-        for row in frame.sort_values("source").itertuples():
-            zero = int(prices(np.zeros(1, np.int64), row.total, row.v)[0])
-            out.append((row.source, (np.asarray(row.ids, np.int64),
-                                     prices(np.asarray(row.counts, np.int64), row.total, row.v), zero)))
-        return out
-
-    if left.empty or right.empty:
-        return pd.DataFrame({"lang": [], "a": [], "b": [], "value": []})
-    size, same = int(left["block_size"].iloc[0]), key[2] == key[3]
-    ready_a = ready(left)
-    ready_b = ready_a if same else ready(right)
-    found = [(key[0], s, t, merged(x, y, size)) for s, x in ready_a for t, y in ready_b if not same or s < t]
-    return pd.DataFrame(found, columns=["lang", "a", "b", "value"])
+        for i in range(rows.num_rows):
+            total, size = rows["total"][i].as_py(), rows["v"][i].as_py()
+            ids, counts = (rows[c][i].values.to_numpy() for c in ("ids", "counts"))
+            zero = int(prices(np.zeros(1, np.int64), total, size)[0])
+            out.append((rows["source"][i].as_py(), (ids, prices(counts, total, size), zero)))
+        return sorted(out, key=lambda x: x[0])
+
+    lang, _, first, second = (k.as_py() for k in key)
+    found: list[tuple] = []
+    if left.num_rows and right.num_rows:
+        size, same = left["block_size"][0].as_py(), first == second
+        ready_a = ready(left)
+        ready_b = ready_a if same else ready(right)
+        found = [(s, t, merged(x, y, size)) for s, x in ready_a for t, y in ready_b if not same or s < t]
+    a, b, value = zip(*found, strict=True) if found else ((), (), ())
+    return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "a": pa.array(a, pa.string()),
+                     "b": pa.array(b, pa.string()), "value": pa.array(value, pa.int64())})
 
 
 def pair_values(vectors: DataFrame, groups: DataFrame) -> DataFrame:
@@ -149,7 +152,7 @@ def pair_values(vectors: DataFrame, groups: DataFrame) -> DataFrame:
         .withColumnRenamed("tile", "second")
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own beside the left's
     keys = ["lang", "block", "first", "second"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         _pair_task, "lang string, a string, b string, value bigint") \
         .groupBy("lang", "a", "b").agg(F.sum("value").cast("bigint").alias("value"))
 

@@ -28,6 +28,7 @@ from rillet.common import unique_name
 from rillet.llm import shingles
 from rillet.llm.common import keyed_texts, one_row_per_id
 from rillet.llm.components import components
+from rillet.llm.terms import as_bytes, sliced
 from rillet.session import materialize
 
 #: Small hashes in each of the two collections: a pair with similarity 0.8 meets in some of the 196 tables with
@@ -47,16 +48,17 @@ _SIGNATURE = ("doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, sketc
               "small array<bigint>, odd array<bigint>")
 
 
-def _pieces(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts (UTF-8) of a batch, in pieces of some MB."""
+def _pieces(batch: pa.RecordBatch, limit: int = 1 << 19) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts (UTF-8) of a batch, in pieces of half a MB: a worker's arrays are about 50 bytes a byte of text."""
     keys, texts, size = [], [], 0
-    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-        keys.append(key)
-        texts.append(text)
-        size += len(text)
-        if size >= limit:
-            yield keys, texts
-            keys, texts, size = [], [], 0
+    for part in sliced([batch]):
+        for key, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
+            keys.append(key)
+            texts.append(text)
+            size += len(text)
+            if size >= limit:
+                yield keys, texts
+                keys, texts, size = [], [], 0
     if keys:
         yield keys, texts
 

@@ -9,6 +9,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Entries of the power tables that a worker keeps (16 MB).
+_KEPT = 1 << 20
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
@@ -16,13 +18,16 @@ _inverse = np.ones(1, np.uint64)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base, and of its inverse, modulo 2**64."""
     global _powers, _inverse
-    if _powers.size < n:
-        size = max(n, 1 << 20)
-        back = pow(_BASE, -1, 1 << 64)
-        _powers, _inverse = np.full(size, _BASE, np.uint64), np.full(size, back, np.uint64)
-        _powers[0] = _inverse[0] = 1
-        _powers, _inverse = np.cumprod(_powers, dtype=np.uint64), np.cumprod(_inverse, dtype=np.uint64)
-    return _powers, _inverse
+    if n <= _powers.size:
+        return _powers, _inverse
+    size = max(n, _KEPT)
+    tables = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+    for table in tables:
+        table[0] = 1
+        np.cumprod(table, out=table)
+    if n <= _KEPT:  # tables for a longer text are made for it alone
+        _powers, _inverse = tables
+    return tables
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

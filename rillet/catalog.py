@@ -813,7 +813,7 @@ def runlog(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     users <- customer (subscribers: BUILDING and MACHINERY segments);
     workflows <- one per (user, event type); logs <- one run per event
     (errors fail; rows = floor(value * 10)); transactions <- a deposit per
-    finished order.
+    order.
     """
     cust = _t(spark, d, "customer")
     users = cust.selectExpr("c_custkey AS id", "c_name AS email",
@@ -829,7 +829,7 @@ def runlog(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     ok = F.col("status") == "Success"
     logs = runs.withColumn("cost", F.when(ok, usage.run_cost("rows_processed", "is_subscribed"))
                            .otherwise(F.lit(0).cast(usage.MONEY))).drop("is_subscribed")
-    tx = _t(spark, d, "orders").where("o_orderstatus = 'F'").selectExpr(
+    tx = _t(spark, d, "orders").selectExpr(
         "concat('t', o_orderkey) AS id", "o_custkey AS user_id", "o_orderdate AS timestamp",
         "CAST(o_totalprice AS DECIMAL(18,6)) AS amount", "'deposit' AS type",
         "concat('deposit ', o_orderkey) AS description")
@@ -847,7 +847,7 @@ logs AS (SELECT CAST(event_id AS VARCHAR) AS id, 'w' || user_id || '-' || event_
    FROM events e LEFT JOIN users u ON e.user_id = u.id),
 transactions AS (SELECT 't' || o_orderkey AS id, o_custkey AS user_id, o_orderdate AS timestamp,
    CAST(o_totalprice AS DECIMAL(18,6)) AS amount, 'deposit ' || o_orderkey AS description
-   FROM orders WHERE o_orderstatus = 'F'),
+   FROM orders),
 usage AS (SELECT w.user_id, CAST(l.timestamp AS DATE) AS day, CAST(sum(rows_processed) AS BIGINT) AS rows_used
    FROM logs l JOIN workflows w ON l.workflow_id = w.id WHERE l.status = 'Success' GROUP BY ALL),
 ledger AS (SELECT w.user_id, l.id, l.timestamp, -l.cost AS amount, l.status, 'workflow run: ' || w.name AS description
@@ -862,18 +862,24 @@ def m1(spark, d):
     return usage.daily_usage(t["logs"], t["workflows"])
 
 
-@query("M2_quota_check", _RUNLOG_SQL + """
-SELECT r.event_id, r.user_id, r.day, r.rows_requested, CAST(coalesce(u.rows_used, 0) AS BIGINT) AS rows_used,
-  NOT (coalesce(u.rows_used, 0) + r.rows_requested > 1000 AND NOT coalesce(s.is_subscribed, false)) AS allowed
-FROM (SELECT event_id, user_id, CAST(ts AS DATE) AS day, CAST(floor(value * 10) AS BIGINT) AS rows_requested
-      FROM events WHERE event_type = 'purchase') r
-LEFT JOIN usage u ON r.user_id = u.user_id AND r.day = u.day LEFT JOIN users s ON r.user_id = s.id""")
+@query("M2_quota_check", """
+WITH RECURSIVE requests AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, CAST(floor(value * 10) AS BIGINT) AS n,
+    event_type <> 'error' AS ok, coalesce(c_mktsegment IN ('BUILDING', 'MACHINERY'), false) AS free,
+    row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS k
+  FROM events LEFT JOIN customer ON user_id = c_custkey),
+r AS (SELECT event_id, user_id, day, k, n, 0::BIGINT AS rows_used, free OR n <= 1000 AS allowed,
+    CASE WHEN ok AND (free OR n <= 1000) THEN n ELSE 0 END AS after FROM requests WHERE k = 1
+  UNION ALL
+  SELECT q.event_id, q.user_id, q.day, q.k, q.n, r.after, q.free OR r.after + q.n <= 1000,
+    r.after + CASE WHEN q.ok AND (q.free OR r.after + q.n <= 1000) THEN q.n ELSE 0 END
+  FROM r JOIN requests q ON q.user_id = r.user_id AND q.day = r.day AND q.k = r.k + 1)
+SELECT event_id, user_id, day, n AS rows_requested, CAST(rows_used AS BIGINT) AS rows_used, allowed FROM r""")
 def m2(spark, d):
-    t = runlog(spark, d)
-    req = _t(spark, d, "events").where("event_type = 'purchase'").selectExpr(
-        "event_id", "user_id", "to_date(ts) AS day", "CAST(floor(value * 10) AS BIGINT) AS rows_requested")
-    req = req.select("user_id", "event_id", "day", "rows_requested")
-    return usage.quota_check(req, usage.daily_usage(t["logs"], t["workflows"]), t["users"])
+    requests = _t(spark, d, "events").selectExpr(
+        "event_id AS id", "user_id", "to_date(ts) AS day", "ts AS timestamp",
+        "CAST(floor(value * 10) AS BIGINT) AS rows_requested", "event_type <> 'error' AS succeeds")
+    judged = usage.quota_check(requests, runlog(spark, d)["users"])
+    return judged.select(F.col("id").alias("event_id"), "user_id", "day", "rows_requested", "rows_used", "allowed")
 
 
 @query("M3_run_cost", _RUNLOG_SQL + "SELECT id, rows_processed, CAST(cost AS DOUBLE) AS cost FROM logs")

@@ -17,6 +17,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillet.operators import quota
 from rillet.operators.windows import row_numbers
 
 # Fixed values of the billing rules (must equal the source system's):
@@ -35,18 +36,14 @@ def daily_usage(logs: DataFrame, workflows: DataFrame) -> DataFrame:
             .agg(F.coalesce(F.sum("rows_processed"), F.lit(0)).cast("bigint").alias("rows_used")))
 
 
-def quota_check(requests: DataFrame, usage: DataFrame, users: DataFrame,
-                limit: int = FREE_DAILY_LIMIT) -> DataFrame:
-    """Decide each requested run ``(user_id, day, rows_requested)``.
+def quota_check(requests: DataFrame, users: DataFrame, limit: int = FREE_DAILY_LIMIT,
+                num_partitions: int | None = None) -> DataFrame:
+    """Decide each requested run by what its user has used that day so far (see :func:`quota.quota_check`).
 
-    ``allowed`` is false when a non-subscriber's rows for the day plus the
-    request exceed ``limit``; subscribers are never limited.
+    ``requests`` has ``user_id, day, timestamp, id, rows_requested, succeeds``; adds ``rows_used`` and ``allowed``.
+    Subscribers are never limited.
     """
-    u = users.select(F.col("id").alias("user_id"), "is_subscribed")
-    joined = requests.join(usage, ["user_id", "day"], "left").join(u, "user_id", "left")
-    used = F.coalesce(F.col("rows_used"), F.lit(0))
-    over = (used + F.col("rows_requested") > limit) & ~F.coalesce(F.col("is_subscribed"), F.lit(False))
-    return joined.select(*requests.columns, used.cast("bigint").alias("rows_used"), (~over).alias("allowed"))
+    return quota.quota_check(requests, users, limit, num_partitions)
 
 
 def run_cost(rows: F.Column | str, is_subscribed: F.Column | str) -> F.Column:

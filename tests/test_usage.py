@@ -1,9 +1,10 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
 
-from rillet.operators import usage
+from rillet.operators import quota, usage
 
 
 @pytest.fixture()
@@ -34,14 +35,56 @@ def test_daily_usage_splits_at_midnight_and_skips_failures(runlog):
     assert got == {("u1", "2024-01-01"): 1000, ("u1", "2024-01-02"): 400, ("u2", "2024-01-01"): 2500}
 
 
-def test_quota_exactly_at_and_above_limit(spark, runlog):
-    users, wf, logs, _ = runlog
-    req = spark.createDataFrame([("u1", dt.date(2024, 1, 2), 600), ("u1", dt.date(2024, 1, 2), 601),
-                                 ("u2", dt.date(2024, 1, 1), 10**6), ("u3", dt.date(2024, 1, 1), 1000)],
-                                "user_id string, day date, rows_requested long")
-    got = [(r.rows_requested, r.allowed) for r in usage.quota_check(req, usage.daily_usage(logs, wf), users)
-           .orderBy("user_id", "rows_requested").collect()]
-    assert got == [(600, True), (601, False), (10**6, True), (1000, True)]
+REQUEST = "user_id string, day date, timestamp timestamp, id string, rows_requested long, succeeds boolean"
+
+
+def requested(spark, rows):
+    return spark.createDataFrame([(u, dt.date(2024, 1, d), dt.datetime(2024, 1, d, 0, 0, t), i, n, ok)
+                                  for u, d, t, i, n, ok in rows], REQUEST)
+
+
+def test_quota_counts_what_was_used_before(spark, runlog):
+    req = requested(spark, [
+        ("u1", 2, 1, "a", 600, True), ("u1", 2, 2, "b", 401, True),  # refused: it uses nothing
+        ("u1", 2, 3, "c", 400, True), ("u1", 2, 4, "d", 1, True), ("u1", 3, 0, "e", 1000, True),
+        ("u2", 1, 1, "f", 10**6, True), ("u2", 1, 2, "g", 10**6, True),  # subscribed
+        ("u3", 1, 1, "h", 900, False), ("u3", 1, 2, "i", 1000, True), ("u3", 1, 3, "j", 0, True),  # failed runs use nothing
+        ("u9", 1, 1, "k", 1001, True), (None, 1, 1, "l", None, None)])
+    for parts in (1, 3, 40):
+        got = {r.id: (r.rows_used, r.allowed) for r in usage.quota_check(req, runlog[0], num_partitions=parts).collect()}
+        assert got == {"a": (0, True), "b": (600, False), "c": (600, True), "d": (1000, False), "e": (0, True),
+                       "f": (0, True), "g": (10**6, True), "h": (0, True), "i": (0, True), "j": (1000, True),
+                       "k": (0, False), "l": (0, True)}
+    assert usage.quota_check(req.limit(0), runlog[0]).count() == 0
+
+
+def test_quota_of_a_hot_user_is_spread_over_tasks(spark, runlog):
+    rng = random.Random(5)
+    rows = [(rng.choice(["u1", "u1", "u1", "u2", "u3"]), 1, rng.randrange(60), f"r{i:05}", rng.choice([0, 1, 3, 30, 300, 999, 1001]),
+             rng.random() < 0.8) for i in range(6000)]
+    used, want, free = {}, {}, {"u2"}
+    for u, _, _, i, n, ok in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
+        before = used.get(u, 0)
+        allowed = u in free or before + n <= 1000
+        want[i] = (before, allowed)
+        used[u] = before + (n if allowed and ok else 0)
+    got = usage.quota_check(requested(spark, rows), runlog[0], num_partitions=24)
+    assert {r.id: (r.rows_used, r.allowed) for r in got.collect()} == want
+
+
+def test_usage_maps_compose():
+    rng = random.Random(6)
+    for _ in range(200):
+        limit = rng.choice([0, 1, 20, 1000, None])
+        runs = [(rng.choice([0, 1, 2, 7, 19, 21, 400]), rng.random() < 0.8) for _ in range(rng.randrange(30))]
+        pieces = [(0, 0)]
+        for n, ok in runs:
+            pieces = quota.then(pieces, n, ok, limit)
+        for start in range(0, (limit or 50) + 1, 1 if (limit or 50) < 100 else 37):
+            used = start
+            for n, ok in runs:
+                used = quota.verdict(used, n, ok, limit)[1]
+            assert quota.apply_pieces(pieces, start) == used
 
 
 def test_run_cost_rule(spark):

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from rillet.common import StepError, col
 from rillet.operators.sets import union_by_name
 from rillet.session import scratch_path
+from rillet.sources import splits
 
 # The text spellings pandas' CSV reader treats as missing by default.
 NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -83,14 +84,24 @@ def _apply_types(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in schema.fields)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              na_values=NA_VALUES, multiline: bool = True) -> DataFrame:
     """CSV with a header row; NA spellings become null; types from ``schema`` or inferred.
 
-    Cells may hold line feeds, so a file is read by one task; ``multiline=False`` lets Spark split files whose
-    cells are known to hold none.
+    Cells may hold line feeds; files are split all the same (see :mod:`splits`: a pass over the quotes comes first).
+    ``multiline=False`` leaves that pass out for files whose cells are known to hold none.
     """
     raw = spark.read.options(**{**CSV_OPTIONS, "multiLine": multiline, "inferSchema": False}).csv(path)
+    if multiline:  # the reader gives the names; the records are parsed one by one
+        names = T.StructType([T.StructField(c, T.StringType()) for c in raw.columns])
+        kept = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
+        rows = splits.csv_records(spark, path).where("NOT first")
+        raw = rows.select(F.from_csv("value", _ddl(names), {
+            k: str(v).lower() if isinstance(v, bool) else v for k, v in kept.items()}).alias("row")).select("row.*")
     raw = _normalise_na(raw, na_values)
     if schema is None:
         schema = infer_types(raw)
@@ -128,7 +139,7 @@ def _read_json_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
               lines: bool | None = None, orient: str = "records") -> DataFrame:
-    """JSON lines, or one document holding an array of records (``lines=False``).
+    """JSON lines, or one document a file holding an array of records (``lines=False``), which many tasks read.
 
     With ``lines=None`` each file is looked at: one that begins with ``[`` is an array document, one whose
     first line is a whole JSON value holds JSON lines, and any other is a column-oriented object
@@ -145,7 +156,10 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
         reader = spark.read.option("multiLine", multi).option("mode", "FAILFAST").options(**TIMESTAMP_OPTIONS)
         if schema is not None:
             reader = reader.schema(schema)
-        return reader.json(paths)
+        elements = splits.array_elements(spark, paths) if multi else None
+        if elements is None:
+            return reader.json(paths)
+        return _json_texts(reader, elements)
 
     if lines is not None:
         return records(path, not lines)
@@ -158,6 +172,12 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     return parts[0] if len(parts) == 1 else union_by_name(*parts)
 
 
+def _json_texts(reader, texts: DataFrame) -> DataFrame:
+    """The table of a column of JSON records (the reader's own form of this, which Python offers for RDDs only)."""
+    encoder = texts.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING()
+    return DataFrame(reader._jreader.json(getattr(texts._jdf, "as")(encoder)), texts.sparkSession)
+
+
 def _json_kinds(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """Files by what they hold: ``array``, ``lines`` or ``columns`` (one name a file goes to the driver)."""
     text = spark.read.text(path).select(

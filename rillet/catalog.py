@@ -389,7 +389,7 @@ def s1b(spark, d):
         F.concat(F.substring("text", 1, 40), F.lit('\n"x"')).alias("lines"))
     path = scratch_path(spark, "csv-cells")
     files.save(docs, path, "csv")
-    return files.read_csv(spark, path, schema=docs.schema)
+    return files.read_csv(spark, path, schema=docs.schema, split=True)
 
 
 @query("S2b_json_lines_and_arrays", """
@@ -404,7 +404,7 @@ def s2b(spark, d):
     docs = rows.groupBy("doc").agg(F.concat(F.lit("[\n"), F.concat_ws(",\n", F.collect_list("value")),
                                             F.lit("\n]")).alias("value"))
     docs.repartition(8, "doc").select("doc", "value").write.partitionBy("doc").mode("append").text(path + "-arrays")
-    arrays = files.read_json(spark, path + "-arrays").select("o_orderkey", "o_orderstatus")
+    arrays = files.read_json(spark, path + "-arrays", split=True).select("o_orderkey", "o_orderstatus")
     return files.read_json(spark, path).select("o_orderkey", "o_orderstatus").unionByName(arrays)
 
 

@@ -84,19 +84,30 @@ def _apply_types(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
+def larger_than_a_split(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a file is larger than what Spark gives one task (looks at the files' lengths only)."""
+    sizes = spark.read.format("binaryFile").load(path).select("length")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    limit = int(most[:-1]) * units[most[-1]] if most[-1] in units else int(most)
+    return not sizes.where(F.col("length") > limit).isEmpty()
+
+
 def _ddl(schema: T.StructType) -> str:
     return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in schema.fields)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             na_values=NA_VALUES, multiline: bool = True) -> DataFrame:
+             na_values=NA_VALUES, multiline: bool = True, split: bool | None = None) -> DataFrame:
     """CSV with a header row; NA spellings become null; types from ``schema`` or inferred.
 
-    Cells may hold line feeds; files are split all the same (see :mod:`splits`: a pass over the quotes comes first).
+    Cells may hold line feeds.  Files are split all the same (see :mod:`splits`: a pass over the quotes comes first)
+    if one is larger than a split; ``split`` says so without a look at the sizes.  The rows are the same either way.
     ``multiline=False`` leaves that pass out for files whose cells are known to hold none.
     """
     raw = spark.read.options(**{**CSV_OPTIONS, "multiLine": multiline, "inferSchema": False}).csv(path)
-    if multiline:  # the reader gives the names; the records are parsed one by one
+    if multiline and (larger_than_a_split(spark, path) if split is None else split):
+        # The reader gives the names; the records are parsed one by one.
         names = T.StructType([T.StructField(c, T.StringType()) for c in raw.columns])
         kept = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
         rows = splits.csv_records(spark, path).where("NOT first")
@@ -138,8 +149,9 @@ def _read_json_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-              lines: bool | None = None, orient: str = "records") -> DataFrame:
-    """JSON lines, or one document a file holding an array of records (``lines=False``), which many tasks read.
+              lines: bool | None = None, orient: str = "records", split: bool | None = None) -> DataFrame:
+    """JSON lines, or one document a file holding an array of records (``lines=False``); many tasks read a document
+    that is larger than a split (``split`` says so without a look at the sizes; the rows are the same either way).
 
     With ``lines=None`` each file is looked at: one that begins with ``[`` is an array document, one whose
     first line is a whole JSON value holds JSON lines, and any other is a column-oriented object
@@ -156,10 +168,10 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
         reader = spark.read.option("multiLine", multi).option("mode", "FAILFAST").options(**TIMESTAMP_OPTIONS)
         if schema is not None:
             reader = reader.schema(schema)
-        elements = splits.array_elements(spark, paths) if multi else None
-        if elements is None:
-            return reader.json(paths)
-        return _json_texts(reader, elements)
+        elements = None
+        if multi and (larger_than_a_split(spark, paths) if split is None else split):
+            elements = splits.array_elements(spark, paths)
+        return reader.json(paths) if elements is None else _json_texts(reader, elements)
 
     if lines is not None:
         return records(path, not lines)

@@ -211,6 +211,19 @@ def j8(spark, d):
     return op.fuzzy_match(part, "p_name", ref, "name", "p_name_match", threshold=70)
 
 
+@query("J8b_fuzzy_nearest", f"""
+WITH s AS (SELECT DISTINCT p_name AS src FROM part),
+     r AS (SELECT DISTINCT {_FUZZY_REF} AS ref FROM part),
+     best AS (SELECT src, arg_min(ref, (levenshtein(src, ref), ref)) AS ref, min(levenshtein(src, ref)) AS d FROM s, r GROUP BY src)
+SELECT p_partkey, p_name, CASE WHEN p_name = '' THEN '' ELSE ref END AS nearest,
+  100.0 * (1 - d / greatest(length(p_name), length(ref))) AS similarity FROM part LEFT JOIN best ON p_name = src""")
+def j8b(spark, d):
+    part = _t(spark, d, "part")
+    ref = part.select(F.expr(_FUZZY_REF).alias("name"))
+    return op.fuzzy_match(part.select("p_partkey", "p_name"), "p_name", ref, "name", "nearest", on_miss="nearest",
+                          similarity_column="similarity")
+
+
 @query("J9_keyed_lookup", """
 SELECT *, 'segment_' || CAST(user_id AS VARCHAR) AS segment, 'tier_' || CAST(user_id AS VARCHAR) AS tier
 FROM events""")

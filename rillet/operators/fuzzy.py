@@ -22,10 +22,18 @@ shared q-grams; they go through the same join with ``q = 1`` (characters),
 whose bound stays positive for any ``t > 0``.  Every candidate is verified
 with ``levenshtein(s, r, k)``, which stops early beyond ``k``.
 
-``on_miss="nearest"`` (or ``t <= 0``) has no lossless pruning: the distinct
-reference list, checked against ``max_reference``, is broadcast as one array
-and each distinct source value takes the minimum over it — cost is
-distinct sources x distinct references distance evaluations.
+``on_miss="nearest"`` (or ``t <= 0``) takes rounds of growing distance
+``k = 1, 2, 4, ...`` over the sources that have no reference within the last
+one.  Of ``k + 1`` segments of a reference one is left whole by ``k`` edits, so
+it stands in the source, shifted by no more than the edits around it (Li et
+al., VLDB 2011): an equi-join on segments finds these pairs.  References too
+short for segments, and all of them once ``k`` is large, are joined on bands.
+The distance is a metric, so a pair within ``k`` differs by at most ``k`` in
+its distances to any third text: to the empty one (the lengths) and to some
+pivots; three of these are joined on in bands of width ``k + 1`` and the others
+filter.  What is left is verified.  A source leaves with its best reference as
+soon as it has one; the pairs formed depend on how far off the nearest
+references are, not on the product of the two sides.
 """
 
 from __future__ import annotations
@@ -33,11 +41,11 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from rillet.common import StepError, require_columns
-from rillet.session import checkpoint_root
+from rillet.common import StepError, col, require_columns, unique_name
+from rillet.session import checkpoint_root, materialize
 
 
 def _k(m: Column, t: float) -> Column:
@@ -123,27 +131,120 @@ def threshold_matches(src: DataFrame, ref: DataFrame, t: float, q: int = 2) -> D
     return verified.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").select("s", "r", "d")
 
 
-def nearest_matches(src: DataFrame, ref: DataFrame, max_reference: int,
-                    max_reference_chars: int = 64 << 20) -> DataFrame:
-    """``(s, r, d)``: the nearest reference for every source value (no threshold)."""
-    n, chars = ref.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("x")), F.lit(0))).first()
-    if n > max_reference or chars > max_reference_chars:
-        raise StepError(f"fuzzy_match: nearest mode allows at most {max_reference} distinct "
-                        "reference values; give a threshold instead")
-    if n == 0:
-        return src.select(F.col("x").alias("s"), F.lit(None).cast("string").alias("r"),
-                          F.lit(None).cast("int").alias("d"))
-    refs = ref.agg(F.collect_list("x").alias("a")).scalar()
-    best = F.array_min(F.transform("__refs", lambda r: F.struct(F.levenshtein(F.col("x"), r).alias("d"),
-                                                                r.alias("r"))))
-    return (src.withColumn("__refs", refs)
-            .select(F.col("x").alias("s"), best.alias("b"))
-            .select("s", F.col("b.r").alias("r"), F.col("b.d").alias("d")))
+#: Reference texts looked at for pivots, and pivots chosen (the first two are joined on, the others filter).
+PIVOT_SAMPLE, PIVOTS = 200, 6
+#: Rounds up to this distance join on segments.
+SEGMENT_DISTANCE = 8
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def choose_pivots(ref: DataFrame) -> list[str]:
+    """Texts far from each other: each the farthest from those before it, among a bounded sample cut to 64 characters
+    (any texts are right as pivots)."""
+    rows = ref.select(F.substring("x", 1, 64).alias("x")).orderBy(F.xxhash64("x"), "x").limit(PIVOT_SAMPLE).collect()
+    texts = sorted({r["x"] for r in rows if r["x"]})
+    out: list[str] = []
+    least = {t: len(t) for t in texts}  # distance to the empty text, the first coordinate
+    while len(out) < PIVOTS and least and max(least.values()) > 0:
+        far = max(sorted(least), key=least.get)
+        out.append(far)
+        least = {t: min(d, _distance(t, far)) for t, d in least.items()}
+    return out
+
+
+def _segment_pairs(left: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """Pairs of sources (``s``, length ``s0``) and references (``r``, ``r0``: 2·(k + 1) or more) that share a segment:
+    all pairs within ``k``, some of them repeatedly."""
+    parts = k + 1
+    size = F.expr(f"l div {parts} + CAST(i >= {parts} - l % {parts} AS int)")  # the last segments take the remainder
+    begin = F.expr(f"i * (l div {parts}) + greatest(0, i - ({parts} - l % {parts}))")
+
+    def cut(text: str, start: Column) -> Column:
+        return F.substring(F.col(text), start + 1, F.col("size")).alias("part")
+
+    right = refs.where(F.col("r0") >= 2 * parts).withColumn("l", F.col("r0").cast("int")) \
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k)))).withColumn("size", size)
+    right = right.select(*refs.columns, "l", "i", cut("r", begin))
+    near = left.withColumn("l", F.explode(F.sequence(F.greatest(F.lit(2 * parts), F.col("s0") - k),
+                                                     F.greatest(F.lit(2 * parts), F.col("s0") + k)))) \
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k)))).withColumn("size", size)
+    low = F.expr(f"greatest(-i, s0 - l - ({k} - i))")
+    high = F.expr(f"least(i, s0 - l + ({k} - i))")
+    near = near.where(low <= high).withColumn("shift", F.explode(F.sequence(low, high))) \
+        .withColumn("at", F.col("shift") + begin).where("at >= 0 AND at + size <= s0")
+    return near.select(*left.columns, "l", "i", cut("s", F.col("at"))).join(right, ["l", "i", "part"]) \
+        .drop("l", "i", "part")
+
+
+def _band_pairs(left: DataFrame, refs: DataFrame, k: int, joined_on: range) -> DataFrame:
+    """Pairs whose coordinates of ``joined_on`` lie in neighbouring bands: all pairs within ``k``, each once."""
+    width = k + 1
+    for i in joined_on:
+        band = F.floor(F.col(f"s{i}") / width)
+        left = left.withColumn(f"b{i}", F.explode(F.array(band - 1, band, band + 1)))
+    refs = refs.withColumns({f"b{i}": F.floor(F.col(f"r{i}") / width) for i in joined_on})
+    names = [f"b{i}" for i in joined_on]
+    return left.join(refs, names).drop(*names)
+
+
+def nearest_matches(src: DataFrame, ref: DataFrame, report: list[dict] | None = None) -> DataFrame:
+    """``(s, r, d)``: the nearest reference for every source value (no threshold), least ``(d, r)``; nulls without any.
+
+    ``src`` and ``ref`` are one-column frames of distinct non-null texts named ``x``.  ``report`` is given a row for
+    each round: ``distance, sources, pairs`` (pairs that the joins formed).
+    """
+    checkpoint_root(src.sparkSession)
+    pivots = choose_pivots(ref)
+    if not pivots and ref.where(F.length("x") > 0).isEmpty():  # no reference, or the empty text alone
+        there = ref.agg(F.max("x").alias("r"))
+        return src.join(F.broadcast(there), F.lit(True)).select(
+            F.col("x").alias("s"), "r", F.when(F.col("r").isNotNull(), F.length("x")).alias("d"))
+
+    def placed(texts: DataFrame, side: str) -> DataFrame:
+        """``side`` text and its coordinates: length, and distances to the pivots."""
+        return texts.select(F.col("x").alias(side), F.length("x").alias(f"{side}0"), *[
+            F.levenshtein("x", F.lit(p)).alias(f"{side}{i + 1}") for i, p in enumerate(pivots)])
+
+    coordinates, joined_on = range(len(pivots) + 1), range(min(3, len(pivots) + 1))
+    refs, left = materialize(placed(ref, "r"), "references"), materialize(placed(src, "s"), "sources")
+    longest = max(t.agg(F.max(c)).first()[0] or 0 for t, c in ((refs, "r0"), (left, "s0")))
+    best, k = [], 1
+    while not left.isEmpty():
+        if k <= SEGMENT_DISTANCE:
+            pairs = _segment_pairs(left, refs, k).unionByName(
+                _band_pairs(left, refs.where(F.col("r0") < 2 * (k + 1)), k, joined_on))
+        else:
+            pairs = _band_pairs(left, refs, k, joined_on)
+        seen = Observation()
+        pairs = pairs.observe(seen, F.count(F.lit(1)).alias("pairs"))
+        for i in coordinates:
+            pairs = pairs.where(F.abs(F.col(f"s{i}") - F.col(f"r{i}")) <= k)
+        pairs = pairs.withColumn("d", F.call_function("levenshtein", F.col("s"), F.col("r"), F.lit(k))).where("d >= 0")
+        found = materialize(pairs.groupBy("s").agg(F.min(F.struct("d", "r")).alias("best")), "nearest")
+        if report is not None:
+            report.append({"distance": k, "sources": left.count(), "pairs": seen.get["pairs"]})
+        best.append(found.select("s", F.col("best.r").alias("r"), F.col("best.d").alias("d")))
+        if k >= longest:
+            break
+        left = materialize(left.join(found.select("s"), "s", "left_anti"), "sources")
+        k *= 2
+    out = best[0] if best else src.select(F.col("x").alias("s"), F.col("x").alias("r"), F.lit(0).alias("d")).limit(0)
+    for more in best[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def fuzzy_match(df: DataFrame, column: str, reference: DataFrame, reference_column: str,
                 output_column: str, threshold: float = 80.0, on_miss: str = "null",
-                similarity_column: str | None = None, max_reference: int = 100_000) -> DataFrame:
+                similarity_column: str | None = None) -> DataFrame:
     """Add ``output_column``: the best reference value for each row's ``column``.
 
     Below the threshold the output is null (``on_miss="null"``) or the
@@ -155,23 +256,23 @@ def fuzzy_match(df: DataFrame, column: str, reference: DataFrame, reference_colu
     require_columns(reference, [reference_column], "fuzzy_match (reference)")
     if on_miss not in ("null", "nearest"):
         raise StepError(f"fuzzy_match: unknown on_miss {on_miss!r}")
-    text = F.col(column).cast("string")
+    text = col(column).cast("string")
     src = df.select(text.alias("x")).where(F.col("x").isNotNull() & (F.length("x") > 0)).distinct()
-    ref = reference.select(F.col(reference_column).cast("string").alias("x")).where(
+    ref = reference.select(col(reference_column).cast("string").alias("x")).where(
         F.col("x").isNotNull()).distinct()
     t = float(threshold)
     if on_miss == "nearest" or t <= 0:
-        best = nearest_matches(src, ref, max_reference)
+        best = nearest_matches(src, ref)
     else:
         best = threshold_matches(src, ref, t)
-    key = "__fz_src"
-    best = best.withColumnRenamed("s", key)
+    key, r, d = (unique_name(df, x) for x in ("__fz_src", "__fz_ref", "__fz_dist"))
+    best = best.select(F.col("s").alias(key), F.col("r").alias(r), F.col("d").alias(d))
     joined = df.join(best, text == F.col(key), "left")
-    out = F.when(text == "", F.lit("")).otherwise(F.col("r"))
+    out = F.when(text == "", F.lit("")).otherwise(F.col(r))
     cols = {output_column: out}
     if similarity_column:
-        m = F.greatest(F.length(text), F.length("r"))
-        cols[similarity_column] = F.when(F.col("r").isNotNull(),
-                                         F.when(m == 0, F.lit(100.0)).otherwise(100.0 * (1 - F.col("d") / m)))
+        m = F.greatest(F.length(text), F.length(r))
+        cols[similarity_column] = F.when(F.col(r).isNotNull(),
+                                         F.when(m == 0, F.lit(100.0)).otherwise(100.0 * (1 - F.col(d) / m)))
     keep = [c for c in df.columns if c not in cols]
-    return joined.withColumns(cols).select(*keep, *cols.keys())
+    return joined.withColumns(cols).select(*[col(c) for c in [*keep, *cols]])

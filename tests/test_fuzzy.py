@@ -3,7 +3,7 @@ import random
 import pytest
 
 from rillet import operators as op
-from rillet.common import StepError
+from rillet.operators import fuzzy
 
 
 def lev(a, b):
@@ -48,16 +48,33 @@ def test_threshold_mode_equals_brute_force(spark, t):
     assert got[None] is None
 
 
-def test_nearest_mode_and_bound(spark):
-    rnd = random.Random(3)
-    src, ref = words(rnd, 50, lo=1), words(rnd, 30, lo=1)
-    df = spark.createDataFrame([(s,) for s in src], "name string")
-    rf = spark.createDataFrame([(r,) for r in ref], "ref string")
-    got = {r.name: r.best for r in op.fuzzy_match(df, "name", rf, "ref", "best", on_miss="nearest").collect()}
+@pytest.mark.parametrize(("alphabet", "hi"), [("abcde", 9), ("ab", 40), ("aé漢b", 7)])
+def test_nearest_mode_equals_brute_force(spark, alphabet, hi):
+    rnd = random.Random(hi)
+    src, ref = words(rnd, 60, alphabet, 1, hi), words(rnd, 40, alphabet, 0, hi)
+    df = spark.createDataFrame([(s, 1, 2) for s in src] + [(None, 1, 2), ("", 1, 2)], "`na.me` string, r int, d int")
+    rf = spark.createDataFrame([(r, "x") for r in ref] + [(None, "x")], "ref string, s string")
+    out = op.fuzzy_match(df, "na.me", rf, "ref", "best", on_miss="nearest")
+    assert out.columns == ["na.me", "r", "d", "best"]
+    got = {r["na.me"]: r.best for r in out.collect()}
     for s in src:
         assert got[s] == min(set(ref), key=lambda r: (lev(s, r), r))
-    with pytest.raises(StepError):
-        op.fuzzy_match(df, "name", rf, "ref", "best", on_miss="nearest", max_reference=5).collect()
+    assert got[None] is None and got[""] == ""
+    assert {r.best for r in op.fuzzy_match(df.where("`na.me` <> ''"), "na.me", rf.limit(0), "ref", "best",
+                                           on_miss="nearest").collect()} == {None}
+
+
+def test_nearest_mode_forms_few_pairs(spark):
+    """Sources near to their references: the rounds stop early and the bands leave most pairs out."""
+    rnd = random.Random(11)
+    ref = sorted(set(words(rnd, 2000, "abcdefghij", 8, 30)))
+    src = sorted({r[:4] + rnd.choice("xyz") + r[5:] for r in ref[:1000]})
+    report = []
+    found = fuzzy.nearest_matches(spark.createDataFrame([(x,) for x in src], "x string"),
+                                  spark.createDataFrame([(x,) for x in ref], "x string"), report)
+    assert {r.d for r in found.collect()} == {1} and found.count() == len(src)
+    assert [r["distance"] for r in report] == [1] and report[0]["sources"] == len(src)
+    assert report[0]["pairs"] < 0.01 * len(src) * len(ref)
 
 
 def test_similarity_column_and_non_ascii(spark):

@@ -230,6 +230,32 @@ FROM events""")
 def j9(spark, d):
     return op.keyed_lookup(_t(spark, d, "events"), "user_id", "segment, tier")
 
+@query("J10_asof_join", """
+WITH prices AS (SELECT user_id, ts AS seen_at, max(value) AS seen_value FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT e.event_id, e.user_id, e.ts, p.seen_at, p.seen_value
+FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') e
+ASOF LEFT JOIN prices p ON e.user_id = p.user_id AND e.ts >= p.seen_at""")
+def j10(spark, d):
+    ev = _t(spark, d, "events")
+    views = ev.where("event_type = 'view'").groupBy("user_id", F.col("ts").alias("seen_at")).agg(
+        F.max("value").alias("seen_value"))
+    buys = ev.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return op.asof_join(buys, views, "user_id", "ts", "seen_at", max_group_rows=1000)
+
+
+@query("J11_interval_join", """
+WITH spans AS (SELECT event_id, event_type, user_id, ts AS lo, ts + to_seconds(CAST(floor(value * 20) AS BIGINT)) AS hi FROM events)
+SELECT a.event_id, a.user_id, b.event_id AS error_id, b.user_id AS error_user
+FROM spans a JOIN spans b ON a.lo <= b.hi AND b.lo <= a.hi AND a.event_type = 'purchase' AND b.event_type = 'error'""")
+def j11(spark, d):
+    spans = _t(spark, d, "events").selectExpr(
+        "event_id", "event_type", "user_id", "ts AS lo", "ts + make_dt_interval(0, 0, 0, floor(value * 20)) AS hi")
+    buys = spans.where("event_type = 'purchase'").select("event_id", "user_id", "lo", "hi")
+    errors = spans.where("event_type = 'error'").selectExpr(
+        "event_id AS error_id", "user_id AS error_user", "lo AS error_lo", "hi AS error_hi")
+    joined = op.interval_join(buys, errors, ("lo", "hi"), ("error_lo", "error_hi"))
+    return joined.select("event_id", "user_id", "error_id", "error_user")
+
 # ---------------------------------------------------------------- aggregation
 
 
@@ -817,6 +843,24 @@ def f4(spark, d):
     up = uf.scalar_function(lambda s: s.str.upper(), "string")
     return _t(spark, d, "customer").select("c_custkey", up("c_name").alias("name_upper"))
 
+@query("W4_moving_frames", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS k, ts,
+    CAST(round(value * 100) AS BIGINT) AS cents FROM events)
+SELECT event_id, k, cents, CAST(sum(cents) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS BIGINT) AS sum_10,
+  max(cents) OVER (w ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS max_9,
+  lag(cents, 3) OVER w AS back_3, lead(cents, 1) OVER w AS ahead_1
+FROM e WINDOW w AS (PARTITION BY k ORDER BY ts, event_id)""")
+def w4(spark, d):
+    # a third of the rows under one key: it is cut into blocks of 500 rows, all other keys keep the window
+    e = _t(spark, d, "events").selectExpr(
+        "event_id", "CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS k", "ts",
+        "CAST(round(value * 100) AS BIGINT) AS cents")
+    out = op.moving_frames(e, "k", ["ts", "event_id"], {
+        "sum_10": op.Frame("sum", "cents", 9, 0), "max_9": op.Frame("max", "cents", 4, 4),
+        "back_3": op.Frame("lag", "cents", 3, 0), "ahead_1": op.Frame("lead", "cents", 0, 1)},
+        max_group_rows=1000, block_rows=500)
+    return out.drop("ts")
+
 # ---------------------------------------------------------------- usage and billing
 
 

@@ -12,6 +12,7 @@ from rillet.operators.routing import (branching, conditional_split, dynamic_spli
                                       route_on_attribute, split_records)
 from rillet.operators.sets import union_by_name
 from rillet.operators.sqlstep import execute_sql
+from rillet.operators.temporal import Frame, asof_join, interval_join, last_before, moving_frames
 from rillet.operators.windows import ordered_rank, row_numbers, window_function
 
 __all__ = [
@@ -20,5 +21,6 @@ __all__ = [
     "enrich_data", "join", "keyed_lookup", "merge_records", "deduplicate", "derive_columns",
     "drop_columns", "filter_rows", "remove_nulls", "select_columns", "data_quality_check",
     "quality_report", "branching", "conditional_split", "dynamic_split", "route_on_attribute",
+    "Frame", "asof_join", "interval_join", "last_before", "moving_frames",
     "split_records", "union_by_name", "execute_sql", "ordered_rank", "row_numbers", "window_function",
 ]

@@ -105,18 +105,18 @@ def dynamic_split(df: DataFrame, split_key: str, output_prefix: str = "split_",
     require_columns(df, [split_key], "dynamic_split")
     value = col(split_key).cast("string")
     safe = F.regexp_replace(value, r"[/\\]", "_")
-    name = safe
+    name, keyed = safe, df
     if not df.isStreaming:
         # Values that would share a name: those whose name was changed get a digest of the value.
-        values = df.select(value.alias("__value"), safe.alias("__name")).distinct()
-        shared = values.groupBy("__name").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-        clashing = values.join(shared, "__name", "left_semi").where("__name <> `__value`") \
-            .select("__value", F.concat("__name", F.lit("-"), F.substring(F.md5("__value"), 1, 8)).alias("__own"))
-        keyed = df.join(clashing, value == clashing["__value"], "left")
-        name = F.coalesce(F.col("__own"), safe)
-    else:
-        keyed = df
-    tagged = keyed.withColumn(route, F.concat(F.lit(output_prefix), name)).drop("__value", "__own")
+        own = unique_name(df, "__own")
+        key = unique_name(df, "__value")
+        values = df.select(value.alias(key), safe.alias("name")).distinct()
+        shared = values.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        clashing = values.join(shared, "name", "left_semi").where(F.col("name") != F.col(key)) \
+            .select(key, F.concat("name", F.lit("-"), F.substring(F.md5(key), 1, 8)).alias(own))
+        keyed = df.join(clashing, value == clashing[key], "left")
+        name = F.coalesce(F.col(own), safe)
+    tagged = keyed.select(*[col(c) for c in df.columns if c != route], F.concat(F.lit(output_prefix), name).alias(route))
     return Routed(tagged.where(F.col(route).isNotNull()), df.limit(0), tagged)
 
 

@@ -95,43 +95,44 @@ def _distributed(df: DataFrame, keys, order, rn_out, value, sum_out, num_partiti
     for r in stats:
         if keys:
             if prev is not None and _same_key(prev[0], r["first"]):
-                off_n, off_s = carry_n, carry_s
+                before_n, before_s = carry_n, carry_s
             else:
-                off_n, off_s = 0, None
+                before_n, before_s = 0, None
             single = _same_key(r["first"], r["last"])
-            run_n = r["last_run"] + (off_n if single else 0)
-            run_s = _plus(r["last_sum"], off_s if single else None) if value is not None else None
+            run_n = r["last_run"] + (before_n if single else 0)
+            run_s = _plus(r["last_sum"], before_s if single else None) if value is not None else None
             carry_n, carry_s = run_n, run_s
             prev = (r["last"],)
         else:
-            off_n, off_s = carry_n, None
+            before_n, before_s = carry_n, None
             carry_n += r["total"]
-        offsets.append((r[P], off_n, off_s if value is not None else None, r["first"] if keys else None))
+        offsets.append((r[P], before_n, before_s if value is not None else None, r["first"] if keys else None))
 
     if value is not None:
         stype = tagged.schema[sum_out].dataType
         conv = (float if isinstance(stype, (T.DoubleType, T.FloatType)) else
                 Decimal if isinstance(stype, T.DecimalType) else int)
         offsets = [(p, n_, None if s_ is None else conv(s_), f) for p, n_, s_, f in offsets]
-    fields = [T.StructField(P, T.IntegerType()), T.StructField("__off_n", T.LongType()),
-              T.StructField("__off_s", tagged.schema[sum_out].dataType if value is not None else T.LongType())]
+    off_n, off_s, first = (unique_name(tagged, x) for x in ("__off_n", "__off_s", "__first"))
+    fields = [T.StructField(P, T.IntegerType()), T.StructField(off_n, T.LongType()),
+              T.StructField(off_s, tagged.schema[sum_out].dataType if value is not None else T.LongType())]
     if keys:
-        fields.append(T.StructField("__first", tagged.select(kstruct.alias("k")).schema["k"].dataType))
+        fields.append(T.StructField(first, tagged.select(kstruct.alias("k")).schema["k"].dataType))
         rows = offsets
     else:
         rows = [o[:3] for o in offsets]
     off_df = spark.createDataFrame(rows, T.StructType(fields))
     joined = tagged.join(F.broadcast(off_df), P, "left")
     if keys:
-        same = F.coalesce(kstruct.eqNullSafe(F.col("__first")), F.lit(False))
-        add_n = F.when(same, F.col("__off_n")).otherwise(F.lit(0))
+        same = F.coalesce(kstruct.eqNullSafe(F.col(first)), F.lit(False))
+        add_n = F.when(same, F.col(off_n)).otherwise(F.lit(0))
         cols = {rn_out: F.col(rn_out) + add_n}
         if value is not None:
             # Null until a value comes; then what came before, in earlier partitions too, counts.
-            before = F.when(same, F.col("__off_s"))
+            before = F.when(same, F.col(off_s))
             cols[sum_out] = F.coalesce(F.col(sum_out) + before, F.col(sum_out), before)
     else:
-        cols = {rn_out: F.col(rn_out) + F.coalesce(F.col("__off_n"), F.lit(0))}
+        cols = {rn_out: F.col(rn_out) + F.coalesce(F.col(off_n), F.lit(0))}
     extra = [F.col(P).alias(partition_column)] if partition_column else []
     return joined.withColumns(cols).select(*df.columns, rn_out, *([sum_out] if value is not None else []), *extra)
 

@@ -17,7 +17,7 @@ from rillet.llm.minhash_dedup import near_duplicates
 from rillet.llm.quality_classifier import quality_classifier
 from rillet.llm.quality_rules import quality_rules
 from rillet.llm.sentencepiece_codec import encode_decode_digests
-from rillet.llm.source_mix import BUDGET, REST, TARGETS, mix_documents
+from rillet.llm.source_mix import BUDGET, LEAST, NAMED_SHARE, REST, SOURCE_POWER, TARGETS, mix_documents
 from rillet.llm.suffix_dedup import repeated_spans
 from rillet.llm.token_shards import tokenised
 from rillet.llm.toxicity import toxicity
@@ -45,11 +45,18 @@ def _mix_sql(rounds: int = 20) -> str:
     topic = (f"CASE WHEN {bars} > 0 AND 20 * {bars} >= length(t) THEN 'table' "
              "WHEN length(regexp_replace(t, '[^A-Z]', '', 'g')) > length(regexp_replace(t, '[^a-z]', '', 'g')) "
              "THEN 'shout' ELSE 'prose' END")
-    parts = [f"""WITH d AS (SELECT *, coalesce(text, '') AS t FROM documents),
-r AS (SELECT doc_id, {klass('source', 'source')}, {klass('lang', 'lang')}, {klass('topic', topic)},
-  CAST(ceil(strlen(t) / 4.0) AS BIGINT) AS n_tokens FROM d),
+    parts = [f"""WITH d AS (SELECT *, coalesce(text, '') AS t, CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) AS n_tokens
+  FROM documents),
+s AS (SELECT source, sum(n_tokens) AS n, pow(sum(n_tokens)::DOUBLE, {SOURCE_POWER}) AS weight FROM d GROUP BY source),
+named AS (SELECT source AS k, weight / (SELECT sum(weight) FROM s) AS share FROM s
+  WHERE source <> '{REST}' AND n > 0 AND n >= {NAMED_SHARE} * (SELECT sum(n) FROM s)),
+r AS (SELECT doc_id, CASE WHEN source IN (SELECT k FROM named) THEN source ELSE '{REST}' END AS source_class,
+  {klass('lang', 'lang')}, {klass('topic', topic)}, n_tokens FROM d),
 c AS (SELECT source_class, lang_class, topic_class, sum(n_tokens)::DOUBLE AS tokens FROM r GROUP BY ALL),
-w0 AS (SELECT *, tokens / sum(tokens) OVER () AS w FROM c)"""]
+w0 AS (SELECT *, tokens / sum(tokens) OVER () AS w FROM c),
+t_source AS (SELECT k, share / sum(share) OVER () AS share FROM (
+  SELECT k, share FROM named UNION ALL SELECT '{REST}', 1 - (SELECT coalesce(sum(share), 0) FROM named))
+  WHERE k IN (SELECT source_class FROM w0 WHERE tokens > 0))"""]
     for name, target in TARGETS.items():
         shares = ", ".join(f"('{k}', {v})" for k, v in target.items())
         left = max(0.0, 1 - sum(target.values()))
@@ -60,12 +67,13 @@ w0 AS (SELECT *, tokens / sum(tokens) OVER () AS w FROM c)"""]
   FROM (VALUES {rows}) AS v(k, s) WHERE k IN (SELECT {name}_class FROM w0 WHERE tokens > 0)))""")
     step = 0
     for _ in range(rounds):
-        for name in TARGETS:
+        for name in ("source", *TARGETS):
             parts.append(f"""w{step + 1} AS MATERIALIZED (SELECT x.* EXCLUDE (w), w * share / sum(w) OVER (PARTITION BY {name}_class) AS w
 FROM w{step} x JOIN t_{name} ON {name}_class = k)""")
             step += 1
     # Cells in order of weight over tokens: the first that fits under 1 when those before it are held at 1.
-    parts.append(f"""o AS (SELECT *, w / tokens AS r, {BUDGET} * sum(tokens) OVER () AS budget,
+    parts.append(f"""o AS (SELECT *, w / tokens AS r,
+  greatest(least({BUDGET} * sum(tokens) OVER (), 1 / max(w / tokens) OVER ()), {LEAST} * sum(tokens) OVER ()) AS budget,
   coalesce(sum(tokens) OVER (ORDER BY w / tokens DESC, source_class, lang_class, topic_class
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
   sum(w) OVER (ORDER BY w / tokens DESC, source_class, lang_class, topic_class

@@ -3,7 +3,8 @@
 Token counts are added up by cell (source, language and topic class).  Raking
 scales the cells until their sums match the target share of every source,
 language and topic; a document is then sampled with a probability in
-proportion to its cell's weight over its cell's tokens.
+proportion to its cell's weight over its cell's tokens.  Sources have no fixed
+list: their targets are tempered shares of what the table holds.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillet.common import unique_name
 from rillet.llm.common import text_of
+from rillet.session import materialize
 
 #: Class of all values that a target map does not name; a map may give it a share of its own.
 REST = "(other)"
@@ -52,6 +55,12 @@ def rake(cells: np.ndarray, targets: list[tuple[np.ndarray, np.ndarray]], rounds
     return w
 
 
+def reachable(per_token: np.ndarray, tokens: np.ndarray, budget_share: float, least_share: float) -> float:
+    """The budget under which no cell passes a probability of 1, so that all targets are met: ``budget_share`` of the
+    tokens at most; and ``least_share`` at least, even if some cells then fall short."""
+    return max(min(budget_share, 1 / (per_token.max() * tokens.sum())), least_share)
+
+
 def inclusion(per_token: np.ndarray, tokens: np.ndarray, budget_share: float | None) -> np.ndarray:
     """Probabilities in proportion to ``per_token``: the largest 1, or expected tokens of ``budget_share`` of all,
     with the cells that would pass 1 held there."""
@@ -63,7 +72,7 @@ def inclusion(per_token: np.ndarray, tokens: np.ndarray, budget_share: float | N
     rest = np.cumsum((r * t)[::-1])[::-1]
     with np.errstate(divide="ignore", invalid="ignore"):
         scale = (budget_share * tokens.sum() - full) / rest
-    fits = np.flatnonzero(scale * r <= 1)
+        fits = np.flatnonzero(scale * r <= 1)
     return np.minimum(1, scale[fits[0]] * per_token) if fits.size else np.ones_like(per_token)
 
 
@@ -79,31 +88,33 @@ def _shares(classes: list[str], target: Mapping[str, float], have: Mapping[str,
 
 
 def calibrated(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], columns: Mapping[str, Column],
-               n_tokens: Column, rounds: int = 20, budget_share: float | None = None) -> Column:
-    """The sampling probability of each row of ``docs`` (see :func:`mix`), as an expression over its columns."""
+               n_tokens: Column, rounds: int = 20, budget_share: float | None = None,
+               least_share: float = 0.0) -> DataFrame:
+    """``<marginal>_class …, probability`` of each cell of ``docs`` (see :func:`mix`): at most the product of (named
+    values + 1) over the marginals, so it is small enough to broadcast."""
     names = list(targets)
-    class_of = {n: _class(columns[n], targets[n]) for n in names}
-    rows = docs.select(*[class_of[n].alias(n) for n in names],
+    rows = docs.select(*[_class(columns[n], targets[n]).alias(f"{n}_class") for n in names],
                        F.coalesce(n_tokens, F.lit(0)).cast("bigint").alias("__tokens"))
-    # At most the product of (named values + 1) over the marginals.
-    cells = rows.groupBy(*names).agg(F.sum("__tokens").alias("__tokens")).orderBy(*names).collect()
+    classes = [f"{n}_class" for n in names]
+    cells = rows.groupBy(*classes).agg(F.sum("__tokens").alias("__tokens")).orderBy(*classes).collect()
     tokens = np.array([c["__tokens"] for c in cells], float)
-    if not cells or tokens.sum() <= 0:
-        return F.lit(1.0)
-    rake_to = []
-    for n in names:
-        present = sorted({c[n] for c in cells if c["__tokens"] > 0})
-        have = {p: sum(c["__tokens"] for c in cells if c[n] == p) / tokens.sum() for p in present}
-        member = np.array([present.index(c[n]) if c[n] in present else 0 for c in cells])
-        rake_to.append((member, _shares(present, targets[n], have)))
-    weight = rake(tokens, rake_to, rounds)
-    per_token = np.divide(weight, tokens, out=np.zeros_like(weight), where=tokens > 0)
-    ratio = inclusion(per_token, tokens, budget_share)
-    ratio[tokens == 0] = 1
-    pairs = [x for c, r in zip(cells, ratio.tolist(), strict=True)
-             for x in (F.lit("\x1f".join(c[n] for n in names)), F.lit(round(r, 9)))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.concat_ws("\x1f", *[class_of[n] for n in names])),
-                      F.lit(1.0))
+    ratio = np.ones(len(cells))
+    if tokens.sum() > 0:
+        rake_to = []
+        for n, k in zip(names, classes, strict=True):
+            present = sorted({c[k] for c in cells if c["__tokens"] > 0})
+            have = {p: sum(c["__tokens"] for c in cells if c[k] == p) / tokens.sum() for p in present}
+            member = np.array([present.index(c[k]) if c[k] in present else 0 for c in cells])
+            rake_to.append((member, _shares(present, targets[n], have)))
+        weight = rake(tokens, rake_to, rounds)
+        per_token = np.divide(weight, tokens, out=np.zeros_like(weight), where=tokens > 0)
+        if budget_share is not None:
+            budget_share = reachable(per_token, tokens, budget_share, least_share)
+        ratio = inclusion(per_token, tokens, budget_share)
+        ratio[tokens == 0] = 1
+    return docs.sparkSession.createDataFrame(
+        [(*[c[k] for k in classes], round(r, 9)) for c, r in zip(cells, ratio.tolist(), strict=True)],
+        ", ".join(f"{k} string" for k in classes) + ", probability double")
 
 
 def drawn(doc_id: Column, probability: Column, seed: str = "mix") -> Column:
@@ -114,34 +125,63 @@ def drawn(doc_id: Column, probability: Column, seed: str = "mix") -> Column:
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], columns: Mapping[str, Column],
         n_tokens: Column, doc_id: str = "doc_id", rounds: int = 20, budget_share: float | None = None,
-        seed: str = "mix") -> DataFrame:
+        least_share: float = 0.0, seed: str = "mix") -> DataFrame:
     """One row per input row: ``doc_id``, a class column for each target, ``n_tokens, probability, kept``.
 
     ``targets`` maps each marginal to the shares of its named values; all others form the class ``(other)``, so
     the cells that are brought to the driver are at most the product of (names + 1) over the marginals,
     whatever the table holds.  Probabilities are in proportion to weight over tokens of the cell: scaled so
-    that the largest is 1, or so that the expected tokens are ``budget_share`` of all (and at most 1 each).
+    that the largest is 1, or so that the expected tokens are ``budget_share`` of all, or as much as meets all targets
+    without a probability over 1 (``least_share`` of all at least: then cells that would pass 1 are held there).
     The draw depends on the seed and the id alone, so a document is drawn alike anywhere.
 
     Null values of a marginal are in ``(other)``; documents without tokens have their cell's probability; a null
     doc_id draws as the empty id; repeated rows are drawn alike.  An empty table, or one without tokens, gives
     probability 1 to all rows.
     """
-    p = calibrated(docs, targets, columns, n_tokens, rounds, budget_share)
+    classes = [f"{n}_class" for n in targets]
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), *[_class(columns[n], targets[n]).alias(f"{n}_class") for n in targets],
-        F.coalesce(n_tokens, F.lit(0)).cast("bigint").alias("n_tokens"), p.alias("probability"))
-    return rows.withColumn("kept", drawn(F.col("doc_id"), F.col("probability"), seed))
+        F.coalesce(n_tokens, F.lit(0)).cast("bigint").alias("n_tokens"))
+    cells = calibrated(docs, targets, columns, n_tokens, rounds, budget_share, least_share)
+    rows = rows.join(F.broadcast(cells), classes)
+    return rows.select("doc_id", *classes, "n_tokens", "probability").withColumn(
+        "kept", drawn(F.col("doc_id"), F.col("probability"), seed))
 
 
-#: Targets of the registered query and the pipeline (of tokens).
+def tempered(docs: DataFrame, column: Column, n_tokens: Column, power: float) -> dict[str, float]:
+    """Target shares of the values of a column: their tokens to a power under 1, which favours small ones.
+
+    Values of less than ``NAMED_SHARE`` of the tokens (and nulls) are the class ``(other)``, whose share is the sum of
+    theirs; so at most 1 / ``NAMED_SHARE`` values are named.
+    """
+    per = docs.select(column.cast("string").alias("value"), F.coalesce(n_tokens, F.lit(0)).alias("n")) \
+        .groupBy("value").agg(F.sum("n").alias("n")).where("n > 0")
+    per = materialize(per.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(power))), "values")
+    total, weight = per.agg(F.sum("n"), F.sum("weight")).first()
+    if not total:
+        return {REST: 1.0}
+    named = per.where(F.col("value").isNotNull() & (F.col("value") != REST) & (F.col("n") >= NAMED_SHARE * total)).collect()
+    out = {r["value"]: r["weight"] / weight for r in sorted(named, key=lambda r: r["value"])}
+    left = 1 - sum(out.values())
+    return {**out, REST: left} if left > 1e-9 else out
+
+
+#: Targets of languages and topics in the registered query and the pipeline (of tokens); those of sources are their
+#: tokens to the power ``SOURCE_POWER``.
 TARGETS = {
-    "source": {"src0": 0.30, REST: 0.70},
     "lang": {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11},
     "topic": {"prose": 0.96, "table": 0.02, "shout": 0.02},
 }
-#: Share of the tokens that the query and the pipeline draw.
-BUDGET = 0.9
+SOURCE_POWER = 0.9
+#: Share of the tokens that a value needs to have a target of its own.
+NAMED_SHARE = 1 / 1000
+#: Share of the tokens that the query and the pipeline draw: as much as meets the targets, between these bounds.
+BUDGET, LEAST = 0.9, 0.5
+
+
+def document_targets(docs: DataFrame) -> dict[str, dict[str, float]]:
+    return {"source": tempered(docs, F.col("source"), n_tokens_of("text"), SOURCE_POWER), **TARGETS}
 
 
 def document_marginals() -> dict[str, Column]:
@@ -149,11 +189,24 @@ def document_marginals() -> dict[str, Column]:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """:func:`mix` with ``TARGETS`` over ``source``, ``lang`` and the topic by form."""
-    return mix(docs, TARGETS, document_marginals(), n_tokens_of("text"), **{"budget_share": BUDGET, **options})
+    """:func:`mix` over ``source`` (tempered shares), ``lang`` and the topic by form (``TARGETS``)."""
+    return mix(docs, document_targets(docs), document_marginals(), n_tokens_of("text"),
+               **{"budget_share": BUDGET, "least_share": LEAST, **options})
 
 
 def keep_drawn(docs: DataFrame, doc_id: str = "doc_id", seed: str = "mix", **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`mix_documents` draws, all columns."""
-    p = calibrated(docs, TARGETS, document_marginals(), n_tokens_of("text"), **{"budget_share": BUDGET, **options})
-    return docs.where(drawn(F.col(doc_id), p, seed))
+    """The rows of ``docs`` that :func:`mix_documents` draws, all columns.
+
+    Rows that share a doc_id are drawn alike within a cell; null sources and languages are in ``(other)``, a null
+    doc_id draws as the empty id, documents without tokens have their cell's probability.  A table without tokens
+    stays whole, an empty one empty.
+    """
+    targets, columns = document_targets(docs), document_marginals()
+    names = {f"{n}_class": unique_name(docs, f"{n}_class") for n in targets}
+    share = unique_name(docs, "probability")
+    cells = calibrated(docs, targets, columns, n_tokens_of("text"),
+                       **{"budget_share": BUDGET, "least_share": LEAST, **options})
+    cells = cells.withColumnsRenamed({**names, "probability": share})
+    rows = docs.withColumns({names[f"{n}_class"]: _class(columns[n], targets[n]) for n in targets})
+    rows = rows.join(F.broadcast(cells), list(names.values())).where(drawn(F.col(doc_id), F.col(share), seed))
+    return rows.select(*docs.columns)

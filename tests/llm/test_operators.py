@@ -329,6 +329,8 @@ def test_source_mix(spark, odd, none):
     rows = sm.mix_documents(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r.probability <= 1 for r in rows)
     assert sm.mix_documents(none).count() == 0 and sm.keep_drawn(odd).columns == odd.columns
+    assert sm.keep_drawn(none).count() == 0
+    assert sm.keep_drawn(odd.withColumnRenamed("digest", "probability").withColumnRenamed("host", "lang_class")).count() > 0
     cells = np.array([5.0, 3.0, 2.0, 9.0])
     w = sm.rake(cells, [(np.array([0, 0, 1, 1]), np.array([0.4, 0.6])), (np.array([0, 1, 0, 1]), np.array([0.5, 0.5]))], 200)
     assert np.allclose([w[:2].sum(), w[[0, 2]].sum()], [0.4, 0.5])
@@ -409,9 +411,37 @@ def test_index_knows_digests_whose_rows_had_no_id(spark, tmp_path):
 
 
 def test_filters_allow_columns_named_as_their_helpers(spark):
+    text = " ".join(f"u{i}" for i in range(80))
     docs = spark.createDataFrame(
-        [(1, LONG, "a", 1, "d", "k"), (1, "other " + LONG, "a", 2, "d", "k"), (2, LONG, "b", 3, "d", "k"), (3, "x", "b", 4, "d", "k")],
+        [(1, text, "a", 1, "d", "k"), (1, text + " end", "a", 2, "d", "k"), (2, text, "b", 3, "d", "k"), (3, "x", "b", 4, "d", "k")],
         "doc_id bigint, text string, source string, __id int, __digest string, __kept string")
     assert {r["__id"] for r in ed.keep_first(docs).collect()} == {1, 2, 4}
     assert {r["__id"] for r in qr.keep_good(docs, reject_rate=1.1).collect()} == {1, 2, 3}
     assert sorted(r["doc_id"] for r in md.keep_one_of_each(docs).collect()) == [1, 1, 3]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mix_reaches_the_target_of_every_source_language_and_topic(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    targets = sm.document_targets(docs)
+    assert len(targets["source"]) == 20 and abs(sum(targets["source"].values()) - 1) < 1e-9
+    rows = sm.mix_documents(docs).toPandas()
+    expected = rows["n_tokens"] * rows["probability"]
+    assert 0.5 < expected.sum() / rows["n_tokens"].sum() <= 0.9
+    drawn_ = rows[rows["kept"]]
+    for name, target in targets.items():
+        reached = expected.groupby(rows[f"{name}_class"]).sum() / expected.sum()
+        for value, share in target.items():
+            assert abs(reached[value] - share) < 0.001  # as probabilities
+        if sf == "sf0.1":  # as drawn: enough documents for the draw to be near its mean
+            got = drawn_.groupby(f"{name}_class")["n_tokens"].sum() / drawn_["n_tokens"].sum()
+            assert all(abs(got[v] - share) < 0.01 for v, share in target.items())
+
+
+def test_small_sources_share_a_class(spark, monkeypatch):
+    monkeypatch.setattr(sm, "NAMED_SHARE", 0.2)
+    docs = spark.createDataFrame([(i, "w " * (40 if i % 2 else 4), "en", f"s{i % 6}" if i % 2 else None) for i in range(60)],
+                                 "doc_id bigint, text string, lang string, source string")
+    target = sm.document_targets(docs)["source"]
+    assert set(target) == {"s1", "s3", "s5", sm.REST} and target["s1"] < 1 / 3 and sum(target.values()) == pytest.approx(1)
+    assert sm.mix_documents(docs).count() == 60

@@ -10,6 +10,7 @@ gives back the text exactly.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,15 +23,17 @@ from rillet.llm.common import text_of
 
 #: Fixed value: the mark that stands for a space in pieces.
 MARK = "▁"
+#: A word with the blanks before it, or blanks at a line's end.
+_WORD = re.compile(r" *[^ ]+| +")
 
 
 class PieceModel:
     """Encoder and decoder of one model file.
 
-    A text gets one mark in front and its spaces become marks.  Pieces with a mark after their first character,
-    or with a line feed, are left out, so that no piece reaches over the start of a word and words are
-    encoded one by one; at most ``cache_words`` of them are kept.  A mark that the text itself holds
-    is written as bytes.
+    A text gets one mark in front and its spaces become marks.  A piece has marks at its beginning only (those of more
+    than one are runs of blanks; others and pieces with a line feed are refused), so that none reaches over the end
+    of a word: a word and the blanks before it are encoded by themselves, and at most ``cache_words`` of them are kept.
+    A mark that the text itself holds is written as bytes.
     """
 
     def __init__(self, path: str, cache_words: int = 400_000):
@@ -51,8 +54,8 @@ class PieceModel:
                 self.byte_id[value] = i
                 self.piece[i] = bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                if MARK in piece[1:] or "\n" in piece:
-                    continue
+                if MARK in piece.lstrip(MARK) or "\n" in piece:
+                    raise ValueError(f"a piece that reaches over a word's end: {piece!r}")
                 rank += 1
                 score = -float(np.log(rank + 2.7))
                 self.piece[i] = piece.replace(MARK, " ").encode()
@@ -61,7 +64,7 @@ class PieceModel:
         self.automaton.make_automaton()
         #: A byte piece costs more than any piece of the file.
         self.byte_score = -float(np.log(rank + 2.7)) - 2.0
-        self.cache: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def viterbi(self, word: str) -> list[int]:
@@ -94,30 +97,32 @@ class PieceModel:
             if i >= 0:
                 ids.append(i)
             else:
-                raw = word[start:at].encode("utf-8", "surrogatepass")
+                raw = word[start:at].replace(MARK, " ").encode("utf-8", "surrogatepass")
                 ids.extend(self.byte_id[list(raw)][::-1].tolist())
             at = start
         return ids[::-1]
 
-    def _word(self, word: str, marked: bool) -> bytes:
-        # A mark of the text itself never meets the automaton: it is bytes.
-        parts = (MARK + word if marked else word).split(MARK)
+    def _word(self, word: str) -> bytes:
+        """Ids of a word and the blanks before it.  A mark of the text itself never meets the automaton: it is bytes."""
         ids: list[int] = []
-        for k, part in enumerate(parts[1:] if marked else parts):
+        for k, part in enumerate(word.split(MARK)):
             if k:
                 ids.extend(self.byte_id[list(MARK.encode())].tolist())
-                ids.extend(self.viterbi(part))
-            else:
-                ids.extend(self.viterbi(MARK + part if marked else part))
+            ids.extend(self.viterbi(part.replace(" ", MARK)))
         return np.array(ids, "<i4").tobytes()
 
-    def _encoded(self, words: list[str], marked: bool) -> bytes:
-        cache = self.cache[marked]
+    def _line(self, line: str) -> bytes:
+        if "  " in line:
+            words = _WORD.findall(line)
+        else:  # the same words: each begins with its blank
+            first, *rest = line.split(" ")
+            words = [first, *[f" {w}" for w in rest]] if first else [f" {w}" for w in rest]
+        cache = self.cache
         out = []
         for word in words:
             ids = cache.get(word)
             if ids is None:
-                ids = self._word(word, marked)
+                ids = self._word(word)
                 if len(cache) < self.cache_words:
                     cache[word] = ids
             out.append(ids)
@@ -127,15 +132,7 @@ class PieceModel:
         """Ids of a whole text (empty for an empty one)."""
         if not text:
             return np.zeros(0, "<i4")
-        newline = self._newline()
-        lines = []
-        for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if k == 0:
-                lines.append(self._encoded(words, True))
-            else:
-                lines.append(self._encoded(words[:1], False) + self._encoded(words[1:], True))
-        return np.frombuffer(newline.join(lines), "<i4")
+        return np.frombuffer(self._newline().join(map(self._line, f" {text}".split("\n"))), "<i4")
 
     def _newline(self) -> bytes:
         return np.array([self.byte_id[10]], "<i4").tobytes()

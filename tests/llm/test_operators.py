@@ -302,6 +302,63 @@ def test_sentencepiece_round_trip(odd, none):
     assert sc.encode_decode_digests(none).count() == 0
 
 
+def brute_pieces(text, size=32_000):
+    """Ids of a text by the best sum of scores over all pieces of the file, position by position over the whole text."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sc.default_model())
+    pieces, bytes_, rank = {}, {}, 0
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            bytes_[int(piece[3:5], 16)] = i
+        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            rank += 1
+            pieces[piece] = (-float(np.log(rank + 2.7)), i)
+    worst, longest = -float(np.log(rank + 2.7)) - 2.0, max(map(len, pieces))
+    if not text:
+        return []
+    chars = list("\0" + text.replace("▁", "\1").replace(" ", "▁"))
+    chars[0] = "▁"
+    best, back = [0.0], [None]
+    for end in range(1, len(chars) + 1):
+        found, how = -1e300, None
+        for n in range(min(longest, end), 0, -1):
+            piece = "".join(chars[end - n:end])
+            if piece in pieces and best[end - n] + pieces[piece][0] > found:
+                found, how = best[end - n] + pieces[piece][0], (end - n, [pieces[piece][1]])
+        raw = {"\1": "▁", "▁": " "}.get(chars[end - 1], chars[end - 1]).encode()
+        cost = best[end - 1] + worst * (len(raw) if chars[end - 1] != "▁" else 3)
+        if cost > found:
+            found, how = cost, (end - 1, [bytes_[b] for b in raw])
+        best.append(found)
+        back.append(how)
+    ids, at = [], len(chars)
+    while at:
+        at, part = back[at]
+        ids = part + ids
+    return ids
+
+
+def test_sentencepiece_by_brute_force(spark):
+    indented = ["def f(x):\n    if x:\n        return  x\n\n\n" + " " * 37 + "y = 1  ", "   ", " ", "  lead", "tail  ", "a ▁ b▁▁c  ▁",
+                "é日本  \t tab\x00", "\n", " \n ", "a\n  b", "x" * 40 + "   " + "…" * 3, "word " * 30]
+    texts = indented + [r.text[:1500] for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(12).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in sc.encode_decode_digests(docs).collect()}
+    model = sc.piece_model(sc.default_model())
+    score = {i: s for s, i in model.scores.values()}
+    for i, text in enumerate(texts):
+        ids, want = model.encode(text), brute_pieces(text)
+        # Runs of blanks can be cut in several ways of one score; the sums agree, and elsewhere the ids do.
+        assert sum(score.get(x, model.byte_score) for x in ids.tolist()) == pytest.approx(
+            sum(score.get(x, model.byte_score) for x in want)), text
+        if "   " not in text:
+            assert ids.tolist() == want, text
+        assert (got[i].n_tokens, got[i].ids_crc32, got[i].round_trip) == (ids.size, zlib.crc32(ids.tobytes()), True)
+    assert got[0].n_tokens < 40  # runs of blanks are single pieces
+
+
 def test_language_id(spark, odd, none):
     got = queries.QUERIES["op8_language_id"](spark, "/root/testdata/sf0.01").join(
         spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

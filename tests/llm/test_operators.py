@@ -318,7 +318,7 @@ def brute_pieces(text, size=32_000):
     worst, longest = -float(np.log(rank + 2.7)) - 2.0, max(map(len, pieces))
     if not text:
         return []
-    chars = list("\0" + text.replace("▁", "\1").replace(" ", "▁"))
+    chars = list("\0" + text.replace("▁", "\U0010fffe").replace(" ", "▁"))
     chars[0] = "▁"
     best, back = [0.0], [None]
     for end in range(1, len(chars) + 1):
@@ -327,7 +327,7 @@ def brute_pieces(text, size=32_000):
             piece = "".join(chars[end - n:end])
             if piece in pieces and best[end - n] + pieces[piece][0] > found:
                 found, how = best[end - n] + pieces[piece][0], (end - n, [pieces[piece][1]])
-        raw = {"\1": "▁", "▁": " "}.get(chars[end - 1], chars[end - 1]).encode()
+        raw = {"\U0010fffe": "▁", "▁": " "}.get(chars[end - 1], chars[end - 1]).encode()
         cost = best[end - 1] + worst * (len(raw) if chars[end - 1] != "▁" else 3)
         if cost > found:
             found, how = cost, (end - 1, [bytes_[b] for b in raw])

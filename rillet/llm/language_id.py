@@ -77,11 +77,18 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"),
                        F.col(lang).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != ""))
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("rn", F.row_number().over(order)) \
-        .where(F.col("rn") <= max_per_language).select("doc_id", F.col("lang").alias("lang2")).distinct()
-    sample = rows.join(chosen, (rows["doc_id"] == chosen["doc_id"]) & (rows["lang"] == chosen["lang2"]),
-                       "left_semi").select("lang", "text")
+    # A threshold on the digest leaves about twice the limit of each language, whatever the number of rows; only these
+    # are ranked.  There are as many languages as the model holds, and at most ``max_per_language`` ids of each.
+    digest = F.md5(F.col("doc_id").cast("string"))
+    share = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    few = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang") \
+        .where(share * F.col("n") < 2 * max_per_language).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(digest, "doc_id")
+    chosen = few.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_per_language).drop("rn")
+    # Rows that share an id and a language are one text (the smallest).
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")) \
+        .select("lang", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}

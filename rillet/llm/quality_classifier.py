@@ -60,12 +60,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     told = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")) \
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).distinct()
-    order = Window.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
+    # A threshold on the digest leaves about twice the limit of each label, whatever the number; only these are ranked.
+    digest = F.md5(F.col("doc_id").cast("string"))
+    share = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+    sizes = told.groupBy("label").agg(F.count(F.lit(1)).alias("n"))  # two rows
+    told = told.join(F.broadcast(sizes), "label").where(share * F.col("n") < 2 * max_per_label).drop("n")
+    order = Window.partitionBy("label").orderBy(digest, "doc_id")
     told = told.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_per_label).drop("rn")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")) \
         .where(F.col("text") != "")
-    sample = rows.join(F.broadcast(told), "doc_id").withColumn(  # at most 2 × max_per_label ids
-        "half", (F.crc32(F.col("doc_id").cast("string")) % 2).cast("int"))
+    # At most 2 × max_per_label ids; rows that share an id are one text (the smallest).
+    sample = rows.join(F.broadcast(told), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")) \
+        .withColumn("half", (F.crc32(F.col("doc_id").cast("string")) % 2).cast("int"))
     sample = materialize(sample.select("label", "half", "text"), "quality-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

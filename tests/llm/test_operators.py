@@ -382,6 +382,93 @@ def test_quality_classifier(spark, odd, none):
     assert qc.quality_classifier(none, labels).count() == 0
 
 
+def brute_grams(text, lower):
+    """Hash buckets of all single code points, pairs and triples, with plain integers."""
+    word = (1 << 64) - 1
+    p = [ord(c) for c in (text.lower() if lower else text)]
+    one = [x * 0x9E3779B97F4A7C15 & word for x in p]
+    two = [(a >> 7) ^ (b * 0xC2B2AE3D27D4EB4F & word) for a, b in zip(one, p[1:], strict=False)]
+    three = [(a * 0x165667B19E3779F9 & word) ^ (b * 0x27D4EB2F165667C5 & word) for a, b in zip(two, p[2:], strict=False)]
+    return Counter(x >> 48 for x in [*one, *[x * 0x2545F4914F6CDD1D & word for x in two],
+                                     *[x * 0x9FB21C651E98DF25 & word for x in three]])
+
+
+def test_language_id_by_brute_force(spark):
+    """The registered query against counting, bit classifiers and decoding one text at a time."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").toPandas().sort_values("doc_id")
+    counts, limit = {}, 1000
+    learn = docs[[zlib.crc32(str(i).encode()) % 3 != 1 for i in docs["doc_id"]] & (docs["text"] != "")]
+    for lang, group in learn.groupby("lang"):
+        first = sorted(group["doc_id"], key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))[:limit]
+        counts[lang] = sum((brute_grams(t, True) for t in group.set_index("doc_id").loc[first, "text"]), Counter())
+    langs = sorted(counts)
+    p = np.array([[counts[g][b] + 0.5 for b in range(1 << 16)] for g in langs])
+    p /= p.sum(axis=1, keepdims=True)
+    bits = [c for c in li.codewords(len(langs)).T if len(set(c)) == 2]
+    score = {}
+    for text in docs["text"]:
+        grams = brute_grams(text, True)
+        n = max(sum(grams.values()), 1)
+        loss = np.zeros(len(langs))
+        total = 0.0
+        for c in bits:
+            w = np.log(p[c > 0].mean(axis=0)) - np.log(p[c < 0].mean(axis=0))
+            expected = p @ w
+            low, high = expected[c < 0].max(), expected[c > 0].min()
+            half = max((high - low) / 2, 1e-3)
+            margin = (sum(w[b] * k for b, k in grams.items()) / n - (high + low) / 2) / half
+            loss += np.log1p(np.exp(-3 * c * margin)) * half
+            total += half
+        share = np.exp(-4 * (loss / total - min(loss / total)))
+        score[text] = (langs[int(np.argmax(share))], 1 / share.sum())
+    for r in queries.QUERIES["op8_language_id"](spark, SMALL).collect():
+        text = docs.set_index("doc_id")["text"][r.doc_id]
+        assert r.lang_pred == score[text][0] and r.score == pytest.approx(score[text][1], abs=1e-4)
+
+
+def test_quality_classifier_by_brute_force(spark):
+    """Evidence and posteriors of the registered query against plain sums, one document at a time."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").toPandas()
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").toPandas().set_index("doc_id")["quality"]
+    counts, half = [Counter(), Counter()], docs["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 2)
+    for i, t, h in zip(docs["doc_id"], docs["text"], half, strict=True):
+        if i in labels.index and h == 0 and t:
+            counts[labels[i]] += brute_grams(t, False)
+    p = np.array([[c[b] + 0.5 for b in range(1 << 16)] for c in counts])
+    w = np.diff(np.log(p / p.sum(axis=1, keepdims=True)), axis=0)[0]
+
+    def margin(text):
+        grams = brute_grams(text, False)
+        return sum(w[b] * n for b, n in grams.items()) / max(sum(grams.values()), 1)
+
+    docs["margin"] = docs["text"].map(margin)
+    held_ = docs[docs["doc_id"].isin(labels.index) & (half == 1) & (docs["text"] != "")]
+    model = qc.EvidenceModel(np.ones((2, 4)))
+    y = held_["doc_id"].map(labels).to_numpy()
+    at = np.lexsort((held_["margin"], y))
+    model.calibrate(held_["margin"].to_numpy()[at], y[at].astype(float))
+    docs["evidence"] = 1 / (1 + np.exp(-(model.slope * docs["margin"] + model.shift)))
+    mean = docs["evidence"].mean()
+
+    def shrunk(parts, parent):  # rows: n, s, and the parent's mean
+        within = parent * (1 - parent)
+        spread = max((parts["n"] * (parts["s"] / parts["n"] - parent) ** 2).sum() - within.sum(), 0) / parts["n"].sum()
+        k = (parts["n"] * within).sum() / parts["n"].sum() / spread if spread > 1e-9 else 1e4
+        k = min(max(k, 1.0), 1e4)
+        return (parts["s"] + k * parent) / (parts["n"] + k)
+
+    hosts = docs.groupby("source")["evidence"].agg(n="size", s="sum")
+    host = shrunk(hosts, hosts["n"] * 0 + mean)
+    paths = docs.groupby(["source", "lang"])["evidence"].agg(n="size", s="sum")
+    path = shrunk(paths, paths.index.get_level_values(0).map(host).to_series(index=paths.index))
+    logit = lambda x: np.log(x / (1 - x))
+    for r in queries.QUERIES["op10_quality_classifier"](spark, SMALL).collect():
+        assert r.evidence == pytest.approx(docs.set_index("doc_id")["evidence"][r.doc_id], abs=1e-4)
+        assert r.host_posterior == pytest.approx(host[r.host], abs=1e-4) and r.path_posterior == pytest.approx(path[r.host, r.path], abs=1e-4)
+        z = logit(min(max(r.evidence, 1e-6), 1 - 1e-6)) + logit(r.path_posterior) - logit(r.corpus_mean if "corpus_mean" in r else mean)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4) and r.kept == (r.score >= 0.5 - 1e-9)
+
+
 def test_source_mix(spark, odd, none):
     rows = sm.mix_documents(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r.probability <= 1 for r in rows)

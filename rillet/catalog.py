@@ -22,7 +22,8 @@ from rillet.operators.quality import repeated_values
 from rillet.operators.routing import write_routes
 from rillet.session import scratch_path
 from rillet.sources import files
-from rillet.streaming import file_arrival_stream, run_available, stream_filter
+from rillet.streaming import (event_windows, file_arrival_stream, late_rows, quota_stream, run_available,
+                              running_balance_stream, stream_filter)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1042,3 +1043,74 @@ def t1(spark, d):
     stream = file_arrival_stream(spark, d, schema, pathGlobFilter="events.parquet")
     run_available(stream_filter(stream, "value > 100"), sink)
     return spark.read.schema(schema).parquet(sink)
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, parts: list, step) -> tuple[DataFrame, DataFrame]:
+    """Rows delivered part by part (conditions) into a folder, the stream ``step`` run after each and stopped again:
+    what it gave out, and what arrived."""
+    folder, sink, checkpoint = (scratch_path(spark, x) for x in ("arriving", "given", "stream-checkpoint"))
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(folder)
+        run_available(step(file_arrival_stream(spark, folder, rows.schema)), sink, checkpoint)
+    return spark.read.parquet(sink), spark.read.schema(rows.schema).parquet(folder)
+
+
+def _by_time(rows: DataFrame, time: str, n: int) -> list:
+    """Conditions that cut rows into ``n`` parts along time."""
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(micros, [i / n for i in range(1, n)])).first()[0] or []
+    low = [None, *cuts]
+    return [(F.lit(True) if a is None else micros > a) & (F.lit(True) if b is None else micros <= b)
+            for a, b in zip(low, [*cuts, None], strict=True)]
+
+
+@query("T2_event_windows", """
+WITH q AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS c, date_trunc('hour', ts) AS w,
+    event_id * 4 // ((SELECT max(event_id) FROM events) + 1) AS chunk FROM events),
+d AS (SELECT *, CASE WHEN chunk = 0 AND event_id % 50 = 7 THEN 3 ELSE chunk END AS part FROM q),
+m AS (SELECT p.part, (SELECT max(ts) FROM d e WHERE e.part < p.part) - INTERVAL 1 HOUR AS mark FROM (SELECT DISTINCT part FROM d) p),
+r AS (SELECT d.*, coalesce(w + INTERVAL 1 HOUR <= mark, false) AS late FROM d JOIN m USING (part))
+SELECT w AS window_start, event_type, nullif(count(*) FILTER (NOT late), 0) AS n, CAST(sum(c) FILTER (NOT late) AS BIGINT) AS cents,
+  count(*) FILTER (late) AS late
+FROM r WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM d) - INTERVAL 1 HOUR GROUP BY w, event_type""")
+def t2(spark, d):
+    # Delivered in four runs; every 50th event of the first quarter comes with the last one, too late for its hour.
+    ev = _t(spark, d, "events").select("event_id", "ts", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("c"))
+    last = ev.agg(F.max("event_id")).first()[0] or 0
+    chunk = F.floor(F.col("event_id") * 4 / (last + 1))
+    part = F.when((chunk == 0) & (F.col("event_id") % 50 == 7), 3).otherwise(chunk)
+    given, arrived = _arriving(spark, ev, [part == i for i in range(4)], lambda df: event_windows(
+        df, "ts", {"n": F.count(F.lit(1)), "cents": F.sum("c")}, "event_type", size="1 hour", delay="1 hour"))
+    return late_rows(given, arrived, "ts", "n", "event_type", size="1 hour", delay="1 hour").drop("window_end")
+
+
+@query("T3_sessions", """
+WITH s AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT min(ts) AS window_start, max(ts) + INTERVAL 2 HOUR AS window_end, user_id, count(*) AS n, max(value) AS most
+FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR""")
+def t3(spark, d):
+    ev = _t(spark, d, "events").select("user_id", "ts", "value")
+    given, _ = _arriving(spark, ev, _by_time(ev, "ts", 3), lambda df: event_windows(
+        df, "ts", {"n": F.count(F.lit(1)), "most": F.max("value")}, "user_id", gap="2 hours", delay="3 hours"))
+    return given
+
+
+@query("T4_quota_stream", ORACLE["M2_quota_check"])
+def t4(spark, d):
+    requests = _t(spark, d, "events").selectExpr(
+        "event_id AS id", "user_id", "to_date(ts) AS day", "CAST(ts AS timestamp) AS timestamp",
+        "CAST(floor(value * 10) AS BIGINT) AS rows_requested", "event_type <> 'error' AS succeeds")
+    users = runlog(spark, d)["users"]
+    given, _ = _arriving(spark, requests, _by_time(requests, "timestamp", 3),
+                         lambda df: quota_stream(df, users, usage.FREE_DAILY_LIMIT, delay="2 days"))
+    return given.select(F.col("id").alias("event_id"), "user_id", "day", "rows_requested", "rows_used", "allowed")
+
+
+@query("T5_balance_stream", ORACLE["M6_running_balance"])
+def t5(spark, d):
+    t = runlog(spark, d)
+    ledger = usage.ledger(t["logs"], t["workflows"], t["transactions"]).select("user_id", "id", "timestamp", "amount")
+    given, _ = _arriving(spark, ledger, _by_time(ledger, "timestamp", 3), running_balance_stream)
+    return given.select("user_id", "id", F.col("amount").cast("double").alias("amount"),
+                        F.col("balance_after").cast("double").alias("balance_after"))

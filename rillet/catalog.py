@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from rillet import functions as uf
 from rillet import operators as op
-from rillet.operators import usage
+from rillet.operators import sketches, usage
 from rillet.operators.quality import repeated_values
 from rillet.operators.routing import write_routes
-from rillet.session import scratch_path
+from rillet.session import materialize, scratch_path
 from rillet.sources import files
 from rillet.streaming import (event_windows, file_arrival_stream, late_rows, quota_stream, run_available,
                               running_balance_stream, stream_filter)
@@ -984,6 +984,23 @@ def m6b(spark, d):
 def m7(spark, d):
     return usage.workflow_listing(runlog(spark, d)["workflows"])
 
+@query("M8_usage_sketches", """
+SELECT event_type, count(*) AS n, true AS users_within, true AS median_within FROM events GROUP BY event_type""")
+def m8(spark, d):
+    # A sketch table by day and type, merged by type; its estimates held against the rows, within the stated errors
+    ev = _t(spark, d, "events").withColumn("day", F.to_date("ts"))
+    table = materialize(sketches.sketch_table(ev, "day, event_type", {"users": "user_id"}, {"value": "value"}), "sketches")
+    told = sketches.read_sketches(sketches.merge_sketches(table, "event_type"), [0.5])
+    told = told.withColumn("median", F.col("value_quantiles")[0])
+    exact = ev.join(F.broadcast(told.select("event_type", "median")), "event_type").groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("users"), F.count_if(F.col("value") <= F.col("median")).alias("upto"),
+        F.count_if(F.col("value") < F.col("median")).alias("below"), F.count(F.lit(1)).alias("rows"))
+    off = sketches.QUANTILE_ERROR * F.col("rows") + 1
+    return told.join(exact, "event_type").select(
+        "event_type", "n", (F.abs(F.col("users_distinct") - F.col("users")) <= sketches.DISTINCT_ERROR * F.col("users") + 1)
+        .alias("users_within"),
+        ((F.col("below") <= 0.5 * F.col("rows") + off) & (F.col("upto") >= 0.5 * F.col("rows") - off)).alias("median_within"))
+
 # ---------------------------------------------------------------- sources, sinks, streams
 
 

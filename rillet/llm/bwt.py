@@ -12,10 +12,10 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ranks(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(order, rank)`` of all suffixes by their first ``length`` symbols (prefix doubling from 5 symbols)."""
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """All suffixes in order (prefix doubling from 5 symbols until no two are equal)."""
     n = text.size
-    padded = np.concatenate([text, np.zeros(length + 8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([text, np.zeros(5, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for k in range(5):
         key = key << np.uint64(8) | padded[k: k + n]
@@ -34,13 +34,12 @@ def _ranks(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(sorted_key[1:] != sorted_key[:-1], out=rank_sorted[1:], dtype=np.uint64)
         rank = np.empty(n, np.uint64)
         rank[order] = rank_sorted
-        if done >= length or int(rank_sorted[-1]) == n - 1:
-            return order, rank
-        step = min(done, length - done)
+        if int(rank_sorted[-1]) == n - 1:
+            return order
         ahead = np.zeros(n, np.uint64)  # 0: past the end
-        ahead[: n - step] = rank[step:] + np.uint64(1)
+        ahead[: n - done] = rank[done:] + np.uint64(1)
         key = rank * np.uint64(n + 1) + ahead if not packed else rank << np.uint64(bits) | ahead
-        done += step
+        done *= 2
 
 
 def _first_of_each_run(values: np.ndarray) -> np.ndarray:
@@ -50,8 +49,7 @@ def _first_of_each_run(values: np.ndarray) -> np.ndarray:
 def prefix_boundaries(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """``(order, boundary)``: the suffixes in order, and for each place whether its suffix and the one before have
     a common prefix shorter than ``length``.  ``text`` holds symbols 1 … 254."""
-    order, _ = _ranks(text, length)
-    order = np.concatenate([[text.size], order])  # the empty suffix comes first
+    order = np.concatenate([[text.size], suffix_order(text)])  # the empty suffix comes first
     n = order.size
     transform = np.where(order > 0, text[order - 1], 0).astype(np.uint8)  # 0: the end mark, before the first symbol
     by_symbol = np.argsort(transform, kind="stable")

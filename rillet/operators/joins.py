@@ -69,19 +69,17 @@ def _has_null_key(df: DataFrame, keys: Sequence[str]) -> bool:
 
 
 def join(left: DataFrame, right: DataFrame, on: str | Iterable[str], how: str = "inner",
-         suffixes: tuple[str, str] = ("_x", "_y"), null_safe: bool = True, probe: bool = True) -> DataFrame:
+         suffixes: tuple[str, str] = ("_x", "_y"), null_safe: bool = True, probe: bool = False) -> DataFrame:
     """Equi-join on same-named keys (inner, left, right, outer).
 
     Keys appear once: from the left for inner/left, from the right for right,
     merged with ``coalesce`` for outer.  Other columns present on both sides
     get ``suffixes``.  Null keys match each other unless ``null_safe=False``.
 
-    When the smaller side is too large to broadcast and has no null key,
-    ``=`` gives exactly the result of ``<=>`` for every join type, and the
-    plain equi-join is used: Catalyst then filters the other side's null keys
-    at the scan (inner joins) instead of hashing them all into one shuffle
-    partition.  A broadcast side is left null-safe: no shuffle, no skew, no
-    extra job.  ``probe=False`` leaves that look at the keys out: the step is then lazy.
+    The step is lazy.  ``probe=True`` looks at the smaller side's keys first, if it is too large to broadcast: without
+    a null key there, ``=`` gives exactly the result of ``<=>`` for every join type, and the plain equi-join is used.
+    Catalyst then filters the other side's null keys at the scan (inner joins) instead of hashing them all into one
+    shuffle partition, which AQE has to split.  Worth its job where very many keys of a large table are null.
     """
     keys = col_list(on, "join_key")
     if how not in _HOW:

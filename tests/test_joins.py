@@ -85,13 +85,13 @@ def test_plain_equality_when_one_side_has_no_null_keys(spark, how):
     small = spark.createDataFrame([("a", "x"), ("c", "y")], "k string, w string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # take the probed (shuffle) path
     try:
-        got = rows(op.join(big, small, "k", how))
+        got = rows(op.join(big, small, "k", how, probe=True))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     orig = J._has_null_key
     try:
         J._has_null_key = lambda df, keys: True  # force the null-safe plan
-        want = rows(op.join(big, small, "k", how))
+        want = rows(op.join(big, small, "k", how, probe=True))
     finally:
         J._has_null_key = orig
     assert got == want

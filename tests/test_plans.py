@@ -55,7 +55,8 @@ def test_null_safe_join_is_a_hash_join(spark):
     # a side too large to broadcast, without null keys: the plain equi-join gives the same rows
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plain = physical_plan(op.join(o, c, "o_custkey"), "simple")
+        plain = physical_plan(op.join(o, c, "o_custkey", probe=True), "simple")
+        assert "isnull(o_custkey" in physical_plan(op.join(o, c, "o_custkey"), "simple")  # lazy without the look
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plain and "isnull(o_custkey" not in plain

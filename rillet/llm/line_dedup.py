@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillet.llm.common import SPACE
+from rillet.llm.common import SPACE, join_groups
 from rillet.session import materialize
 
 
@@ -42,7 +42,7 @@ def line_dedup(pages: DataFrame, page_id: str, host: Column, lines: Column, max_
     """One row per input row: ``page_id, host, host_pages, n_lines, n_dropped, text`` (the lines left, joined by
     line feeds).
 
-    A line goes from a host's pages when at least ``min_pages`` of them and at least the share ``max_ratio``
+    A line goes from a host's pages when at least ``min_pages`` of them and more than the share ``max_ratio``
     hold it.  The boilerplate lines of one host are at most its mean number of distinct lines a page over
     ``max_ratio``, so they travel as one array a host; lines are counted by (host, digest), which parts a large
     host over all tasks.
@@ -52,17 +52,19 @@ def line_dedup(pages: DataFrame, page_id: str, host: Column, lines: Column, max_
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.coalesce(host, F.lit("")).alias("host"),
                         lines.alias("lines"))
-    totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    totals = materialize(rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")), "host-pages")
     digest = F.transform(F.array_distinct("lines"), lambda x: F.unhex(F.md5(x.cast("binary"))))
     counts = rows.select("host", F.explode(digest).alias("line")).groupBy("host", "line") \
         .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    frequent = counts.join(totals, "host").where(F.col("n") >= max_ratio * F.col("host_pages"))
+    frequent = join_groups(counts, totals, "host", "host_pages").where(F.col("n") > max_ratio * F.col("host_pages"))
     hosts = totals.join(frequent.groupBy("host").agg(F.collect_list("line").alias("drop")), "host", "left") \
         .select(F.col("host").alias("__host"), "host_pages", F.coalesce("drop", F.array().cast("array<binary>")).alias("drop"))
     # A written table parts the join with the pages from the counts by host, so that a skewed host is split in it.
     both = rows.join(materialize(hosts, "line-hosts"), F.col("host") == F.col("__host"))
-    left = F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), F.unhex(F.md5(x.cast("binary")))))
-    both = both.withColumn("left", left)
+    # The host's list is looked through once a page, for the page's own boilerplate lines.
+    both = both.withColumn("own", F.transform("lines", lambda x: F.unhex(F.md5(x.cast("binary")))))
+    both = both.withColumn("hits", F.array_intersect("own", "drop"))
+    both = both.withColumn("left", F.filter("lines", lambda x, i: ~F.array_contains("hits", F.col("own")[i])))
     return both.select("page_id", "host", "host_pages", F.size("lines").cast("bigint").alias("n_lines"),
                        (F.size("lines") - F.size("left")).cast("bigint").alias("n_dropped"),
                        F.array_join("left", "\n").alias("text"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rillet.common import unique_name
 from rillet.llm import shingles
-from rillet.llm.common import keyed_texts, one_row_per_id
+from rillet.llm.common import join_groups, keyed_texts, one_row_per_id
 from rillet.llm.components import components
 from rillet.llm.terms import as_bytes, sliced
 from rillet.session import materialize
@@ -171,14 +171,19 @@ def across_stars(met: DataFrame, joined: DataFrame, marks: DataFrame, threshold_
     """
     of = joined.select(F.col("node").alias("doc_id"), "component")
     of_center = joined.select(F.col("node").alias("center"), F.col("component").alias("home"))
-    placed = met.join(of, "doc_id", "left").join(of_center, "center", "left").select(
-        "center", "doc_id", F.coalesce("component", "doc_id").alias("c"), F.coalesce("home", "center").alias("home")) \
+    # Stars by their number of members: large ones are few and joined apart, so none is dealt to one task by its center.
+    homes = materialize(met.groupBy("center").agg(F.count(F.lit(1)).alias("size")).join(of_center, "center", "left")
+                        .select("center", "size", F.coalesce("home", "center").alias("home")), "star-homes")
+    placed = join_groups(met.join(of, "doc_id", "left"), homes, "center", "size").select(
+        "center", "doc_id", F.coalesce("component", "doc_id").alias("c"), "home") \
         .withColumn("outside", F.col("c") != F.col("home")).drop("home")
+    placed = materialize(placed, "star-members")
     sizes = placed.groupBy("center").agg(F.count(F.lit(1)).alias("members"), F.count_if("outside").alias("others")) \
         .where("members > 1 AND others > 0").select(
-            "center", F.ceil(F.col("others") / OUTSIDE_BLOCK).cast("int").alias("rows"),
+            "center", "members", F.ceil(F.col("others") / OUTSIDE_BLOCK).cast("int").alias("rows"),
             F.ceil(F.col("members") / MEMBER_BLOCK).cast("int").alias("columns"))
-    open_ = materialize(placed.join(sizes, "center").join(marks, "doc_id"), "open-stars")
+    open_ = join_groups(placed, materialize(sizes, "open-star-sizes"), "center", "members").drop("members")
+    open_ = materialize(open_.join(marks, "doc_id"), "open-stars")
 
     def side(name: str, block: Column, copies: Column) -> DataFrame:
         return open_.select(

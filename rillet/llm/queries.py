@@ -150,7 +150,7 @@ c AS (SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)),
 hp AS (SELECT host, count(*) AS host_pages FROM c GROUP BY host),
 u AS (SELECT host, unnest(list_distinct(l)) AS line FROM c),
 f AS (SELECT host, line FROM u JOIN hp USING (host) GROUP BY host, line, host_pages
-  HAVING count(*) >= 3 AND count(*) >= 0.3 * host_pages),
+  HAVING count(*) >= 3 AND count(*) > 0.3 * host_pages),
 s AS (SELECT host, list(line) AS gone FROM f GROUP BY host),
 r AS (SELECT page_id, host, host_pages, l, list_filter(l, lambda x: NOT list_contains(coalesce(gone, []), x)) AS kept
   FROM c JOIN hp USING (host) LEFT JOIN s USING (host))

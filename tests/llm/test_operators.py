@@ -230,7 +230,6 @@ def test_token_shards(spark, odd, none):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(ts.default_tokenizer())
-    own.encode_special_tokens = True
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in odd.collect()))
     start, want = 0, []
     for known, i, t in rows:
@@ -516,6 +515,30 @@ def test_pipeline_by_brute_force(spark):
     assert {r.doc_id: r.ids_crc32 for r in got} == want and all(r.round_trip for r in got)
 
 
+def test_pipeline_of_odd_rows_and_of_none(spark, odd, none, tmp_path):
+    import corpus_pipeline as cp
+
+    words = " ".join(f"u{i}" for i in range(60))
+    more = [(20, words, "en", "a"), (21, words + " ", "en", None), (21, words, None, "a"), (None, words + " more", "en", "a"),
+            (None, None, None, None), (22, " ".join(f"v{i * i}" for i in range(70)), None, "b"), (22, " ".join(f"v{i * i}" for i in range(70)), None, "b")]
+    docs = odd.unionByName(spark.createDataFrame([(*r, 1, "d", "k", "h") for r in more], odd.schema))
+    docs = docs.withColumnsRenamed({"digest": "__id", "kept": "probability", "host": "source_class"}).withColumn("n_words", F.lit(1))
+    left = docs
+    for name, stage in cp.STAGES[:-1]:
+        before = Counter(map(tuple, left.collect()))
+        left = stage(spark, left, str(tmp_path))
+        rows = Counter(map(tuple, left.collect()))
+        assert left.columns == docs.columns and not rows - before, name  # rows of the stage before, none made or changed
+    texts = Counter(r.doc_id for r in left.collect())
+    assert texts[4] == texts[5] == texts[7] == 0 and texts[21] == 0 and texts[20] <= 1 and texts[22] <= 1 and texts[None] >= 1
+    last = cp.STAGES[-1][1](spark, left, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in last) == texts and all(r.round_trip for r in last)
+    for name, stage in cp.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+    none.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
 def test_odd_sketches_never_overstate_the_difference():
     rng = np.random.default_rng(5)
     for n in (1, 15, 16, 17, 200, 3000):

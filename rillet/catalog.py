@@ -835,8 +835,7 @@ def f3(spark, d):
         return pd.DataFrame({"n": g.size(), "s": g.sum()}).reset_index()
     o = _t(spark, d, "orders").select("o_custkey", "o_totalprice")
     return uf.apply_groups_salted(o, ["o_custkey"], partial, "o_custkey long, n long, s double",
-                                  [F.sum("n").alias("n_orders"), F.round(F.sum("s"), 6).alias("total")],
-                                  salts=4, buckets=8)
+                                  [F.sum("n").alias("n_orders"), F.round(F.sum("s"), 6).alias("total")])
 
 
 @query("F4_scalar_function", "SELECT c_custkey, upper(c_name) AS name_upper FROM customer")

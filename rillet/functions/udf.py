@@ -43,14 +43,13 @@ def apply_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame]
 
 
 def apply_groups_salted(df: DataFrame, keys: Sequence[str], partial: Callable[[pd.DataFrame], pd.DataFrame],
-                        partial_schema: T.StructType | str, combine: Sequence[Column],
-                        salts: int = 16, buckets: int | None = None) -> DataFrame:
+                        partial_schema: T.StructType | str, combine: Sequence[Column]) -> DataFrame:
     """Per-group pandas work that never holds a whole group in one task.
 
     ``partial`` gets one Arrow batch of rows at a time, where they are (no shuffle; the batch size is
     ``spark.sql.execution.arrow.maxRecordsPerBatch``). It returns partial results that include the key
     columns (e.g. a pandas groupby over the keys). ``combine`` holds the Spark aggregates that merge the partial
-    rows per key. ``salts`` and ``buckets`` are accepted for earlier callers and have no effect.
+    rows per key.
     """
     partials = df.mapInPandas(lambda frames: (partial(f) for f in frames if len(f)), partial_schema)
     return partials.groupBy(*keys).agg(*combine)

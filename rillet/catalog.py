@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from rillet import functions as uf
 from rillet import operators as op
+from rillet.common import StepError
 from rillet.operators import sketches, usage
 from rillet.operators.quality import repeated_values
 from rillet.operators.routing import write_routes
+from rillet.plans import chain
 from rillet.session import materialize, scratch_path
 from rillet.sources import files
 from rillet.streaming import (event_windows, file_arrival_stream, late_rows, quota_stream, run_available,
@@ -231,6 +233,17 @@ FROM events""")
 def j9(spark, d):
     return op.keyed_lookup(_t(spark, d, "events"), "user_id", "segment, tier")
 
+@query("J9b_keyed_lookup_service", """
+SELECT event_id, user_id, value, 'user ' || user_id || ' of group ' || user_id % 7 AS label,
+  CASE WHEN user_id % 10 <> 3 THEN user_id * 11 END AS code FROM events""")
+def j9b(spark, d):
+    # a service asked for 50 distinct keys at a time; it knows nothing of every tenth user's code
+    def fetch(keys):
+        return {k: {"label": f"user {k} of group {k % 7}", **({"code": k * 11} if k % 10 != 3 else {})} for k in keys}
+    ev = _t(spark, d, "events").select("event_id", "user_id", "value")
+    return op.keyed_lookup(ev, "user_id", "label, code", op.batched_provider(fetch, {"label": "string", "code": "bigint"}, 50))
+
+
 @query("J10_asof_join", """
 WITH prices AS (SELECT user_id, ts AS seen_at, max(value) AS seen_value FROM events WHERE event_type = 'view' GROUP BY ALL)
 SELECT e.event_id, e.user_id, e.ts, p.seen_at, p.seen_value
@@ -688,6 +701,26 @@ def d1(spark, d):
                                  "unique": ["o_orderkey", "o_orderstatus"]})
 
 
+@query("D3_quality_gate", """
+WITH o AS (SELECT nullif(o_orderstatus, 'P') AS s, o_custkey, o_orderkey FROM orders),
+v AS (SELECT count(*) - count(s) AS nulls, count(*) - count(DISTINCT o_custkey) AS repeats FROM o)
+SELECT 'keys' AS gate, true AS passed, CAST((SELECT count(*) FROM o) AS VARCHAR) AS told
+UNION ALL SELECT 'status', nulls = 0, 'data_quality_check failed: no_nulls on o_orderstatus: ' || nulls || ' rows' FROM v
+UNION ALL SELECT 'customer', repeats = 0, 'data_quality_check failed: unique on o_custkey: ' || repeats || ' rows' FROM v""")
+def d3(spark, d):
+    # a gate lets the table through whole, or fails the run with what it found
+    o = _t(spark, d, "orders").withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'P')"))
+    gates = {"keys": {"no_nulls": ["o_orderkey"], "unique": ["o_orderkey"]}, "status": {"no_nulls": ["o_orderstatus"]},
+             "customer": {"no_nulls": ["o_orderkey"], "unique": ["o_custkey"]}}
+    told = []
+    for name, rules in gates.items():
+        try:
+            told.append((name, True, str(op.data_quality_check(o, rules).count())))
+        except StepError as error:
+            told.append((name, False, str(error)))
+    return spark.createDataFrame(told, "gate string, passed boolean, told string")
+
+
 @query("D2_repeated_values", """
 SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1""")
 def d2(spark, d):
@@ -709,6 +742,30 @@ def q1(spark, d):
         FROM df WHERE l_discount >= 0.05 GROUP BY l_returnflag, l_linestatus""")
 
 
+@query("Q12_sql_after_steps", """
+WITH li AS (SELECT l_orderkey, l_quantity, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity > 10),
+j AS (SELECT li.*, o_custkey, o_orderpriority FROM li JOIN orders ON l_orderkey = o_orderkey),
+q AS (SELECT o_orderpriority, o_custkey, sum(net) AS net, count(*) AS n,
+  rank() OVER (PARTITION BY o_orderpriority ORDER BY count(*) DESC, o_custkey) AS place FROM j GROUP BY o_orderpriority, o_custkey)
+SELECT o_orderpriority AS priority, o_custkey, round(net, 2) AS net, n, place,
+  CASE WHEN net > 100000 THEN 'large' ELSE 'small' END AS band FROM q WHERE place <= 20""")
+def q12(spark, d):
+    # filter, derive and join; SQL over the result; derive and rename after it: one plan
+    step = chain(
+        lambda t: op.filter_rows(t, "l_quantity > 10"),
+        lambda t: op.derive_columns(t, {"net": "l_extendedprice * (1 - l_discount)"}),
+        lambda t: op.select_columns(t, "l_orderkey, l_quantity, net"),
+        lambda t: op.join(t, _t(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey"),
+        lambda t: op.execute_sql(t, """
+            SELECT o_orderpriority AS priority, o_custkey, sum(net) AS net, count(*) AS n,
+              rank() OVER (PARTITION BY o_orderpriority ORDER BY count(*) DESC, o_custkey) AS place
+            FROM df GROUP BY o_orderpriority, o_custkey"""),
+        lambda t: op.filter_rows(t, "place <= 20"),
+        lambda t: op.derive_columns(t, {"band": "CASE WHEN net > 100000 THEN 'large' ELSE 'small' END"}),
+        lambda t: op.derive_columns(t, {"net": "round(net, 2)"}))
+    return step(_t(spark, d, "lineitem")).withColumn("place", F.col("place").cast("bigint"))
+
+
 @query("Q2_case_projection", """
 SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'small' WHEN o_totalprice < 10000 THEN 'medium'
   ELSE 'large' END AS band, upper(o_orderstatus) AS status FROM orders""")

@@ -11,11 +11,15 @@ keys, and AQE splits skewed shuffle partitions.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+import time
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rillet.common import StepError
 from rillet.common import col as column
@@ -204,12 +208,54 @@ def keyed_lookup(df: DataFrame, key_column: str, output_columns: str | Iterable[
     """
     outs = col_list(output_columns, "output_columns")
     require_columns(df, [key_column], "keyed_lookup")
-    key = F.col(key_column)
+    key = column(key_column)
     if provider is None:
         return df.withColumns({
             c: F.when(key.isNotNull(), F.concat(F.lit(f"{c}_"), key.cast("string"))) for c in outs})
-    keys = df.select(key_column).where(key.isNotNull()).distinct()
+    keys = df.select(key).where(key.isNotNull()).distinct()
     answers = provider(keys)
     require_columns(answers, [key_column, *outs], "keyed_lookup (provider)")
     return join(df.drop(*[c for c in outs if c in df.columns]),
-                answers.select(key_column, *outs), [key_column], "left", null_safe=False)
+                answers.select(key, *[column(c) for c in outs]), [key_column], "left", null_safe=False)
+
+
+def batched_provider(fetch: Callable[[list], Mapping], outputs: Mapping[str, str], batch_size: int = 500,
+                     attempts: int = 3, pause: float = 0.5) -> Callable[[DataFrame], DataFrame]:
+    """A provider for :func:`keyed_lookup` that asks a service for at most ``batch_size`` keys at a time.
+
+    ``fetch(keys)`` runs in the tasks and returns ``{key: {column: value}}``; keys and columns it leaves out are null.
+    ``outputs`` names the columns and their types.  A call that raises is tried ``attempts`` times, with a pause that
+    doubles from ``pause`` seconds, and then fails the task, which Spark tries again; so ``fetch`` must be safe to repeat.
+    """
+    if batch_size < 1 or attempts < 1:
+        raise StepError("batched_provider: batch_size and attempts must be positive")
+
+    def ask(keys: list) -> Mapping:
+        for attempt in range(attempts):
+            try:
+                return fetch(keys)
+            except Exception:  # noqa: BLE001 - whatever the service raises
+                if attempt == attempts - 1:
+                    raise
+                time.sleep(pause * 2 ** attempt)
+        raise AssertionError("unreachable")
+
+    def provider(keys: DataFrame) -> DataFrame:
+        name = keys.columns[0]
+        schema = T.StructType([keys.schema.fields[0], *T._parse_datatype_string(
+            ", ".join(f"`{c}` {t}" for c, t in outputs.items())).fields])
+
+        def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, batch_size):
+                    part = batch.slice(at, batch_size)
+                    asked = part.column(0).to_pylist()
+                    found = ask(asked)
+                    rows = [found.get(k) or {} for k in asked]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), *[pa.array([r.get(c) for r in rows], to_arrow_type(schema[c].dataType)) for c in outputs]],
+                        [name, *outputs])
+
+        return keys.mapInArrow(answers, schema)
+
+    return provider

@@ -95,3 +95,29 @@ def test_plain_equality_when_one_side_has_no_null_keys(spark, how):
     finally:
         J._has_null_key = orig
     assert got == want
+
+
+def test_batched_provider_asks_in_batches_and_tries_again(spark, tmp_path):
+    seen = str(tmp_path)
+
+    def fetch(keys):
+        import os
+
+        mark = os.path.join(seen, f"{min(keys)}")
+        assert len(keys) <= 7
+        if not os.path.exists(mark):  # the first call for these keys fails
+            open(mark, "w").close()
+            raise OSError("busy")
+        return {k: {"name": f"n{k}", "size": k} for k in keys if k % 2}
+
+    df = spark.createDataFrame([(k % 40, i) for i, k in enumerate(range(200))] + [(None, 999)], "`k.y` bigint, size int")
+    got = op.keyed_lookup(df, "k.y", "name, size", op.batched_provider(fetch, {"name": "string", "size": "bigint"}, 7, pause=0.01))
+    assert got.columns == ["k.y", "name", "size"] and got.count() == 201
+    assert {(r["k.y"], r.name, r.size) for r in got.collect()} == {
+        *[(k, f"n{k}" if k % 2 else None, k if k % 2 else None) for k in range(40)], (None, None, None)}
+
+    def broken(keys):
+        raise OSError("gone")
+
+    with pytest.raises(Exception, match="gone"):
+        op.keyed_lookup(df, "k.y", "name", op.batched_provider(broken, {"name": "string"}, attempts=2, pause=0.01)).collect()

@@ -242,8 +242,9 @@ def batched_provider(fetch: Callable[[list], Mapping], outputs: Mapping[str, str
 
     def provider(keys: DataFrame) -> DataFrame:
         name = keys.columns[0]
-        schema = T.StructType([keys.schema.fields[0], *T._parse_datatype_string(
-            ", ".join(f"`{c}` {t}" for c, t in outputs.items())).fields])
+        types = [T._parse_datatype_string(t) for t in outputs.values()]
+        places = [f"a{i}" for i in range(len(outputs))]  # plain names on the way: columns may be called anything
+        schema = T.StructType([T.StructField("k", keys.schema.fields[0].dataType), *map(T.StructField, places, types)])
 
         def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -253,9 +254,9 @@ def batched_provider(fetch: Callable[[list], Mapping], outputs: Mapping[str, str
                     found = ask(asked)
                     rows = [found.get(k) or {} for k in asked]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), *[pa.array([r.get(c) for r in rows], to_arrow_type(schema[c].dataType)) for c in outputs]],
-                        [name, *outputs])
+                        [part.column(0), *[pa.array([r.get(c) for r in rows], to_arrow_type(t)) for c, t in zip(outputs, types, strict=True)]],
+                        ["k", *places])
 
-        return keys.mapInArrow(answers, schema)
+        return keys.toDF("k").mapInArrow(answers, schema).toDF(name, *outputs)
 
     return provider

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +32,11 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int = MIN_BUCKETS):
         self.spark, self.path = spark, path
         self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
-        made = f"{path}/_made"
-        try:
-            buckets = spark.read.schema("buckets int").parquet(made).first()["buckets"]
-        except AnalysisException:  # no such path: a new index
-            spark.range(1).select(F.lit(buckets).cast("int").alias("buckets")).coalesce(1).write.parquet(made)
+        made = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_made")
+        if made.getFileSystem(spark._jsc.hadoopConfiguration()).exists(made):
+            buckets = spark.read.schema("buckets int").parquet(made.toString()).first()["buckets"]
+        else:
+            spark.range(1).select(F.lit(buckets).cast("int").alias("buckets")).coalesce(1).write.parquet(made.toString())
         self.buckets = buckets
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT) USING parquet "
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")

@@ -194,21 +194,22 @@ def choose_features(sampled: DataFrame, max_features: int) -> list[tuple[bytes,
                     seen.update((p, v) for p, k in here.items() for v in levels(k, total))
                     n += 1
                     if len(seen) > 500_000:
-                        yield batch_of(seen, 0)
+                        yield batch_of(seen)
                         seen.clear()
             seen[b"", 0] = n  # how many texts
-            yield batch_of(seen, n)
+            yield batch_of(seen)
         return rows
 
-    def batch_of(seen: Counter, n: int) -> pa.RecordBatch:
+    def batch_of(seen: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in seen], pa.binary()), pa.array([k[1] for k in seen], pa.int32()),
              pa.array(list(seen.values()), pa.int64())], ["part", "level", "n"])
 
     schema = "part binary, level int, n bigint"
     per = F.sum("n").alias("n")
+    least = max(3, math.ceil(MIN_SHARE * sampled.where("y = 1").count()))
     toxic = sampled.where("y = 1").select("text").mapInArrow(counted(None), schema).groupBy("part", "level").agg(per)
-    top = toxic.where("n >= 3 OR part = X''").orderBy(F.col("n").desc(), "part", "level").limit(LEVELS * MAX_CANDIDATES)
+    top = toxic.where((F.col("n") >= least) | (F.col("part") == F.lit(b""))).orderBy(F.col("n").desc(), "part", "level").limit(LEVELS * MAX_CANDIDATES)
     inside = {(bytes(r["part"]), r["level"]): r["n"] for r in top.collect()}  # bounded by MAX_CANDIDATES
     n_toxic = inside.pop((b"", 0), 0)
     if not inside:
@@ -220,7 +221,7 @@ def choose_features(sampled: DataFrame, max_features: int) -> list[tuple[bytes,
     excess = {}
     for f, n in inside.items():
         usual = n_toxic * (around.get(f, 0) + 1) / (n_any + 1)  # texts with it, were toxic ones like all
-        if n >= MIN_SHARE * n_toxic and n - usual >= MIN_DEVIATIONS * math.sqrt(usual):
+        if n - usual >= MIN_DEVIATIONS * math.sqrt(usual):
             excess[f] = n * math.log(n / usual)
     return sorted(excess, key=lambda f: (-excess[f], f))[:max_features]
 

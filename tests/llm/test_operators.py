@@ -497,19 +497,26 @@ def test_against_sql(spark, key):
     assert a.astype(str).equals(b.astype(str))
 
 
+def sql_over(docs, key):
+    """An operator's SQL over the given documents."""
+    con = duckdb.connect()
+    con.register("documents", docs)
+    return con.execute(queries.ORACLE[key]).df().set_index("doc_id")
+
+
 def test_pipeline_by_brute_force(spark):
+    """Each stage by SQL or by hand over what the stage before left; nothing of the library's but the ids of a text."""
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").toPandas()
-    base = qr.quality_rules(spark.read.parquet(f"{SMALL}/documents.parquet")).toPandas().set_index("doc_id")["kept"]
-    left = docs[docs["doc_id"].map(base)].sort_values("doc_id")
+    left = docs[docs["doc_id"].map(sql_over(docs, "op5_quality_rules")["kept"])].sort_values("doc_id")
     key = left["text"].map(lambda t: re.sub("[\x20\x09-\x0d]+", " ", t))
     left = left[~key.duplicated()]
     comp = brute_components(zip(left["doc_id"], left["text"], strict=True), 5)
     left = left[[comp[i][2] for i in left["doc_id"]]]
-    drawn = sm.mix_documents(spark.createDataFrame(left)).toPandas().set_index("doc_id")["kept"]
-    left = left[left["doc_id"].map(drawn)]
-    model = sc.piece_model(sc.default_model())
+    left = left[left["doc_id"].map(sql_over(left, "op2_source_mix")["kept"])]
+    assert 20 < len(left) < len(docs)
+    model = sc.piece_model(sc.default_model())  # held against brute force above
     want = {i: zlib.crc32(model.encode(t).tobytes()) for i, t in zip(left["doc_id"], left["text"], strict=True)}
     got = cp.run(spark, SMALL).collect()
     assert {r.doc_id: r.ids_crc32 for r in got} == want and all(r.round_trip for r in got)

@@ -39,6 +39,15 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
+def write_narrow(df: DataFrame, name: str) -> DataFrame:
+    """:func:`materialize` for rows of a few numbers, in an eighth of the shuffle's partitions (16 at least).
+
+    The number of partitions is set for texts; such rows are some hundredth of them, so fewer files hold them as well.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.coalesce(max(16, parts // 8)), name)
+
+
 #: A key is joined apart as hot when it holds this share of the rows; there are fewer than 1 / share such keys.
 HOT_SHARE = 1 / 1000
 
@@ -52,7 +61,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     total = groups.agg(F.sum(size).alias("__total"))
     marked = groups.join(F.broadcast(total), F.lit(True)).withColumn(
         "__hot", F.col(size) >= F.greatest(F.lit(2), F.col("__total") * HOT_SHARE)).drop("__total")
-    marked = materialize(marked, "groups")
+    marked = write_narrow(marked, "groups")
     hot, cold = (marked.where(c).drop("__hot") for c in ("__hot", "NOT __hot"))
     return rows.join(F.broadcast(hot), key).unionByName(
         rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillet.session import materialize
+from rillet.llm.common import write_narrow
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -36,10 +36,10 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node of ``edges`` (a, b; a < b): the smallest node it is linked with."""
-    edges = materialize(edges.select("a", "b").distinct(), "edges")
+    edges = write_narrow(edges.select("a", "b").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        edges = write_narrow(_small_star(_large_star(edges)), "edges")
         before, state = state, _state(edges)
         if state == before:
             break

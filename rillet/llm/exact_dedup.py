@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillet.common import unique_name
-from rillet.llm.common import SPACE, text_of
+from rillet.llm.common import SPACE, text_of, write_narrow
 from rillet.session import materialize, scratch_path
 
 #: A digest is split off as hot when it holds this share of the rows; there are fewer than 1 / share such digests.
@@ -84,7 +84,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str =
     # A flag of its own says that the index holds the digest: its keep_id is null where all its rows had null ids.
     known = index.table().select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
     groups = groups.join(known.hint("merge"), "digest", "left")
-    groups = materialize(groups.select(
+    groups = write_narrow(groups.select(
         "digest", "group_size", "batch_id", F.when(F.col("known"), F.col("known_id")).otherwise(F.col("batch_id"))
         .alias("keep_id"), F.col("known").isNull().alias("new")), "digest-groups")
     index.append(groups.where("new"))
@@ -98,7 +98,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str =
     total = rows.agg(F.count(F.lit(1)).alias("n"))
     hot = shared.join(F.broadcast(total), F.col("group_size") >= F.greatest(F.lit(2), F.col("n") * HOT_SHARE)) \
         .drop("n")
-    hot = materialize(hot, "hot-digests")
+    hot = write_narrow(hot, "hot-digests")
     cold = groups.where("group_size = 1").withColumn("stay_row", F.lit(None).cast("bigint")).unionByName(
         shared.join(F.broadcast(hot.select("digest")), "digest", "left_anti"))
     by_hot = rows.join(F.broadcast(hot), "digest")
@@ -126,12 +126,12 @@ def exact_dedup_in_ranges(docs: DataFrame, ranges: int = 3, index: DigestIndex |
         part = part if high is None else part.where(key <= high)
         verdict = exact_dedup(part, index, doc_id, text).drop("group_size")
         found = verdict if found is None else found.unionByName(verdict)
-    found = materialize(found, "range-verdicts")
-    shared = materialize(found.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"),
+    found = write_narrow(found, "range-verdicts")
+    shared = write_narrow(found.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"),
                          "group-sizes")
     # As above: digests of very many rows are few and broadcast, all others are joined by a shuffle.
     total = found.agg(F.count(F.lit(1)).alias("n"))
-    hot = materialize(shared.join(F.broadcast(total), F.col("n_rows") >= F.greatest(
+    hot = write_narrow(shared.join(F.broadcast(total), F.col("n_rows") >= F.greatest(
         F.lit(2), F.col("n") * HOT_SHARE)).drop("n"), "hot-sizes")
     names = F.broadcast(hot.select("text_sha256"))
     by_rest = found.join(names, "text_sha256", "left_anti").join(
@@ -148,7 +148,7 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None, doc_id: str =
     to one row each (any of them: they agree in id and text).  Rows with a null doc_id go unless their text is
     the only one (then they stay).
     """
-    verdict = materialize(exact_dedup(docs, index, doc_id, text), "exact-verdicts")
+    verdict = write_narrow(exact_dedup(docs, index, doc_id, text), "exact-verdicts")
     by_id = verdict.groupBy("doc_id").agg(
         F.sum(F.col("kept").cast("int")).alias("n_kept"), F.count(F.lit(1)).alias("n")).where("n_kept < n")
     id_, digest, kept_ = (unique_name(docs, x) for x in ("__id", "__digest", "__kept"))

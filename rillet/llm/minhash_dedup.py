@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rillet.common import unique_name
 from rillet.llm import shingles
-from rillet.llm.common import join_groups, keyed_texts, one_row_per_id
+from rillet.llm.common import join_groups, keyed_texts, one_row_per_id, write_narrow
 from rillet.llm.components import components
 from rillet.llm.terms import as_bytes, sliced
 from rillet.session import materialize
@@ -172,17 +172,17 @@ def across_stars(met: DataFrame, joined: DataFrame, marks: DataFrame, threshold_
     of = joined.select(F.col("node").alias("doc_id"), "component")
     of_center = joined.select(F.col("node").alias("center"), F.col("component").alias("home"))
     # Stars by their number of members: large ones are few and joined apart, so none is dealt to one task by its center.
-    homes = materialize(met.groupBy("center").agg(F.count(F.lit(1)).alias("size")).join(of_center, "center", "left")
+    homes = write_narrow(met.groupBy("center").agg(F.count(F.lit(1)).alias("size")).join(of_center, "center", "left")
                         .select("center", "size", F.coalesce("home", "center").alias("home")), "star-homes")
     placed = join_groups(met.join(of, "doc_id", "left"), homes, "center", "size").select(
         "center", "doc_id", F.coalesce("component", "doc_id").alias("c"), "home") \
         .withColumn("outside", F.col("c") != F.col("home")).drop("home")
-    placed = materialize(placed, "star-members")
+    placed = write_narrow(placed, "star-members")
     sizes = placed.groupBy("center").agg(F.count(F.lit(1)).alias("members"), F.count_if("outside").alias("others")) \
         .where("members > 1 AND others > 0").select(
             "center", "members", F.ceil(F.col("others") / OUTSIDE_BLOCK).cast("int").alias("rows"),
             F.ceil(F.col("members") / MEMBER_BLOCK).cast("int").alias("columns"))
-    open_ = join_groups(placed, materialize(sizes, "open-star-sizes"), "center", "members").drop("members")
+    open_ = join_groups(placed, write_narrow(sizes, "open-star-sizes"), "center", "members").drop("members")
     open_ = materialize(open_.join(marks, "doc_id"), "open-stars")
 
     def side(name: str, block: Column, copies: Column) -> DataFrame:
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, threshold_pct: int = 80,
         F.max(F.struct("met", (-F.col("doc_id")).alias("least"))).alias("most"), F.count(F.lit(1)).alias("size")) \
         .where("size > 1").select("key", (-F.col("most.least")).alias("center"))
     met = members.join(stars, "key").where("doc_id <> center").select("center", "doc_id").distinct()
-    met = materialize(met, "stars")
+    met = write_narrow(met, "stars")
 
     def with_marks(rows: DataFrame, column: str, side: str) -> DataFrame:
         return rows.join(marks.select(F.col("doc_id").alias(column), F.col("n").alias(f"n_{side}"),
@@ -263,12 +263,12 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, threshold_pct: int = 80,
 
     pairs = met.select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
     pairs = with_marks(with_marks(pairs, "b", "b"), "a", "a").where(_plausible(threshold_pct)).select("a", "b")
-    pairs = materialize(pairs, "star-pairs")
+    pairs = write_narrow(pairs, "star-pairs")
     links = materialize(confirmed(pairs, docs, n_words, threshold_pct), "star-links")
     joined = components(links)
 
     cross = across_stars(met, joined, marks.join(signed.select("doc_id", "odd"), "doc_id"), threshold_pct)
-    tried = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
+    tried = write_narrow(cross.join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
     more = materialize(confirmed(tried, docs, n_words, threshold_pct), "cross-links")
     if not more.isEmpty():
         joined = components(links.unionByName(more))

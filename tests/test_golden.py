@@ -140,7 +140,7 @@ def test_apply_groups_salted_matches_groupby_with_hot_key(spark):
 
     from pyspark.sql import functions as F
     got = uf.apply_groups_salted(spark.createDataFrame(pdf), ["k"], partial, "k string, n long, s long",
-                                 [F.sum("n").alias("size"), F.sum("s").alias("sum")], salts=8).toPandas()
+                                 [F.sum("n").alias("size"), F.sum("s").alias("sum")]).toPandas()
     m = want.merge(got, on="k", suffixes=("_p", "_s"))
     assert len(m) == len(want) == len(got)
     assert (m.size_p == m.size_s).all() and (m.sum_p == m.sum_s).all()

@@ -92,3 +92,27 @@ def test_quota_and_balance_across_restarts(spark):
     want = usage.running_balance(ledger.withColumn(
         "amount", F.coalesce("amount", F.lit(0).cast("decimal(18,6)"))))
     assert rows(given.select("user_id", "id", "seq", "balance_after")) == rows(want.select("user_id", "id", "seq", "balance_after"))
+
+
+def test_state_of_many_users_is_met_in_buckets(spark):
+    """Python is called for buckets of users, not for each of them; large ids beside nulls stay whole."""
+    big = 2 ** 53 + 1
+    data = [(big + i % 300 if i % 7 else None, DAY.date() if i % 5 else None, DAY + dt.timedelta(seconds=i), big + i,
+             big if i % 3 == 0 else i % 500 if i % 11 else None, True) for i in range(900)]
+    schema = "user_id long, day date, timestamp timestamp, id long, rows_requested long, succeeds boolean"
+    requests = spark.createDataFrame(data, schema)
+    users = spark.createDataFrame([(big + 3, True)], "id long, is_subscribed boolean")
+    cut = [DAY + dt.timedelta(seconds=s) for s in (0, 200, 900)]
+    parts = [requests.where((F.col("timestamp") >= a) & (F.col("timestamp") < b)) for a, b in zip(cut, cut[1:])]
+    given, _ = delivered(spark, parts, lambda df: quota_stream(df, users, 1000, "2 days", buckets=4), requests.schema)
+    assert rows(given) == rows(usage.quota_check(requests, users))
+
+    ledger = requests.select("user_id", "id", "timestamp", F.lit(Decimal("1.5")).cast("decimal(18,6)").alias("amount"), "rows_requested")
+    folder, sink, check = (scratch_path(spark, x) for x in ("arriving", "given", "check"))
+    ledger.write.parquet(folder)
+    run_available(running_balance_stream(file_arrival_stream(spark, folder, ledger.schema), buckets=4), sink, check)
+    given = spark.read.parquet(sink)
+    want = usage.running_balance(ledger)
+    assert rows(given) == rows(want) and given.count() == 900
+    states = spark.read.format("statestore").load(check)
+    assert states.count() == 5  # four buckets and the null user

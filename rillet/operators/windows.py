@@ -214,9 +214,11 @@ def ordered_rank(df: DataFrame, partition_by: str | Iterable[str], order_by: str
 
     Bounded groups (proven as in :func:`row_numbers`) use ``rank()`` and a
     tie count over ``(keys, order)`` — both windows share the key
-    partitioning, so one pass.  Rows of hot keys take the skew-safe row
-    numbers instead, reduced to the first and last number of each tie group
-    (partial aggregation) and joined back on the tie group.
+    partitioning, so one pass.  Rows of hot keys are counted by tie group
+    instead (partial aggregation); a skew-safe running sum of the counts gives
+    each tie group its last position, joined back on the tie group.  So only
+    the tie groups are put in order: the rows move once, for that join, and
+    not at all where the tie groups are few enough to be broadcast.
     """
     keys = col_list(partition_by, "partition_by")
     order = col_list(order_by, "order_by")
@@ -235,13 +237,13 @@ def ordered_rank(df: DataFrame, partition_by: str | Iterable[str], order_by: str
         return rows.withColumn(output, low.cast("double"))
 
     def distributed_rank(rows: DataFrame) -> DataFrame:
-        rn = unique_name(df, "__rn")
-        numbered = row_numbers(rows, keys, order, output=rn, method="distributed", num_partitions=num_partitions)
-        lo, hi = unique_name(df, "__lo"), unique_name(df, "__hi")
-        bounds = numbered.groupBy(*tie).agg(F.min(rn).alias(lo), F.max(rn).alias(hi))
-        joined = numbered.join(bounds, tie, "inner")
-        value = (F.col(lo) + F.col(hi)) / 2.0 if ties == "average" else F.col(lo).cast("double")
-        return joined.withColumn(output, value).select(*df.columns, output)
+        n, last, place = (unique_name(df, x) for x in ("__n", "__last", "__rn"))
+        counts = materialize(rows.groupBy(*[col(c) for c in tie]).agg(F.count(F.lit(1)).alias(n)), "ties")
+        ends = row_numbers(counts, keys, order, output=place, value=n, sum_output=last,
+                           max_group_rows=max_group_rows or DEFAULT_MAX_GROUP_ROWS, num_partitions=num_partitions)
+        value = F.col(last) - (F.col(n) - 1) / 2.0 if ties == "average" else (F.col(last) - F.col(n) + 1).cast("double")
+        ranks = materialize(ends.select(*[col(c) for c in tie], value.alias(output)), "tie-ranks")
+        return rows.join(ranks, tie, "inner").select(*[col(c) for c in df.columns], output)
 
     if method == "window" or (method == "auto" and max_group_rows is not None
                               and _small_enough(ranked_rows, max_group_rows)):

@@ -100,3 +100,16 @@ def test_distributed_numbering_with_nan_keys_and_null_values(spark):
     want = op.row_numbers(df, "k", "id", value="v", sum_output="s", method="window")
     cols = ["id", "row_number", "s"]
     assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(map(tuple, want.select(*cols).collect()), key=str)
+
+
+def test_rank_of_hot_keys_orders_tie_groups_and_leaves_rows_in_place(spark):
+    nan = float("nan")
+    data = [(i % 3 if i % 10 else None, [0.0, -0.0, 2.5, nan, None, 7.0][i % 6], i) for i in range(600)]
+    df = spark.createDataFrame(data, "k int, o double, i int")
+    for ties in ("average", "min"):
+        got = op.ordered_rank(df, "k", "o", output="r", ties=ties, max_group_rows=100)
+        want = op.ordered_rank(df, "k", "o", output="r", ties=ties, method="window")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    got = op.ordered_rank(df, "k", "o", output="r", method="distributed")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Repartition" not in plan and got.count() == 600

@@ -196,10 +196,12 @@ def interval_join(left: DataFrame, right: DataFrame, left_interval: tuple[str, s
                   on: str | Iterable[str] | None = None) -> DataFrame:
     """Pairs of rows whose intervals [start, end] overlap (borders count), with equal keys ``on`` if given.
 
-    Bounds are numbers or times.  Buckets have the median length of the intervals; an interval that is longer is put
-    on a level of wider ones (each twice as wide), so that it lies in three buckets at most.  Two intervals meet
-    on the higher of their levels, in the first bucket that they share there, and there only.  Null bounds, null keys
-    and intervals that end before they start match nothing.  Columns of ``right`` that ``left`` has get ``_y``.
+    Bounds are numbers or times.  Of two intervals that overlap, the one that starts later (the right one, if both start
+    at once) starts within the other; so pairs are those of an interval and a start that lies in it, each found once.
+    Buckets are a quarter of the median length of the intervals; an interval that is longer is put on a level of wider
+    ones (each twice as wide), so that it lies in five buckets at most, and meets there the starts of all lengths:
+    a start is in one bucket of each level that has intervals.  Null bounds, null keys and intervals that end before
+    they start match nothing.  Columns of ``right`` that ``left`` has get ``_y``.
     """
     keys = col_list(on, "on", allow_empty=True)
     for df, bounds, name in ((left, left_interval, "left"), (right, right_interval, "right")):
@@ -230,21 +232,28 @@ def interval_join(left: DataFrame, right: DataFrame, left_interval: tuple[str, s
     # Twice the width until an interval is no longer than a bucket.
     level = F.when(length <= width, F.lit(0)).otherwise(F.ceil(F.log2(length / width))).cast("int")
     sides = [s.withColumn("level", level) for s in sides]
-    levels = sorted({r[0] for s in sides for r in s.select("level").distinct().collect()})  # at most some hundred
-
-    def dealt(side: DataFrame, name: str) -> DataFrame:
-        """A row for each level from the interval's own on, and each bucket it touches there."""
-        at = side.withColumn("on", F.explode(F.filter(F.lit(levels).cast("array<int>"), lambda x: x >= F.col("level"))))
-        wide = F.lit(width) * F.pow(F.lit(2.0), F.col("on"))
-        first, last = F.floor(F.col("lo") / wide), F.floor(F.col("hi") / wide)
-        at = at.withColumn("first", first).withColumn("bucket", F.explode(F.sequence(first, last)))
-        return at.select("on", "bucket", *[f"k{i}" for i in range(len(keys))],
-                         *[F.col(c).alias(f"{c}_{name}") for c in ("row", "lo", "hi", "level", "first")])
-
-    both = dealt(sides[0], "a").join(dealt(sides[1], "b"), ["on", "bucket", *[f"k{i}" for i in range(len(keys))]])
-    both = both.where((F.col("on") == F.greatest("level_a", "level_b"))
-                      & (F.col("bucket") == F.greatest("first_a", "first_b"))
-                      & (F.col("lo_a") <= F.col("hi_b")) & (F.col("lo_b") <= F.col("hi_a")))
+    same = ["level", "bucket", *[f"k{i}" for i in range(len(keys))]]
+    wide = F.lit(width / 4) * F.pow(F.lit(2.0), F.col("level"))
+
+    def spans(side: DataFrame, name: str) -> DataFrame:
+        """A row for each bucket that an interval touches on its level."""
+        buckets = F.sequence(F.floor(F.col("lo") / wide), F.floor(F.col("hi") / wide))
+        return side.withColumn("bucket", F.explode(buckets)).select(
+            *same, F.col("row").alias(f"row_{name}"), F.col("lo").alias("from"), F.col("hi").alias("to"))
+
+    def starts(side: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        """A row for the start of each interval on each level that the other side's intervals are on."""
+        levels = sorted(r[0] for r in other.select("level").distinct().collect())  # at most some hundred
+        every = side.withColumn("level", F.explode(F.lit(levels).cast("array<int>")))
+        return every.withColumn("bucket", F.floor(F.col("lo") / wide)).select(
+            *same, F.col("row").alias(f"row_{name}"), F.col("lo").alias("start"))
+
+    a, b = sides
+    within = F.col("start") <= F.col("to")
+    both = spans(a, "a").join(starts(b, a, "b"), same).where((F.col("start") >= F.col("from")) & within) \
+        .select("row_a", "row_b").unionByName(
+            spans(b, "b").join(starts(a, b, "a"), same).where((F.col("start") > F.col("from")) & within)
+            .select("row_a", "row_b"))
     names = {c: c if c not in left.columns else unique_name(left, f"{c}_y") for c in right.columns if c not in keys}
     return both.select(*[F.col("row_a")[c].alias(c) for c in left.columns],
                        *[F.col("row_b")[c].alias(n) for c, n in names.items()])

@@ -105,3 +105,19 @@ def test_dynamic_split_keeps_columns_named_as_its_helpers(spark):
     assert out.columns == ["k", "__value", "__own", "route"]
     assert {(r["__value"], r["__own"]) for r in out.collect()} == {(1, 2), (3, 4), (5, 6)}
     assert len({r["route"] for r in out.collect()}) == 3
+
+
+def test_interval_join_puts_intervals_on_their_own_level_only(spark):
+    """Only starts are copied to other levels: short intervals do not meet each other again in the buckets of long ones."""
+    a = spark.createDataFrame([(i, 10 * i, 10 * i + (4_000 if i % 50 == 0 else 15)) for i in range(300)], "x int, lo long, hi long")
+    b = spark.createDataFrame([(i, 10 * i, 10 * i + (2_000 if i % 70 == 0 else 10)) for i in range(300)], "y int, lo2 long, hi2 long")
+    got = interval_join(a, b, ("lo", "hi"), ("lo2", "hi2"))
+    want = sorted((x.x, y.y) for x in a.collect() for y in b.collect() if x.lo <= y.hi2 and y.lo2 <= x.hi)
+    assert sorted((r.x, r.y) for r in got.collect()) == want
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = interval_join(a, b, ("lo", "hi"), ("lo2", "hi2"))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert plan.count("Join Inner") == 2 and "greatest" not in plan
